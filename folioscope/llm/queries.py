@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontamination, jaccard_join, packing, sharding
+from folioscope.llm import cap_filters, decontamination, jaccard_join, packing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.cap_components(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_contamination(docs, _read(spark, sf_dir, "benchmark"))
@@ -48,7 +52,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op6_decontamination, op7_jaccard_join, op8_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op6_decontamination, op7_jaccard_join, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
