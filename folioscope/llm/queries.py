@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cap_filters, decontamination, jaccard_join, packing, sharding
+from folioscope.llm import cap_filters, decontamination, jaccard_join, language_id, packing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.cap_components(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    net = language_id.train(docs)
+    said = language_id.identify(docs.select("doc_id", "text"), net)
+    return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_contamination(docs, _read(spark, sf_dir, "benchmark"))
@@ -52,7 +59,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op6_decontamination, op7_jaccard_join, op8_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op6_decontamination, op7_jaccard_join, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
