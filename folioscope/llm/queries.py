@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cap_filters, decontamination, jaccard_join, language_id, packing, sharding
+from folioscope.llm import cap_filters, decontamination, jaccard_join, language_id, line_templates, packing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_contamination(docs, _read(spark, sf_dir, "benchmark"))
@@ -59,7 +64,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op6_decontamination, op7_jaccard_join, op8_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op5_line_templates, op6_decontamination, op7_jaccard_join, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
