@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cap_filters, decontamination, jaccard_join, language_id, line_templates, packing, sharding
+from folioscope.llm import cap_filters, decontamination, jaccard_join, language_id, line_templates, packing, pii, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.joined(of(*pii.BASE)), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
@@ -64,7 +75,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op5_line_templates, op6_decontamination, op7_jaccard_join, op8_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op6_decontamination, op7_jaccard_join, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
