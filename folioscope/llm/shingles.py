@@ -52,3 +52,20 @@ def sequences(words: list[bytes], k: int) -> np.ndarray:
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
     """The distinct shingles of a text, sorted."""
     return np.unique(sequences(words_of(text), k))
+
+
+def runs(words: list[bytes], orders: tuple[int, ...]) -> list[np.ndarray]:
+    """For each order, the hashes of all runs of so many words; none for an order beyond the words."""
+    if not words:
+        return [np.empty(0, np.uint64) for _ in orders]
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    power, inverse = _grown(len(joined) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[joined] * power[: len(joined)], dtype=np.uint64)])
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    ends = starts + lengths
+    out = []
+    for k in orders:
+        first = starts[: max(0, len(words) - k + 1)]
+        out.append(mixed((sums[ends[k - 1 :]] - sums[first]) * inverse[first]) if len(first) else np.empty(0, np.uint64))
+    return out
