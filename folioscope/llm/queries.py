@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff_scores, cap_filters, decontamination, jaccard_join, language_id, line_templates, packing, pii, sharding
+from folioscope.llm import backoff_scores, cap_filters, decontamination, jaccard_join, language_id, line_templates, packing, pii, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,12 +74,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores.backoff_scores(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op6_decontamination, op7_jaccard_join, op8_sharding, op10_backoff_scores)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op6_decontamination, op7_jaccard_join, op8_sharding, op9_quality, op10_backoff_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
