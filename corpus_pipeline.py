@@ -1,6 +1,67 @@
-STAGES = []
+"""The training-data pipeline: languages, recurring lines, near duplicates, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is written as
+Parquet and read again for the next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm import decontamination, jaccard_join, language_id, line_templates, packing
+from folioscope.llm.shared import small, table
+
+#: Documents whose language scores below this are rejected: hardly above a guess among the learned languages.
+LEAST_SCORE = 0.3
+BROADCAST_ROWS = 500_000
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with letters whose language is told with some confidence."""
+    said = language_id.identify(docs, language_id.train(docs))
+    return said.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take lines of recurring templates out of the texts; n_chars follows the text."""
+    cleaned = line_templates.drop_recurring_lines(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id in each group of similar ones; rows that share an id stay together."""
+    found = jaccard_join.jaccard_components(docs)
+    dropped = table(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
+    return docs.join(small(dropped, dropped.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a window of a benchmark item occurs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.find_contamination(docs, benchmark).where(~F.col("contaminated")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences, with their ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: Language identification and packing have no SQL; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; returns the packed pieces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = table(stage(spark, docs, sf_dir), name)
+    return docs
