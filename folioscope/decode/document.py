@@ -48,6 +48,20 @@ class Document:
             value = self.cache[value.number]
         return None
 
+    def dict_of(self, value: Any) -> dict[str, Any]:
+        """A dictionary, or an empty one in its place."""
+        found = self.get(value)
+        found = found.dict if isinstance(found, Stream) else found
+        return found if isinstance(found, dict) else {}
+
+    def list_of(self, value: Any) -> list[Any]:
+        found = self.get(value)
+        return found if isinstance(found, list) else []
+
+    def number(self, value: Any, default: float) -> float:
+        found = self.get(value)
+        return found if isinstance(found, (int, float)) and not isinstance(found, bool) else default
+
     def _load(self, ref: Ref) -> Any:
         entry = self.xref.entries.get(ref.number)
         if entry is None or entry.kind == "Free":
@@ -61,7 +75,7 @@ class Document:
         if container not in self.members:
             stream, out = self.get(Ref(container, 0)), {}
             if isinstance(stream, Stream):
-                data, first = decoded(stream, self.get), self.get(stream.dict.get("First")) or 0
+                data, first = decoded(stream, self.get), int(self.number(stream.dict.get("First"), 0))
                 head = [int(x) for x in data[:first].split() if x.isdigit()]
                 for number, offset in zip(head[::2], head[1::2], strict=False):
                     out[number] = parse(data, first + offset)
@@ -90,19 +104,20 @@ class Document:
 
     def fonts(self, page: int) -> dict[str, tuple[CMap | None, dict[int, float], float, int]]:
         """By resource name: map to Unicode, widths, default width, bytes of a code."""
-        resources = self.get(self.pages[page].get("Resources")) or {}
+        resources = self.dict_of(self.pages[page].get("Resources"))
         out = {}
-        for name, ref in (self.get(resources.get("Font")) or {}).items():
-            font = self.get(ref) or {}
+        for name, ref in self.dict_of(resources.get("Font")).items():
+            font = self.dict_of(ref)
             to = self.get(font.get("ToUnicode"))
             cmap = parse_cmap(decoded(to, self.get)) if isinstance(to, Stream) else None
-            wide = font.get("Subtype") == "Type0"
-            widths = {(font.get("FirstChar") or 0) + i: self.get(w) for i, w in enumerate(self.get(font.get("Widths")) or [])}
-            below = self.get((self.get(font.get("DescendantFonts")) or [None])[0]) or {}
+            wide = self.get(font.get("Subtype")) == "Type0"
+            first = int(self.number(font.get("FirstChar"), 0))
+            widths = {first + i: self.number(w, 0) for i, w in enumerate(self.list_of(font.get("Widths")))}
+            below = self.dict_of(next(iter(self.list_of(font.get("DescendantFonts"))), None))
             if wide:
-                widths = _cid_widths([self.get(x) for x in self.get(below.get("W")) or []])
-            default = (below.get("DW", 1000) if wide else 500) or 0
-            out[name] = (cmap, {k: v for k, v in widths.items() if isinstance(v, (int, float))}, default, 2 if wide else 1)
+                widths = _cid_widths([self.get(x) for x in self.list_of(below.get("W"))])
+            default = self.number(below.get("DW"), 1000) if wide else 500
+            out[name] = (cmap, widths, default, 2 if wide else 1)
         return out
 
     def text(self, page: int) -> str:
@@ -128,25 +143,23 @@ class Document:
     def links(self, page: int) -> list[tuple[str, list[float]]]:
         """(address, rectangle) of annotations with an address; a missing rectangle is zeros."""
         out = []
-        for ref in self.get(self.pages[page].get("Annots")) or []:
-            note = self.get(ref) or {}
-            action = self.get(note.get("A")) or {}
-            uri = self.get(action.get("URI")) if isinstance(action, dict) else None
-            if uri:
-                rect = [self.get(x) for x in self.get(note.get("Rect")) or []]
-                fine = len(rect) == 4 and all(isinstance(x, (int, float)) for x in rect)
-                out.append((uri.decode("latin-1") if isinstance(uri, bytes) else str(uri), [float(x) for x in rect] if fine else [0.0] * 4))
+        for ref in self.list_of(self.pages[page].get("Annots")):
+            note = self.dict_of(ref)
+            uri = self.get(self.dict_of(note.get("A")).get("URI"))
+            if isinstance(uri, (bytes, str)) and uri:
+                rect = [self.number(x, 0.0) for x in self.list_of(note.get("Rect"))]
+                out.append((uri.decode("latin-1") if isinstance(uri, bytes) else uri, [float(x) for x in rect] if len(rect) == 4 else [0.0] * 4))
         return out
 
 
 def _cid_widths(w: list[Any]) -> dict[int, float]:
     """Widths from a list of either `first [w ...]` or `first last w`."""
     out, at = {}, 0
-    while at + 1 < len(w):
+    while at + 1 < len(w) and isinstance(w[at], int):
         if isinstance(w[at + 1], list):
-            out |= {w[at] + i: x for i, x in enumerate(w[at + 1])}
+            out |= {w[at] + i: x for i, x in enumerate(w[at + 1]) if isinstance(x, (int, float))}
             at += 2
-        elif at + 2 < len(w):
+        elif at + 2 < len(w) and isinstance(w[at + 1], int) and isinstance(w[at + 2], (int, float)):
             out |= dict.fromkeys(range(w[at], min(w[at + 1], w[at] + 65535) + 1), w[at + 2])
             at += 3
         else:

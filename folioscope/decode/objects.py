@@ -127,10 +127,11 @@ def locate_trailer(data: bytes, tail: int = TAIL) -> Trailer:
 
 def _predicted(data: bytes, parms: dict[str, Any]) -> bytes:
     """Undo PNG row predictors."""
-    if parms.get("Predictor", 1) < 10:
+    n = {k: v if isinstance(v := parms.get(k), int) and 0 < v < 1 << 20 else d for k, d in (("Predictor", 1), ("Colors", 1), ("BitsPerComponent", 8), ("Columns", 1))}
+    if n["Predictor"] < 10:
         return data
-    step = max(1, parms.get("Colors", 1) * parms.get("BitsPerComponent", 8) // 8)
-    width = parms.get("Columns", 1) * step
+    step = max(1, n["Colors"] * n["BitsPerComponent"] // 8)
+    width = n["Columns"] * step
     out, above = bytearray(), bytearray(width)
     for at in range(0, len(data) - width, width + 1):
         kind, row = data[at], bytearray(data[at + 1 : at + 1 + width])
@@ -161,7 +162,8 @@ def decoded(stream: Stream, resolve=lambda x: x) -> bytes:
                 data = engine.decompress(data, LARGEST)
             except zlib.error:
                 return b""
-            data = _predicted(data, resolve(p) or {})
+            p = resolve(p)
+            data = _predicted(data, p if isinstance(p, dict) else {})
         elif name in ("ASCIIHexDecode", "AHx"):
             data = string_bytes(b"<" + data.split(b">")[0] + b">")
         else:
@@ -219,6 +221,8 @@ def _section(data: bytes, at: int) -> tuple[dict[int, Entry], dict[str, Any]] |
     if not (isinstance(widths, list) and len(widths) == 3 and all(isinstance(w, int) and 0 <= w <= 8 for w in widths)):
         return None
     index = said.get("Index") or [0, said.get("Size", 0)]
+    if not (isinstance(index, list) and all(isinstance(x, int) and x >= 0 for x in index)):
+        return None
     entries, at, size = {}, 0, sum(widths)
     for first, n in zip(index[::2], index[1::2], strict=False):
         for number in range(first, first + min(n, MOST_OBJECTS)):
