@@ -45,19 +45,30 @@ BEFORE_FLAGS = (
 LONGEST_RUN = "[0-9]+"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body's lambdas refer to it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """Matches as array<struct<start, end, value>>, in code points."""
-    parts, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(values, lambda v, i: F.length(F.get(parts, i)) + F.length(v))
+    """Matches as array<struct<start, end, value>>, in code points; running sums take log2(matches) passes."""
 
     def doubled(sums: Column, k: Column) -> Column:
         by = F.pow(F.lit(2), k).cast("int")
         return F.transform(sums, lambda x, i: x + F.coalesce(F.when(i >= by, F.get(sums, i - by)), F.lit(0)))
 
-    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int"))
-    ends = F.aggregate(passes, steps, doubled)
-    spans = F.transform(values, lambda v, i: F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value")))
-    return F.when(F.size(values) > 0, spans).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
+    def spans(s: Column) -> Column:
+        values = s["values"]
+        steps = F.transform(values, lambda v, i: F.length(F.get(s["parts"], i)) + F.length(v))
+        passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int"))
+        made = lambda v, ends, i: F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value"))
+        return _let(F.aggregate(passes, steps, doubled), lambda ends: F.transform(values, lambda v, i: made(v, ends, i)))
+
+    def located(values: Column) -> Column:
+        none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+        return F.when(F.size(values) > 0, _let(F.struct(F.split(text, pattern, -1).alias("parts"), values.alias("values")), spans)).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
 
 def _luhn(digits: Column) -> Column:
