@@ -86,5 +86,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op6_decontamination, op7_jaccard_join, op8_sharding, op9_quality, op10_backoff_scores)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+    r AS (WITH RECURSIVE r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.root) SELECT id, min(root) AS root FROM r GROUP BY id)
+    SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN r ON id = vec_id
+    LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) ON a = vec_id"""
+
+OP5 = r"""WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM t),
+    l AS (SELECT text, no, list_transform(string_split(trim(string_split(text, chr(10))[no], ' ' || chr(9) || chr(13)), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM s),
+    i AS (SELECT text, no, len(tokens) AS n, tokens, concat_ws(' ', len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM l WHERE len(tokens) >= 4),
+    v AS (SELECT leaf FROM i GROUP BY leaf HAVING count(DISTINCT text) >= 6),
+    e AS (SELECT text, no, n, leaf, pl, tokens[pl] AS token FROM (SELECT *, unnest(range(1, n + 1)) AS pl FROM i WHERE leaf IN (SELECT leaf FROM v))),
+    f AS (SELECT leaf, pl, token FROM e GROUP BY leaf, pl, token HAVING count(DISTINCT text) >= 6),
+    k AS (SELECT text, no, n, leaf, string_agg(pl || ' ' || token, ' ' ORDER BY pl) AS shape FROM e JOIN f USING (leaf, pl, token) GROUP BY text, no, n, leaf HAVING count(*) FILTER (token <> '<*>') >= 0.6 * n),
+    o AS (SELECT leaf, shape FROM k GROUP BY leaf, shape HAVING count(DISTINCT text) >= 6),
+    d AS (SELECT text, sum(n) AS held, list(no) AS gone FROM k JOIN o USING (leaf, shape) GROUP BY text),
+    x AS (SELECT text, gone FROM d WHERE held <= 0.5 * (length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1)),
+    y AS (SELECT x.text, len(gone) AS dropped, array_to_string(list_filter(list_transform(range(1, len(string_split(x.text, chr(10))) + 1), lambda j: CASE WHEN list_contains(gone, j) THEN NULL ELSE string_split(x.text, chr(10))[j] END), lambda z: z IS NOT NULL), chr(10)) AS kept FROM x)
+    SELECT doc_id, CASE WHEN y.text IS NULL THEN documents.text ELSE kept END AS text, CAST(coalesce(len(string_split(documents.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(dropped, 0) AS BIGINT) AS n_dropped
+    FROM documents LEFT JOIN y ON y.text = documents.text"""
+
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""WITH i AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    p AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+    d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    q AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+    h AS (SELECT doc_id, item_id, k, n FROM q JOIN p USING (n, win)),
+    c AS (SELECT doc_id, count(*) AS hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS pl FROM h) GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+OP7 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+    r AS (WITH RECURSIVE r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.root) SELECT id, min(root) AS root FROM r GROUP BY id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM d JOIN r ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that plain SQL can express; the others are tested against brute force."""
+    return {"op2_cap_filters": OP2, "op5_line_templates": OP5, "op6_decontamination": OP6, "op7_jaccard_join": OP7}
