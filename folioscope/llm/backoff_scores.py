@@ -142,10 +142,11 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             for ids, sizes, packed, parts in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 sums = [_unpack(p["sums"], p["n"], 8) for p in parts.as_py() or []]
                 corpus = np.concatenate([np.empty(0, np.uint64), *sums]).astype(np.float64)
-                docs_grams = [_ngrams(t, bits) for t in _texts(sizes, packed.as_py())]
-                known = np.unique(np.concatenate([np.empty(0, np.uint64), *[g for d in docs_grams for g in d]]))
-                said = [_score([(g, np.searchsorted(known, g)) for g in d], corpus, tokens) for d in docs_grams]
-                n = [len(d[0]) for d in docs_grams]
+                each = [[np.unique(g, return_inverse=True, return_counts=True) for g in _ngrams(t, bits)] for t in _texts(sizes, packed.as_py())]
+                known = np.unique(np.concatenate([np.empty(0, np.uint64), *[g for d in each for g, _, _ in d]]))
+                rest = [[(corpus[np.searchsorted(known, g)] - own)[inverse] for g, inverse, own in d] for d in each]
+                said = [_score(d, tokens) for d in rest]
+                n = [len(d[0]) for d in rest]
                 mean = [s / k if k else None for s, k in zip(said, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(n, pa.int64()), pa.array(said, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
 
@@ -166,18 +167,13 @@ def counted_tokens(dealt: DataFrame) -> int:
     return dealt.select("sizes", "texts").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _score(grams: list[tuple[np.ndarray, np.ndarray]], corpus: np.ndarray, tokens: int) -> float:
-    """Sum of the log scores of one document; ``grams``: for each order the hashes and their places in ``corpus``."""
-    n = len(grams[0][0])
+def _score(rest: list[np.ndarray], tokens: int) -> float:
+    """Sum of the log scores of one document; ``rest``: for each order the other documents' counts of its runs."""
+    n = len(rest[0])
     if not n:
         return 0.0
-    rest = []
-    for _, at in grams:
-        _, inverse, own = np.unique(at, return_inverse=True, return_counts=True)
-        rest.append(corpus[at] - own[inverse])
-    others = max(tokens - n, 1)
-    value = np.where(rest[0] > 0, rest[0], 0.5) / others
-    for k in range(1, len(grams)):
+    value = np.where(rest[0] > 0, rest[0], 0.5) / max(tokens - n, 1)
+    for k in range(1, len(rest)):
         # the history of the run that ends at token i is the shorter run that ends at token i - 1
         longer, history = rest[k], rest[k - 1][: len(rest[k])]
         lower = value[k:] * DISCOUNT
