@@ -24,9 +24,11 @@ DEPTH = 3
 GROUP = 256
 #: A token counts as frequent from so many documents of one Arrow batch on; the FREQUENT most frequent ones are put
 #: last in the order. The order decides what is cheap, never what is found.
-LOCALLY = 5
-FREQUENT = 100_000
+LOCALLY = 3
+FREQUENT = 200_000
 BROADCAST_ROWS = 500_000
+#: Signature tokens keep so many bits: a chance collision only lets one more group be opened.
+TOKEN_MASK = (1 << 48) - 1
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -77,9 +79,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) ->
                 at[at == len(known)] = 0
                 f = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(n, np.int64)
                 order = np.lexsort((s, f))
-                parts.append(s[order[: n - least_overlap(n, percent) + DEPTH]].view(np.int64))
-                shared = s[f > 0]
-                kin.append(int(mixed(shared if len(shared) else s, 1).min().view(np.int64)))
+                parts.append((s[order[: n - least_overlap(n, percent) + DEPTH]] & np.uint64(TOKEN_MASK)).view(np.int64))
+                kin.append(int(mixed(s, 1).min().view(np.int64)))
             columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(kin, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "set_key", "n", "kin", "signature"])
 
@@ -88,6 +89,24 @@ def signatures(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) ->
     return docs.select(F.col(doc_id).alias("doc_id"), tkey, F.col(text)).mapInArrow(run, schema)
 
 
+def _shared_tokens(signed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(cls, grp, n, token) of the signature tokens that stand in two documents or more."""
+    tokens = signed.select("row", F.explode("signature").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
+    return tokens.join(often, "token").join(grouped.select("row", "cls", "grp", "n"), "row").select("cls", "grp", "n", "token")
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The low 48 bits of each token."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def open_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Spanning links (a, b) of the classes in each block; ``rows``: bucket, block, role, cls, tokens."""
 
@@ -97,7 +116,7 @@ def open_blocks(rows: DataFrame, percent: int) -> DataFrame:
         out: list[tuple[int, int]] = []
         for _, block in pdf.groupby("block", sort=False):
             cls, role = block["cls"].to_numpy(), block["role"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in block["tokens"]]
+            sets = [_unpacked(x) for x in block["tokens"]]
             if len(sets) < 2:
                 continue
             sizes = np.array([len(s) for s in sets])
@@ -139,18 +158,19 @@ def jaccard_components(
 
     Null, empty and wordless texts have an empty set and are linked with nothing; equal sets are always linked;
     repeated rows each give a row, null ids count for no minimum; an empty table gives no rows; other columns are not
-    read. Every pair of similarity of at least ``percent`` (67 to 100) is found (set elements are 64-bit hashes).
+    read. Every pair of similarity of at least ``percent`` (67 to 100) is found (set elements are
+    64-bit hashes, of which 48 bits are compared).
     """
     if not 67 <= percent <= 100:
         raise ValueError("percent must be 67 to 100: below, sets of two shingles can be linked with others")
     spark = docs.sparkSession
-    signed = table(signatures(docs, doc_id, text, percent, k), "signatures")
+    signed = table(signatures(docs, doc_id, text, percent, k).withColumn("row", F.monotonically_increasing_id()), "signatures")
     filled = signed.where("n > 0")
     classes = table(
         filled.groupBy("set_key")
         .agg(
             F.min("doc_id").alias("least"),
-            F.min(F.struct("doc_id", "tkey")).alias("rep"),
+            F.min(F.struct("row", "doc_id", "tkey")).alias("rep"),
             F.max("n").alias("n"),
             F.max("kin").alias("kin"),
         )
@@ -161,21 +181,16 @@ def jaccard_components(
     large = classes.where(f"n >= {DEPTH}").groupBy("kin").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
     grouped = classes.where(f"n >= {DEPTH}").join(small(large, large.count(), BROADCAST_ROWS), "kin", "left")
     split = F.pmod(F.xxhash64("cls"), F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1)))
-    grouped = table(grouped.select("set_key", "cls", "rep", F.xxhash64("kin", split).alias("grp")), "groups")
-    # the matrix: tokens that two groups or more have, and their groups
-    one = signed.where(f"n >= {DEPTH}").select("doc_id", "tkey", "set_key", "signature")
-    same = one["doc_id"].eqNullSafe(grouped["rep.doc_id"]) & one["tkey"].eqNullSafe(grouped["rep.tkey"])
-    tokens = table(
-        one.join(grouped, (one["set_key"] == grouped["set_key"]) & same)
-        .select("cls", "grp", F.explode("signature").alias("token")),
-        "tokens",
-    )
-    ends = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-    shared = table(tokens.join(ends.where("lo < hi").select("token"), "token"), "shared")
-    matrix = shared.select("token", F.col("grp").alias("other")).distinct()
+    grouped = table(grouped.select("rep.row", "rep", "cls", "n", F.xxhash64("kin", split).alias("grp")), "groups")
+    # the matrix: tokens that two documents or more have, and their groups
+    shared = table(_shared_tokens(signed.where(f"n >= {DEPTH}"), grouped), "shared")
+    sizes = grouped.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
+    matrix = shared.select("token", F.col("grp").alias("other")).distinct().join(sizes, "other")
+    # sets of similarity t differ in size by a factor of t at most
+    alike = (100 * F.col("n") >= percent * F.col("fewest")) & (100 * F.col("most") >= percent * F.col("n"))
     qualified = (
         shared.join(matrix, "token")
-        .where("grp < other")
+        .where((F.col("grp") < F.col("other")) & alike)
         .groupBy("cls", "other")
         .agg(F.count_distinct("token").alias("bound"))
         .where(f"bound >= {DEPTH}")
@@ -202,7 +217,7 @@ def jaccard_components(
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_set(x.as_py(), k).tobytes() for x in batch.column(1)]
+            sets = [_packed(shingle_set(x.as_py(), k)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "tokens"])
 
     sets = texts.mapInArrow(to_sets, "cls long, tokens binary").dropDuplicates(["cls"])
