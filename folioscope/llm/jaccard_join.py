@@ -1,10 +1,12 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets form a class. Classes are partitioned into groups of similar ones (at most
-``GROUP`` classes each); the matrix holds each group's union of signature tokens. Two sets of Jaccard similarity t
+Documents with equal shingle sets form a class. Classes that share a least shingle are compared in blocks, each with
+one pivot of its key, and what is linked so becomes a group of similar classes; a few more least shingles join groups
+by their representatives. The matrix holds each group's union of signature tokens. Two sets of Jaccard similarity t
 share at least DEPTH tokens of their signatures (the n - ceil(t n) + DEPTH first tokens in one global order, frequent
-tokens last), so a class opens only the groups whose union meets its signature in DEPTH tokens or more. In an opened
-group sets are compared exactly. What it returns are spanning links, never all pairs of a group.
+tokens last), so only groups whose unions share DEPTH tokens or more, from classes of fitting sizes, are opened: there
+the smaller group's sets are compared exactly with the larger one's. Groups are connected already, so no link within
+one is lost; what is returned are spanning links, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import components, small, table
-from folioscope.llm.shingles import WORDS, mixed, shingle_set
+from folioscope.llm.shingles import WORDS, shingle_set
 
 PERCENT = 75
 DEPTH = 3
 GROUP = 256
+#: Least shingles by which classes are put into groups: the first for all classes, the others for representatives.
+KINS = 4
+_ORDERS = [np.uint64(2 * x + 1) for x in np.random.Generator(np.random.PCG64(11)).integers(1, 2**62, KINS)]
 #: A token counts as frequent from so many documents of one Arrow batch on; the FREQUENT most frequent ones are put
 #: last in the order. The order decides what is cheap, never what is found.
 LOCALLY = 3
@@ -55,7 +60,7 @@ def frequent_tokens(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> DataFrame:
-    """Per document: doc_id, tkey (of its text), set_key, n, kin (its group's key) and signature."""
+    """Per document: doc_id, tkey (of its text), set_key, n, kins (its least shingles in KINS orders) and signature."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, text, k))
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -65,14 +70,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) ->
 
         known, often = frequent.value
         for batch in batches:
-            keys, sizes, kin, parts = [], [], [], []
+            keys, sizes, kins, parts = [], [], [], []
             for x in batch.column(2):
                 s = shingle_set(x.as_py(), k)
                 n = len(s)
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(n)
                 if n < DEPTH:  # such a set is linked with equal ones only
-                    kin.append(0)
+                    kins.append(np.zeros(KINS, np.int64))
                     parts.append(np.empty(0, np.int64))
                     continue
                 at = np.searchsorted(known, s)
@@ -80,20 +85,34 @@ def signatures(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) ->
                 f = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(n, np.int64)
                 order = np.lexsort((s, f))
                 parts.append((s[order[: n - least_overlap(n, percent) + DEPTH]] & np.uint64(TOKEN_MASK)).view(np.int64))
-                kin.append(int(mixed(s, 1).min().view(np.int64)))
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(kin, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "set_key", "n", "kin", "signature"])
+                kins.append(np.array([(s * x).min() for x in _ORDERS], np.uint64).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(kins, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "set_key", "n", "kins", "signature"])
 
-    schema = f"doc_id {kind}, tkey binary, set_key binary, n long, kin long, signature array<long>"
+    schema = f"doc_id {kind}, tkey binary, set_key binary, n long, kins array<long>, signature array<long>"
     tkey = F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("tkey")
     return docs.select(F.col(doc_id).alias("doc_id"), tkey, F.col(text)).mapInArrow(run, schema)
 
 
-def _shared_tokens(signed: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(cls, grp, n, token) of the signature tokens that stand in two documents or more."""
-    tokens = signed.select("row", F.explode("signature").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
-    return tokens.join(often, "token").join(grouped.select("row", "cls", "grp", "n"), "row").select("cls", "grp", "n", "token")
+def _matrix(signed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(token, comp, fewest, most): signature tokens of two groups or more; sizes of the sets that have the token."""
+    tokens = signed.select("row", "signature").join(grouped.select("row", "comp", "n"), "row")
+    tokens = tokens.select("comp", "n", F.explode("signature").alias("token"))
+    often = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return tokens.join(often.select("token"), "token").groupBy("token", "comp").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
+
+
+def _by_key(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grp, no, role, cls): classes of a key (key, cls) in blocks of about GROUP, the key's least class in each block.
+
+    Also the keys of two classes or more: key, pivot, blocks.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("pivot")).where("size > 1")
+    sizes = table(sizes.select("key", "pivot", F.ceil(F.col("size") / GROUP).alias("blocks")), "keys")
+    others = keys.join(small(sizes, sizes.count(), BROADCAST_ROWS), "key").where("cls != pivot")
+    others = others.select(F.col("key").alias("grp"), F.pmod(F.xxhash64("cls"), "blocks").alias("no"), F.lit(0).alias("role"), "cls")
+    pivots = sizes.select(F.col("key").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"), F.lit(0).alias("role"), F.col("pivot").alias("cls"))
+    return others.unionByName(pivots), sizes
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -168,50 +187,23 @@ def jaccard_components(
     filled = signed.where("n > 0")
     classes = table(
         filled.groupBy("set_key")
-        .agg(
-            F.min("doc_id").alias("least"),
-            F.min(F.struct("row", "doc_id", "tkey")).alias("rep"),
-            F.max("n").alias("n"),
-            F.max("kin").alias("kin"),
-        )
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct("row", "doc_id", "tkey", "kins")).alias("rep"), F.max("n").alias("n"))
         .withColumn("cls", F.monotonically_increasing_id()),
         "classes",
     )
-    # groups: classes of one key, split where there are more than GROUP
-    large = classes.where(f"n >= {DEPTH}").groupBy("kin").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
-    grouped = classes.where(f"n >= {DEPTH}").join(small(large, large.count(), BROADCAST_ROWS), "kin", "left")
-    split = F.pmod(F.xxhash64("cls"), F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1)))
-    grouped = table(grouped.select("rep.row", "rep", "cls", "n", F.xxhash64("kin", split).alias("grp")), "groups")
-    # the matrix: tokens that two documents or more have, and their groups
-    shared = table(_shared_tokens(signed.where(f"n >= {DEPTH}"), grouped), "shared")
-    sizes = grouped.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
-    matrix = shared.select("token", F.col("grp").alias("other")).distinct().join(sizes, "other")
-    # sets of similarity t differ in size by a factor of t at most
-    alike = (100 * F.col("n") >= percent * F.col("fewest")) & (100 * F.col("most") >= percent * F.col("n"))
-    qualified = (
-        shared.join(matrix, "token")
-        .where((F.col("grp") < F.col("other")) & alike)
-        .groupBy("cls", "other")
-        .agg(F.count_distinct("token").alias("bound"))
-        .where(f"bound >= {DEPTH}")
-        .select("cls", "other")
-    )
-    qualified = table(qualified, "qualified")
-    # blocks: a group's classes, with up to GROUP classes from elsewhere
-    asked = qualified.groupBy("other").agg(F.count("*").alias("asking"))
-    crowded = grouped.groupBy("grp").agg(F.count("*").alias("members"))
-    asked = crowded.join(asked, F.col("grp") == F.col("other"), "left").where("members > 1 or asking > 0")
-    asked = table(asked.select("grp", F.greatest(F.lit(1), F.ceil(F.coalesce("asking", F.lit(0)) / GROUP)).alias("blocks")), "asked")
-    here = asked.alias("k").join(grouped.select("grp", "cls").alias("g"), "grp")
-    here = here.select("cls", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"), F.lit(0).alias("role"))
-    there = qualified.withColumnRenamed("other", "grp").join(asked, "grp")
-    there = there.select("cls", "grp", F.pmod(F.xxhash64("cls"), "blocks").alias("no"), F.lit(1).alias("role"))
-    rows = table(here.unionByName(there), "blocks")
-    # full sets of the classes in some block only, from their texts
-    wanted = table(rows.select("cls").distinct().join(grouped.select("cls", "rep"), "cls").select("cls", "rep.doc_id", "rep.tkey"), "wanted")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("tkey"), F.col(text).alias("text"))
-    near = small(wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("tkey", "t"), wanted.count(), BROADCAST_ROWS)
-    texts = source.join(near, (F.col("tkey") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cls", "text")
+    reps = classes.where(f"n >= {DEPTH}").select("cls", "n", "rep.*")
+
+    def opened(blocks: DataFrame) -> DataFrame:
+        """Links (a, b) found in blocks (grp, no, role, cls); full sets are made from the texts."""
+        rows = table(blocks, "blocks")
+        wanted = table(rows.select("cls").distinct().join(reps, "cls").select("cls", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "wanted")
+        source = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("tkey"), F.col(text).alias("text"))
+        texts = source.join(small(wanted, wanted.count(), BROADCAST_ROWS), (F.col("tkey") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+        sets = texts.select("cls", "text").mapInArrow(to_sets, "cls long, tokens binary").dropDuplicates(["cls"])
+        block = F.xxhash64("grp", "no")
+        bucket = F.pmod(block, F.lit(max(1, rows.count() // 500)))
+        inside = rows.join(sets, "cls").select(bucket.alias("bucket"), block.alias("block"), "role", "cls", "tokens")
+        return table(open_blocks(inside, percent), "opened")
 
     def to_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -220,11 +212,56 @@ def jaccard_components(
             sets = [_packed(shingle_set(x.as_py(), k)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "tokens"])
 
-    sets = texts.mapInArrow(to_sets, "cls long, tokens binary").dropDuplicates(["cls"])
-    buckets = max(1, rows.count() // 1000)
-    block = F.xxhash64("grp", "no")
-    inside = rows.join(sets, "cls").select(F.pmod(block, F.lit(buckets)).alias("bucket"), block.alias("block"), "role", "cls", "tokens")
-    found = components(open_blocks(inside, percent))
+    # groups of similar classes: by the first least shingle, then by the others of one class for each group and key
+    first_key = F.xxhash64(F.col("kins")[0])
+    rows, sizes = _by_key(reps.select(first_key.alias("key"), "cls"))
+    found = components(opened(rows))
+    roots = found.withColumnRenamed("node", "cls")
+    keys = reps.join(roots, "cls", "left").select(F.coalesce("root", "cls").alias("comp"), "cls", F.posexplode(F.slice("kins", 2, KINS - 1)).alias("j", "kin"))
+    keys = keys.groupBy(F.xxhash64("j", "kin").alias("key"), "comp").agg(F.min("cls").alias("cls")).select("key", "cls")
+    tied = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = components(tied.unionByName(opened(_by_key(keys)[0])))
+    # a class without links stays with the block in which it has been compared
+    roots = found.withColumnRenamed("node", "cls")
+    kept = reps.join(roots, "cls", "left").withColumn("key", first_key)
+    kept = kept.join(small(sizes.select("key", "blocks"), sizes.count(), BROADCAST_ROWS), "key", "left")
+    own_block = F.xxhash64("key", F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1))))
+    grouped = table(kept.select("cls", "row", "n", F.coalesce("root", own_block).alias("comp"), F.col("root").isNotNull().alias("tied")), "groups")
+    # pairs of groups whose unions share DEPTH tokens of sets of fitting sizes (by a factor of t at most)
+    matrix = table(_matrix(signed.where(f"n >= {DEPTH}"), grouped), "matrix")
+    other = matrix.select("token", F.col("comp").alias("comp2"), F.col("fewest").alias("fewest2"), F.col("most").alias("most2"))
+    alike = (100 * F.col("most") >= percent * F.col("fewest2")) & (100 * F.col("most2") >= percent * F.col("fewest"))
+    pairs = matrix.join(other, "token").where((F.col("comp") < F.col("comp2")) & alike)
+    pairs = table(pairs.groupBy("comp", "comp2").agg(F.count("*").alias("bound")).where(f"bound >= {DEPTH}").select("comp", "comp2"), "pairs")
+    # blocks: up to GROUP classes of the larger group, with up to GROUP classes of smaller ones
+    members = table(grouped.groupBy("comp").agg(F.count("*").alias("members"), F.max("tied").alias("tied")), "members")
+    pairs = pairs.join(members, "comp").join(members.toDF("comp2", "members2", "tied2"), "comp2")
+    one, two = F.struct("members", "comp", "tied"), F.struct(F.col("members2").alias("members"), F.col("comp2").alias("comp"), F.col("tied2").alias("tied"))
+    pairs = pairs.select(F.least(one, two)["comp"].alias("ask"), F.greatest(one, two).alias("to"))
+    pairs = pairs.select("ask", "to.comp", "to.tied", F.ceil(F.col("to.members") / GROUP).alias("parts"))
+    asks = table(grouped.select(F.col("comp").alias("ask"), "cls").join(pairs, "ask").drop("ask"), "asks")
+    part = F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("members") / GROUP))
+    parted = grouped.select("comp", "cls").join(members, "comp").select(F.xxhash64("comp", part).alias("grp"), "cls")
+
+    def blocks(asks: DataFrame, chosen: F.Column) -> DataFrame:
+        """The asking classes with the ``chosen`` parts of ``comp``."""
+        asking = asks.select("cls", "comp", F.explode(chosen).alias("part"))
+        asking = table(asking.select("cls", F.xxhash64("comp", "part").alias("grp")), "asking")
+        asked = table(asking.groupBy("grp").agg(F.ceil(F.count("*") / GROUP).alias("blocks")), "asked")
+        there = asking.join(asked, "grp").select("grp", F.pmod(F.xxhash64("cls"), "blocks").alias("no"), F.lit(1).alias("role"), "cls")
+        no = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no")
+        return parted.join(asked, "grp").select("grp", no, F.lit(0).alias("role"), "cls").unionByName(there)
+
+    # a class asks one part of each linked group first, and then the others if it is not connected with that group
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    first = F.array(F.pmod(F.xxhash64("cls"), "parts"))
+    tied = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = components(tied.unionByName(opened(blocks(asks, F.when(F.col("tied"), first).otherwise(every)))))
+    left = asks.where("tied and parts > 1").join(found.toDF("cls", "r1"), "cls", "left").join(found.toDF("comp", "r2"), "comp", "left")
+    left = table(left.where(F.coalesce("r1", "cls") != F.coalesce("r2", "comp")).select("cls", "comp", "parts"), "asks")
+    if not left.isEmpty():
+        tied = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(tied.unionByName(opened(blocks(left, F.array_except(every, first)))))
     ids = classes.join(found, F.col("cls") == F.col("node"), "left").select("set_key", "least", F.coalesce("root", "cls").alias("root"))
     roots = ids.groupBy("root").agg(F.min("least").alias("component"))
     ids = ids.join(roots, "root").select("set_key", "component")
