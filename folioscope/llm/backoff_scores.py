@@ -20,8 +20,10 @@ from folioscope.llm.shingles import runs, words_of
 ORDER = 3
 DISCOUNT = 0.4
 #: Text in a chunk (a longer document is a chunk of its own) and in a range of the count tables, in bytes.
-CHUNK_BYTES = 12_000_000
-RANGE_BYTES = 8_000_000
+CHUNK_BYTES = 6_000_000
+RANGE_BYTES = 4_000_000
+#: N-grams of a chunk that are held before equal ones are counted together.
+MERGE_AT = 2_000_000
 
 
 def _bits(total: int) -> int:
@@ -90,6 +92,26 @@ def _texts(sizes: list[int], packed: bytes) -> Iterator[str]:
         at += n
 
 
+def _distinct(texts: Iterator[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the texts (sorted) and their counts; only as many are held as MERGE_AT and those found."""
+    value, count, held, some = np.empty(0, np.uint64), np.empty(0, np.int64), 0, []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *some]), return_counts=True)
+        if not len(value):
+            return found, n
+        both, at = np.unique(np.concatenate([value, found]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([count, n]), len(both)).astype(np.int64)
+        return both, total
+
+    for text in texts:
+        some += _ngrams(text, bits)
+        held += sum(map(len, some[-ORDER:]))
+        if held >= MERGE_AT:
+            (value, count), held, some = merged(), 0, []
+    return merged()
+
+
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score (sum of natural logs), mean_log_score (null without tokens).
 
@@ -109,8 +131,7 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
         for batch in batches:
             for chunk, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                grams = [g for t in _texts(sizes, packed.as_py()) for g in _ngrams(t, bits)]
-                value, count = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_counts=True)
+                value, count = _distinct(_texts(sizes, packed.as_py()), bits)
                 edges = np.searchsorted(value, np.arange((1 << spans) + 1, dtype=np.uint64) << np.uint64(shift))
                 rows = []
                 for k in np.flatnonzero(np.diff(edges)):
@@ -140,13 +161,18 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
         for batch in batches:
             for ids, sizes, packed, parts in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                sums = [_unpack(p["sums"], p["n"], 8) for p in parts.as_py() or []]
-                corpus = np.concatenate([np.empty(0, np.uint64), *sums]).astype(np.float64)
-                each = [[np.unique(g, return_inverse=True, return_counts=True) for g in _ngrams(t, bits)] for t in _texts(sizes, packed.as_py())]
-                known = np.unique(np.concatenate([np.empty(0, np.uint64), *[g for d in each for g, _, _ in d]]))
-                rest = [[(corpus[np.searchsorted(known, g)] - own)[inverse] for g, inverse, own in d] for d in each]
-                said = [_score(d, tokens) for d in rest]
-                n = [len(d[0]) for d in rest]
+                known, _ = _distinct(_texts(sizes, packed.as_py()), bits)
+                corpus, at = np.empty(len(known), np.int64), 0
+                for p in parts.values if parts.is_valid else ():
+                    m = p["n"].as_py()
+                    corpus[at : at + m] = _unpack(p["sums"].as_py(), m, 8)
+                    at += m
+                said, n = [], []
+                for t in _texts(sizes, packed.as_py()):
+                    d = [np.unique(g, return_inverse=True, return_counts=True) for g in _ngrams(t, bits)]
+                    rest = [(corpus[np.searchsorted(known, g)] - own)[inverse] for g, inverse, own in d]
+                    said.append(_score(rest, tokens))
+                    n.append(len(rest[0]))
                 mean = [s / k if k else None for s, k in zip(said, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(n, pa.int64()), pa.array(said, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
 
