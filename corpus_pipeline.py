@@ -24,8 +24,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines of recurring templates out of the texts; n_chars follows the text."""
-    cleaned = line_templates.drop_recurring_lines(docs)
+    """Take lines of recurring templates out of the texts, whatever their share; n_chars follows the text."""
+    cleaned = line_templates.drop_recurring_lines(docs, whole=True)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -137,6 +137,19 @@ def test_lines_of_copies_stay(spark):
     assert line_templates.drop_recurring_lines(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_lines_whatever_their_share(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 60)
+    short = [f"{prose(rng, 30, 10**6)}\n{passage}" for _ in range(8)]
+    family = "\n".join(prose(rng, 12, 10**6) for _ in range(15))
+    texts = short + [f"{family}\n{prose(rng, 5, 10**6)}" for _ in range(8)] + [f"{family}\nlast\n{passage}" for _ in range(2)]
+    rows = line_templates.drop_recurring_lines(docs(spark, texts), whole=True).collect()
+    said = {r["doc_id"]: r["text"] for r in rows}
+    assert [said[i] for i in range(8)] == [t.split("\n")[0] for t in short]
+    assert [said[i] for i in range(8, 16)] == texts[8:16]  # near copies have one vote
+    assert {said[16], said[17]} == {f"{family}\nlast"} and len(rows) == len(texts)
+
+
 # -- language
 
 
