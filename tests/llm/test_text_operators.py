@@ -219,6 +219,17 @@ def test_quality(spark):
     assert none.count() == len(rows) and none.where("kept").count() == len(rows) - 2 and quality.classify(df.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("trained", [199, 200])
+def test_quality_limits_rest_on_half(spark, monkeypatch, trained):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(80)), "en" if i % 2 else "de") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "LEAST", 30)
+    limits = {(r["lang"], r["limit"]) for r in quality.classify(df, labels, trained=trained).collect()}
+    assert len(limits) == 2 and len({x for _, x in limits}) == 2  # each language has its own
+
+
 def test_kneser_ney_sums_to_one(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(20)]
