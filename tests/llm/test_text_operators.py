@@ -150,6 +150,20 @@ def test_lines_whatever_their_share(spark):
     assert {said[16], said[17]} == {f"{family}\nlast"} and len(rows) == len(texts)
 
 
+def test_lines_of_every_length(spark):
+    rng = random.Random(10)
+    own = lambda: prose(rng, 80, 10**6)
+    passage, middle, rare = prose(rng, 60), prose(rng, 25), prose(rng, 10)
+    texts = [f"{own()}\n{passage}" for _ in range(2)] + [f"{own()}\n{middle}\n" for _ in range(3)] + [f"{own()}\n{rare}\nHome" for _ in range(5)]
+    texts += [f"{own()}\n\nNext page" for _ in range(50)] + [f"{passage}\n{prose(rng, 12, 10**6)}\n7" for _ in range(2)]
+    rows = line_templates.drop_recurring_lines(docs(spark, texts), whole=True).collect()
+    said = {r["doc_id"]: r["text"] for r in rows}
+    first = lambda i: texts[i].split("\n")[0]
+    assert all(said[i] == first(i) for i in range(2)) and all(said[i] == first(i) + "\n" for i in range(2, 5))
+    assert all(said[i] == texts[i] for i in range(5, 10)) and all(said[i] == first(i) + "\n" for i in range(10, 60))
+    assert all(said[i] == texts[i].split("\n", 1)[1] for i in (60, 61))
+
+
 # -- language
 
 
