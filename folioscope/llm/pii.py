@@ -25,11 +25,11 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Generators of further candidates; each match has a bounded length.
+#: Generators of further candidates; secrets and codes have any length, numbers up to 32 characters.
 GENERATORS = {
     "number": r"(?<![0-9A-Za-z])[0-9][0-9 ().-]{5,30}[0-9](?![0-9A-Za-z])",
-    "secret": r"(?i)(?<![a-z])(?:token|key|secret|password|passwd|pwd)[\"' ]{0,3}[=:][\"' ]{0,3}[a-z0-9+/_-]{8,128}",
-    "code": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,127}[0-9])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])",
+    "secret": r"(?i)(?<![a-z])(?:token|key|secret|password|passwd|pwd)[\"' ]{0,3}[=:][\"' ]{0,3}[a-z0-9+/_-]{8,}+",
+    "code": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
     "address": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[a-z0-9-]{2,63}){1,4}",
 }
 CONTEXT = 24
@@ -173,7 +173,8 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Base kinds come first (leftmost, non-overlapping within a kind), then kinds added by the trees, which may overlap
     others. A null text has no spans, as an empty one; repeated rows are each searched; a column named spans is
-    replaced, others pass through. Whole texts are searched, and matches may be of any length.
+    replaced, others pass through. Whole texts are searched, and matches may be of any length, but for
+    numbers (32 characters) and the parts of addresses (64).
     """
     df = docs.drop("spans").withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     trees, parts = model(), []

@@ -101,6 +101,17 @@ def test_added_personal_data(spark):
     assert "e7fb" not in rows[0]["clean"] and "9876" not in rows[1]["clean"] and rows[3]["clean"] == texts[3]
 
 
+def test_long_secrets_are_covered_whole(spark):
+    rng = random.Random(11)
+    long = "".join(rng.choice("0123456789abcdef") for _ in range(400))
+    token = "".join(rng.choice("ABCDEFabcdef0123456789xyzuvw") for _ in range(300))
+    texts = [f'my token = "{long}" ok', f"the api key {token} ok", "a" * 200_000, "token=" + "a" * 200_000]
+    rows = pii.find_personal_data(docs(spark, texts)).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
+    clean = {r["doc_id"]: r["clean"] for r in rows}
+    assert long[-20:] not in clean[0] and clean[0].endswith('" ok') and token[-20:] not in clean[1] and clean[1].endswith(" ok")
+    assert clean[2] == texts[2] and len(clean[3]) in (len(texts[3]), len("[secret]"))
+
+
 def test_feature_twins(spark):
     values = [('token = "abc123DEF"', "my secret "), ("(555) 123-4567", "Phone: "), ("x (AT) y DOT z", "$ "), ("", "")]
     df = spark.createDataFrame(values, "v string, b string")
