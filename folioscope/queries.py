@@ -248,6 +248,11 @@ def text_extract_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.text_summary(_lines(spark, sf_dir), "1-5")
 
 
+@_query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS pages_scanned, CAST(sum(length(text)) AS BIGINT) AS characters FROM ({LINES}) GROUP BY doc_id")
+def text_extract_all_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.text_summary(_lines(spark, sf_dir))
+
+
 _LINKS = """SELECT doc_id, CAST(i - 1 AS INTEGER) AS link_ord, uris[i] AS uri FROM (SELECT *, unnest(range(1, len(uris) + 1)) AS i FROM
     (SELECT CAST(page_id AS VARCHAR) AS doc_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS uris FROM pages)) WHERE uris[i] <> ''"""
 

@@ -37,6 +37,12 @@ def test_query_equals_sql(spark, sql, name):
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == rows
 
 
+def test_whole_texts_are_extracted(spark, tmp_path):
+    spark.createDataFrame([(1, "\n".join("abcdefgh")), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = engine.queries()["text_extract_all_chars"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["pages_scanned"], r["characters"]) for r in rows) == [("1", 8, 8), ("2", 1, 0)]
+
+
 def test_keywords_do_not_make_joins(spark):
     pages = spark.createDataFrame([("a", 1, "x y")], "doc_id string, page int, text string")
     plan = search.document_summary(search.page_counts(pages, ["x", "y"]))._jdf.queryExecution().toString()
