@@ -1,12 +1,16 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets form a class. Classes that share a least shingle are compared in blocks, each with
-one pivot of its key, and what is linked so becomes a group of similar classes; a few more least shingles join groups
-by their representatives. The matrix holds each group's union of signature tokens. Two sets of Jaccard similarity t
-share at least DEPTH tokens of their signatures (the n - ceil(t n) + DEPTH first tokens in one global order, frequent
-tokens last), so only groups whose unions share DEPTH tokens or more, from classes of fitting sizes, are opened: there
-the smaller group's sets are compared exactly with the larger one's. Groups are connected already, so no link within
-one is lost; what is returned are spanning links, never all pairs of a group.
+Shingle tokens are counted over the whole corpus, so that each set can be read from its rarest token on. The signature
+of a set of n tokens holds its n - ceil(t n) + depth(n) rarest ones; two sets of similarity t share at least as many
+signature tokens as the depth of the smaller one. Tokens of a single document cannot be shared and are left out, and a
+set that keeps too few of its signature is linked with nothing.
+
+The other sets form classes of equal sets. Classes that share a least shingle are compared in blocks, each with one
+pivot of its key, and what is linked so becomes a group of similar classes; a few more least shingles join groups by
+their representatives. The matrix holds each group's union of signature tokens. The overlap of two groups' unions
+bounds that of their classes, so only groups that share the depth of the smallest set that could be linked are opened:
+there the smaller group's sets are compared exactly with the larger one's. Groups are connected already, so no link
+within one is lost; what is returned are spanning links, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -15,91 +19,145 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import components, small, table
+from folioscope.llm.blocks import PLACE_BITS, by_span, chunks, pack, texts_of, unpack
+from folioscope.llm.shared import components, discard, small, table
 from folioscope.llm.shingles import WORDS, shingle_set
 
 PERCENT = 75
+#: Signature tokens that linked sets must share: DEPTH at least, and one for each STEP tokens of the smaller set.
 DEPTH = 3
+STEP = 16
 GROUP = 256
 #: Least shingles by which classes are put into groups: the first for all classes, the others for representatives.
 KINS = 4
 _ORDERS = [np.uint64(2 * x + 1) for x in np.random.Generator(np.random.PCG64(11)).integers(1, 2**62, KINS)]
-#: A token counts as frequent from so many documents of one Arrow batch on; the FREQUENT most frequent ones are put
-#: last in the order. The order decides what is cheap, never what is found.
-LOCALLY = 3
-FREQUENT = 200_000
+#: Tokens are counted by so many leading bits; where two meet, both count as more frequent, which orders them later
+#: and loses nothing. A range of the count tables takes the tokens of about RANGE_BYTES of text.
+COUNT_BITS = 40
+RANGE_BYTES = 4_000_000
 BROADCAST_ROWS = 500_000
-#: Signature tokens keep so many bits: a chance collision only lets one more group be opened.
-TOKEN_MASK = (1 << 48) - 1
 
 
 def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def frequent_tokens(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts, at most FREQUENT."""
+def depth(n: int) -> int:
+    """Signature tokens that a set of ``n`` tokens shares with every linked set that is no smaller."""
+    return max(DEPTH, n // STEP)
 
-    def run(batches: Iterator) -> Iterator:
+
+def _sets(sizes: list[int], texts: bytes, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sets of a chunk's texts, its distinct leading bits (sorted) and in how many sets each occurs."""
+    sets = [shingle_set(t, k) for t in texts_of(sizes, texts)]
+    each = [np.unique(s >> np.uint64(64 - COUNT_BITS)) for s in sets]
+    return sets, *np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes on a scale of eighths of a doubling; 0 for 1."""
+    return np.minimum(255, np.ceil(8 * np.log2(counts))).astype(np.uint8)
+
+
+def token_levels(dealt: DataFrame, size: int, k: int) -> DataFrame:
+    """(chunk, levels): the frequency level over all chunks of each of the chunk's distinct leading bits, in order."""
+    spans = max(1, size // RANGE_BYTES).bit_length()
+
+    def spread(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = {"span": pa.int64(), "chunk": pa.int64(), "n": pa.int64(), "tokens": pa.binary(), "counts": pa.binary()}
         for batch in batches:
-            sets = [shingle_set(x.as_py(), k) for x in batch.column(0)]
-            token, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            keep = count >= LOCALLY
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep])], ["token", "n"])
+            for chunk, sizes, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                _, key, count = _sets(sizes, texts.as_py(), k)
+                rows = [
+                    (span, chunk, b - a, pack(np.diff(key[a:b], prepend=np.uint64(0)), COUNT_BITS // 8), pack(count[a:b], 4))
+                    for span, a, b in by_span(key, COUNT_BITS, spans)
+                ]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    def count(pdf):
+        import pandas as pd
+
+        key = np.concatenate([np.cumsum(unpack(t, n, COUNT_BITS // 8), dtype=np.uint64) for t, n in zip(pdf["tokens"], pdf["n"], strict=True)])
+        weight = np.concatenate([unpack(c, n, 4) for c, n in zip(pdf["counts"], pdf["n"], strict=True)])
+        _, at = np.unique(key, return_inverse=True)
+        level = _levels(np.bincount(at, weight))[at]
+        ends = np.cumsum(pdf["n"].to_numpy())
+        levels = [pack(level[e - n : e], 1) for e, n in zip(ends, pdf["n"], strict=True)]
+        return pd.DataFrame({"span": pdf["span"], "chunk": pdf["chunk"], "n": pdf["n"], "levels": levels})
 
-    found = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    token = rows["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], rows["n"].to_numpy(np.int64)[order]
+    blocks = dealt.select("chunk", "sizes", "texts").mapInArrow(spread, "span long, chunk long, n long, tokens binary, counts binary")
+    return blocks.groupBy("span").applyInPandas(count, "span long, chunk long, n long, levels binary")
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> DataFrame:
-    """Per document: doc_id, tkey (of its text), set_key, n, kins (its least shingles in KINS orders) and signature."""
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, text, k))
+    """Per document: row, doc_id, set_key, n; and where links are possible kins (its least shingles in KINS orders),
+    signature and tokens (the whole set, for the first document of a chunk that has it)."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = table(chunks(docs, doc_id, text), "chunks")
+    levels = table(token_levels(dealt, size, k), "levels")
+    back = levels.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("span", "n", "levels"))).alias("parts"))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known, often = frequent.value
         for batch in batches:
-            keys, sizes, kins, parts = [], [], [], []
-            for x in batch.column(2):
-                s = shingle_set(x.as_py(), k)
-                n = len(s)
-                keys.append(blake2b(s.tobytes(), digest_size=16).digest())
-                sizes.append(n)
-                if n < DEPTH:  # such a set is linked with equal ones only
-                    kins.append(np.zeros(KINS, np.int64))
-                    parts.append(np.empty(0, np.int64))
-                    continue
-                at = np.searchsorted(known, s)
-                at[at == len(known)] = 0
-                f = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(n, np.int64)
-                order = np.lexsort((s, f))
-                parts.append((s[order[: n - least_overlap(n, percent) + DEPTH]] & np.uint64(TOKEN_MASK)).view(np.int64))
-                kins.append(np.array([(s * x).min() for x in _ORDERS], np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(kins, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "set_key", "n", "kins", "signature"])
-
-    schema = f"doc_id {kind}, tkey binary, set_key binary, n long, kins array<long>, signature array<long>"
-    tkey = F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("tkey")
-    return docs.select(F.col(doc_id).alias("doc_id"), tkey, F.col(text)).mapInArrow(run, schema)
-
-
-def _matrix(signed: DataFrame, grouped: DataFrame) -> DataFrame:
+            for chunk, ids, sizes, texts, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                sets, key, _ = _sets(sizes, texts.as_py(), k)
+                level = np.concatenate([np.empty(0, np.uint64), *[unpack(p["levels"], p["n"], 1) for p in parts.as_py() or ()]])
+                keys, kins, signs, tokens, met = [], [], [], [], set()
+                for s in sets:
+                    n = len(s)
+                    keys.append(name := blake2b(s.tobytes(), digest_size=16).digest())
+                    first = name not in met
+                    met.add(name)
+                    often = level[np.searchsorted(key, s >> np.uint64(64 - COUNT_BITS))]
+                    sign = s[np.lexsort((s, often))[: n - least_overlap(n, percent) + depth(n)]] if n >= DEPTH else s[:0]
+                    sign = sign[often[np.searchsorted(s, sign)] > 0]
+                    if n < DEPTH or len(sign) < depth(least_overlap(n, percent)):
+                        kins.append(None)
+                        signs.append(None)
+                        tokens.append(None)
+                        continue
+                    kins.append(np.array([(s * x).min() for x in _ORDERS], np.uint64).view(np.int64))
+                    signs.append(sign.view(np.int64))
+                    tokens.append(s.tobytes() if first else None)
+                numbers = pa.list_(pa.int64())
+                columns = [
+                    pa.array((chunk << PLACE_BITS) + np.arange(len(sets))), ids.values, pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(kins, numbers), pa.array(signs, numbers), pa.array(tokens, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "set_key", "n", "kins", "signature", "tokens"])
+
+    schema = f"row long, doc_id {kind}, set_key binary, n long, kins array<long>, signature array<long>, tokens binary"
+    rows = dealt.join(back, "chunk", "left").select("chunk", "ids", "sizes", "texts", "parts")
+    signed = table(rows.mapInArrow(run, schema), "signatures")
+    discard(dealt, levels)
+    return signed
+
+
+def _matrix(classes: DataFrame, grouped: DataFrame) -> DataFrame:
     """(token, comp, fewest, most): signature tokens of two groups or more; sizes of the sets that have the token."""
-    tokens = signed.select("row", "signature").join(grouped.select("row", "comp", "n"), "row")
+    tokens = classes.select("cls", "signature").join(grouped.select("cls", "comp", "n"), "cls")
     tokens = tokens.select("comp", "n", F.explode("signature").alias("token"))
-    often = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return tokens.join(often.select("token"), "token").groupBy("token", "comp").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
+    tokens = table(tokens.groupBy("token", "comp").agg(F.min("n").alias("fewest"), F.max("n").alias("most")), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    matrix = table(tokens.join(often.select("token"), "token"), "matrix")
+    discard(tokens)
+    return matrix
+
+
+def _least_shared(low: str, low2: str, percent: int) -> Column:
+    """Signature tokens that any two linked sets share of groups whose smallest sets have ``low`` and ``low2`` tokens."""
+    least = lambda own, other: F.greatest(F.col(own), F.ceil(F.lit(percent) * F.col(other) / 100))
+    smaller = F.least(least(low, low2), least(low2, low))
+    return F.greatest(F.lit(DEPTH), F.floor(smaller / STEP))
 
 
 def _by_key(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,15 +173,20 @@ def _by_key(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return others.unionByName(pivots), sizes
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """The low 48 bits of each token."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A tree of links for each component of a symmetric boolean matrix."""
+    left, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not left[start]:
+            continue
+        left[start], reached = False, [start]
+        while reached:
+            i = reached.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            reached += new.tolist()
+            out += [(i, int(j)) for j in new]
+    return out
 
 
 def open_blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +198,7 @@ def open_blocks(rows: DataFrame, percent: int) -> DataFrame:
         out: list[tuple[int, int]] = []
         for _, block in pdf.groupby("block", sort=False):
             cls, role = block["cls"].to_numpy(), block["role"].to_numpy()
-            sets = [_unpacked(x) for x in block["tokens"]]
+            sets = [np.frombuffer(x, np.uint64) for x in block["tokens"]]
             if len(sets) < 2:
                 continue
             sizes = np.array([len(s) for s in sets])
@@ -156,15 +219,7 @@ def open_blocks(rows: DataFrame, percent: int) -> DataFrame:
             linked &= ~((role[:, None] == 1) & (role[None, :] == 1))
             linked = linked | linked.T
             np.fill_diagonal(linked, False)
-            left = set(range(len(sets)))
-            while left:  # a tree of links in place of all links
-                reached = [left.pop()]
-                while reached:
-                    i = reached.pop()
-                    for j in [j for j in np.flatnonzero(linked[i]) if j in left]:
-                        left.discard(j)
-                        reached.append(j)
-                        out.append((cls[i], cls[j]))
+            out += [(cls[i], cls[j]) for i, j in spanning(linked)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("bucket").applyInPandas(run, "a long, b long")
@@ -176,41 +231,28 @@ def jaccard_components(
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
 
     Null, empty and wordless texts have an empty set and are linked with nothing; equal sets are always linked;
-    repeated rows each give a row, null ids count for no minimum; an empty table gives no rows; other columns are not
-    read. Every pair of similarity of at least ``percent`` (67 to 100) is found (set elements are
-    64-bit hashes, of which 48 bits are compared).
+    repeated rows each give a row, null ids count for no minimum; texts of any length are read whole (a text longer than
+    a chunk is a chunk of its own); an empty table gives no rows; other columns are not read. Every pair of similarity
+    of at least ``percent`` (67 to 100) is found (set elements are 64-bit hashes).
     """
     if not 67 <= percent <= 100:
         raise ValueError("percent must be 67 to 100: below, sets of two shingles can be linked with others")
-    spark = docs.sparkSession
-    signed = table(signatures(docs, doc_id, text, percent, k).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    filled = signed.where("n > 0")
-    classes = table(
-        filled.groupBy("set_key")
-        .agg(F.min("doc_id").alias("least"), F.min(F.struct("row", "doc_id", "tkey", "kins")).alias("rep"), F.max("n").alias("n"))
-        .withColumn("cls", F.monotonically_increasing_id()),
-        "classes",
-    )
-    reps = classes.where(f"n >= {DEPTH}").select("cls", "n", "rep.*")
+    signed = signatures(docs, doc_id, text, percent, k)
+    # classes of equal sets, of those that can be linked with others; cls is the row of the first document
+    can_link = F.col("signature").isNotNull() | F.col("n").between(1, DEPTH - 1)
+    classes = table(signed.where(can_link).groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("row").alias("cls")), "classes")
+    reps = table(classes.select("cls").join(signed.where("signature is not null").withColumnRenamed("row", "cls"), "cls").select("cls", "n", "kins", "signature"), "reps")
+    sets = table(classes.select("cls").join(signed.where("tokens is not null").select(F.col("row").alias("cls"), "tokens"), "cls"), "sets")
 
     def opened(blocks: DataFrame) -> DataFrame:
-        """Links (a, b) found in blocks (grp, no, role, cls); full sets are made from the texts."""
+        """Links (a, b) found in blocks (grp, no, role, cls)."""
         rows = table(blocks, "blocks")
-        wanted = table(rows.select("cls").distinct().join(reps, "cls").select("cls", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "wanted")
-        source = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("tkey"), F.col(text).alias("text"))
-        texts = source.join(small(wanted, wanted.count(), BROADCAST_ROWS), (F.col("tkey") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-        sets = texts.select("cls", "text").mapInArrow(to_sets, "cls long, tokens binary").dropDuplicates(["cls"])
         block = F.xxhash64("grp", "no")
         bucket = F.pmod(block, F.lit(max(1, rows.count() // 500)))
         inside = rows.join(sets, "cls").select(bucket.alias("bucket"), block.alias("block"), "role", "cls", "tokens")
-        return table(open_blocks(inside, percent), "opened")
-
-    def to_sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [_packed(shingle_set(x.as_py(), k)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "tokens"])
+        links = table(open_blocks(inside, percent), "opened")
+        discard(rows)
+        return links
 
     # groups of similar classes: by the first least shingle, then by the others of one class for each group and key
     first_key = F.xxhash64(F.col("kins")[0])
@@ -226,20 +268,21 @@ def jaccard_components(
     kept = reps.join(roots, "cls", "left").withColumn("key", first_key)
     kept = kept.join(small(sizes.select("key", "blocks"), sizes.count(), BROADCAST_ROWS), "key", "left")
     own_block = F.xxhash64("key", F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1))))
-    grouped = table(kept.select("cls", "row", "n", F.coalesce("root", own_block).alias("comp"), F.col("root").isNotNull().alias("tied")), "groups")
-    # pairs of groups whose unions share DEPTH tokens of sets of fitting sizes (by a factor of t at most)
-    matrix = table(_matrix(signed.where(f"n >= {DEPTH}"), grouped), "matrix")
+    grouped = table(kept.select("cls", "n", F.coalesce("root", own_block).alias("comp"), F.col("root").isNotNull().alias("tied")), "groups")
+    # pairs of groups whose unions share enough tokens of sets of fitting sizes (by a factor of t at most)
+    matrix = _matrix(reps, grouped)
     other = matrix.select("token", F.col("comp").alias("comp2"), F.col("fewest").alias("fewest2"), F.col("most").alias("most2"))
     alike = (100 * F.col("most") >= percent * F.col("fewest2")) & (100 * F.col("most2") >= percent * F.col("fewest"))
     pairs = matrix.join(other, "token").where((F.col("comp") < F.col("comp2")) & alike)
-    pairs = table(pairs.groupBy("comp", "comp2").agg(F.count("*").alias("bound")).where(f"bound >= {DEPTH}").select("comp", "comp2"), "pairs")
+    pairs = table(pairs.groupBy("comp", "comp2").agg(F.count("*").alias("bound")).where(f"bound >= {DEPTH}"), "pairs")
+    members = table(grouped.groupBy("comp").agg(F.count("*").alias("members"), F.max("tied").alias("tied"), F.min("n").alias("low")), "members")
+    near = pairs.join(members, "comp").join(members.toDF("comp2", "members2", "tied2", "low2"), "comp2").where(F.col("bound") >= _least_shared("low", "low2", percent))
     # blocks: up to GROUP classes of the larger group, with up to GROUP classes of smaller ones
-    members = table(grouped.groupBy("comp").agg(F.count("*").alias("members"), F.max("tied").alias("tied")), "members")
-    pairs = pairs.join(members, "comp").join(members.toDF("comp2", "members2", "tied2"), "comp2")
     one, two = F.struct("members", "comp", "tied"), F.struct(F.col("members2").alias("members"), F.col("comp2").alias("comp"), F.col("tied2").alias("tied"))
-    pairs = pairs.select(F.least(one, two)["comp"].alias("ask"), F.greatest(one, two).alias("to"))
-    pairs = pairs.select("ask", "to.comp", "to.tied", F.ceil(F.col("to.members") / GROUP).alias("parts"))
-    asks = table(grouped.select(F.col("comp").alias("ask"), "cls").join(pairs, "ask").drop("ask"), "asks")
+    near = near.select(F.least(one, two)["comp"].alias("ask"), F.greatest(one, two).alias("to"))
+    near = near.select("ask", "to.comp", "to.tied", F.ceil(F.col("to.members") / GROUP).alias("parts"))
+    asks = table(grouped.select(F.col("comp").alias("ask"), "cls").join(near, "ask").drop("ask"), "asks")
+    discard(matrix, pairs)
     part = F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("members") / GROUP))
     parted = grouped.select("comp", "cls").join(members, "comp").select(F.xxhash64("comp", part).alias("grp"), "cls")
 
@@ -262,9 +305,9 @@ def jaccard_components(
     if not left.isEmpty():
         tied = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = components(tied.unionByName(opened(blocks(left, F.array_except(every, first)))))
-    ids = classes.join(found, F.col("cls") == F.col("node"), "left").select("set_key", "least", F.coalesce("root", "cls").alias("root"))
-    roots = ids.groupBy("root").agg(F.min("least").alias("component"))
-    ids = ids.join(roots, "root").select("set_key", "component")
-    return signed.join(ids, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    ids = table(classes.join(found, F.col("cls") == F.col("node"), "left").select("set_key", "least", F.coalesce("root", "cls").alias("root")), "ids")
+    roots = table(ids.groupBy("root").agg(F.min("least").alias("component")), "roots")
+    named = table(ids.join(roots, "root").select("set_key", "component"), "named")
+    discard(classes, reps, sets, grouped, members, asks, left, ids, roots)
+    alone = signed.where(~can_link).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return signed.where(can_link).join(named, "set_key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(alone)

@@ -26,11 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir[0]
 
 
+#: Spark's setting by which an execution's shuffle files go as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/folioscope-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
+
+    The shuffle files behind it are removed once it is written; ``discard`` removes the table itself.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/folioscope-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folioscope_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``table`` whose rows have been consumed: nothing may read them afterwards."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._folioscope_path)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -38,12 +61,20 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every u of the distinct ``pairs`` (u > v) has one v, which is no u itself: then each v is a root."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.where("down > 1 or down = 1 and up = 1").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``links`` by alternating large-star and small-star rounds.
 
     Returns (node, root): every node that has a link to another node, with the smallest node reachable. Links with a
-    null end and self-links are ignored. Each round is a group-by minimum and a join, so a hub's rows are never
-    gathered in one task, and each round is written to the shared folder.
+    null end and self-links are ignored. A hub's least neighbour is a written table, so that adaptive execution can split
+    the hub's rows among tasks in the join with it; a round's tables are deleted when the next one is written.
     """
     pairs = table(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -51,10 +82,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "links",
     )
-    known = None
-    while True:
+    while not _stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # large-star: every larger neighbour of u is tied to the least node around u
         large = (
             both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -68,15 +98,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        pairs = table(tied, "links")
-        state = pairs.agg(
-            F.count("*").alias("n"),
-            F.countDistinct("u").alias("nodes"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest"),
-        ).first()
-        if state == known and state["n"] == state["nodes"]:
-            break
-        known = state
+        before, pairs = pairs, table(tied, "links")
+        discard(before, least)
     return (
         pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         .unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")))

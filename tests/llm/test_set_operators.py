@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import cap_filters, jaccard_join, packing, sharding
+from folioscope.llm import blocks, cap_filters, jaccard_join, packing, sharding
 from folioscope.llm.shared import components
 from folioscope.llm.shingles import sequences, shingle_set, words_of
 
@@ -144,7 +144,8 @@ def brute_components(texts):
 @pytest.mark.parametrize("group", [256, 3])
 def test_jaccard(spark, monkeypatch, group):
     monkeypatch.setattr(jaccard_join, "GROUP", group)
-    monkeypatch.setattr(jaccard_join, "LOCALLY", 2)
+    monkeypatch.setattr(blocks, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(jaccard_join, "RANGE_BYTES", 3000)
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(60)}"
     texts = [None, "", "  ", "one", "ONE", "one two", "a b c d", "a b c d e", "a b c d e f", "a  B c d e f g", "a b c d e f g h"]
