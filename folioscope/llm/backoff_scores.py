@@ -1,9 +1,9 @@
 """LM scoring by stupid backoff over the n-gram counts of the whole corpus.
 
-Documents are dealt into chunks. A chunk's n-grams are exploded, its distinct ones sent by hash range to the count
-tables' partitions (as packed blocks: one row for each chunk and range), summed there over all chunks, joined back to
-the chunk by the same order, and the scores of each document's tokens are summed. A document's own occurrences are
-taken off the counts, so that it is scored by the rest of the corpus.
+Documents are dealt into chunks. Each chunk's distinct n-grams are exploded into rows, dealt by hash to the partitions
+of the count tables, counted there over all chunks and joined with the counts; n-grams that no other chunk has need no
+row back. The scores of each document's tokens are summed from the counts of its chunk. A document's own occurrences
+are taken off the counts, so that it is scored by the rest of the corpus.
 """
 
 from __future__ import annotations
@@ -14,165 +14,117 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import table
-from folioscope.llm.shingles import runs, words_of
+from folioscope.llm.blocks import by_span, chunks, pack, texts_of, unpack
+from folioscope.llm.shared import discard, table
+from folioscope.llm.shingles import runs_of_many, words_of
 
 ORDER = 3
 DISCOUNT = 0.4
-#: Text in a chunk (a longer document is a chunk of its own) and in a range of the count tables, in bytes.
-CHUNK_BYTES = 6_000_000
-RANGE_BYTES = 4_000_000
-#: N-grams of a chunk that are held before equal ones are counted together.
-MERGE_AT = 2_000_000
+#: Text whose n-grams make up one bucket of the count tables, in bytes.
+BUCKET_BYTES = 4_000_000
+#: Lets tables dealt by bucket alone be joined on n-gram and bucket without dealing them anew.
+_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
-def _bits(total: int) -> int:
-    """Bits of an n-gram's hash: they grow with the corpus, so that about one n-gram in a million meets another's."""
-    return min(60, max(40, total.bit_length() + 18))
+def _ngrams(texts: Iterator[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words of each text, and the n-grams of each order with the word they start at."""
+    words = [words_of(t) for t in texts]
+    return np.fromiter(map(len, words), np.int64, len(words)), runs_of_many(words, tuple(range(1, ORDER + 1)))
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """Integers as byte planes, which compress well where high bytes are mostly zero."""
-    import pyarrow as pa
+def exploded(dealt: DataFrame, spans: int) -> DataFrame:
+    """(bucket, chunk, grams, own): each chunk's distinct n-grams and their counts in it, by range of hash."""
 
-    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            for chunk, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                value, count = np.unique(np.concatenate([h for h, _ in _ngrams(texts_of(sizes, packed.as_py()))[1]]), return_counts=True)
+                slices = by_span(value, 64, spans)
+                ends = pa.array([a for _, a, _ in slices] + [len(value)], pa.int32())
+                columns = [
+                    pa.array([k for k, _, _ in slices], pa.int64()),
+                    pa.array([chunk] * len(slices), pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
+                    pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "grams", "own"])
 
-def _unpack(data: bytes, n: int, width: int) -> np.ndarray:
-    import pyarrow as pa
+    return dealt.select("chunk", "sizes", "texts").mapInArrow(run, "bucket long, chunk long, grams array<long>, own array<int>")
 
-    if not n:
-        return np.empty(0, f"<u{width}")
-    planes = np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
+def shared_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, chunk, found): of n-grams that several chunks have, their place in the chunk's bucket and their count.
 
-def _ngrams(text: str, bits: int) -> list[np.ndarray]:
-    return [h >> np.uint64(64 - bits) for h in runs(words_of(text), tuple(range(1, ORDER + 1)))]
+    ``rows`` as of ``exploded``. Every chunk has a row for an n-gram at most, so no n-gram weighs more than there are
+    chunks.
+    """
+    # both sides read all columns, so that one exchange serves the counting and the join
+    grams = rows.repartition("bucket").select("bucket", "chunk", F.posexplode(F.arrays_zip("grams", "own")).alias("at", "x"))
+    grams = grams.select("bucket", "chunk", "at", F.col("x.grams").alias("gram"), F.col("x.own").alias("own"))
+    counts = grams.groupBy("gram", "bucket").agg(F.sum("own").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    counts = counts.where("low < high").select("gram", "bucket", "total")
+    met = grams.join(counts.hint("shuffle_hash"), ["gram", "bucket"]).where("total > own")
+    return met.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("at", "total")).alias("found"))
 
 
-def chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(chunk, ids, sizes, texts): consecutive documents of a task, their UTF-8 texts compressed together."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def _packed(found: DataFrame) -> DataFrame:
+    """(bucket, chunk, n, places, totals): the lists of ``shared_counts`` as blocks."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        no, total, ids, sizes, parts = TaskContext.get().partitionId() << 32, 0, [], [], []
-
-        def whole() -> pa.RecordBatch:
-            columns = [pa.array([no], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(parts), "zstd", asbytes=True)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "texts"])
 
         for batch in batches:
-            id_type = batch.schema.types[0]
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = (x.as_py() or "").encode()
-                if ids and total + len(data) > CHUNK_BYTES:
-                    yield whole()
-                    no, total, ids, sizes, parts = no + 1, 0, [], [], []
-                total += len(data)
-                ids.append(key)
-                sizes.append(len(data))
-                parts.append(data)
-        if ids:
-            yield whole()
-
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<long>, texts binary")
-
-
-def _texts(sizes: list[int], packed: bytes) -> Iterator[str]:
-    import pyarrow as pa
-
-    data, at = pa.decompress(packed, sum(sizes), "zstd", asbytes=True) if sum(sizes) else b"", 0
-    for n in sizes:
-        yield data[at : at + n].decode()
-        at += n
-
-
-def _distinct(texts: Iterator[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of the texts (sorted) and their counts; only as many are held as MERGE_AT and those found."""
-    value, count, held, some = np.empty(0, np.uint64), np.empty(0, np.int64), 0, []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *some]), return_counts=True)
-        if not len(value):
-            return found, n
-        both, at = np.unique(np.concatenate([value, found]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([count, n]), len(both)).astype(np.int64)
-        return both, total
-
-    for text in texts:
-        some += _ngrams(text, bits)
-        held += sum(map(len, some[-ORDER:]))
-        if held >= MERGE_AT:
-            (value, count), held, some = merged(), 0, []
-    return merged()
+            n, places, totals = [], [], []
+            for x in batch.column(2):
+                at, total = x.values.field(0).to_numpy(), x.values.field(1).to_numpy()
+                order = np.argsort(at)
+                n.append(len(at))
+                places.append(pack(np.diff(at[order], prepend=0), 4))
+                totals.append(pack(total[order], 8))
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(places, pa.binary()), pa.array(totals, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "n", "places", "totals"])
+
+    return found.mapInArrow(run, "bucket long, chunk long, n long, places binary, totals binary")
 
 
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score (sum of natural logs), mean_log_score (null without tokens).
 
     A token's score is the count of its longest n-gram that the other documents have (ORDER words at most) over that of
-    its history, times DISCOUNT for each shorter step; a word they lack counts as half an occurrence. Null and empty
-    texts have no tokens and score 0; repeated rows are documents of their own; an empty table gives no rows; other
-    columns are not read.
+    its history, times DISCOUNT for each shorter step; a word they lack counts as half an occurrence. N-grams are
+    compared by 64-bit hashes. Null and empty texts have no tokens and score 0; texts of any length are read whole (a
+    text longer than a chunk is a chunk of its own); repeated rows are documents of their own; an empty table gives no
+    rows; other columns, whatever their names, are not read.
     """
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits, spans = _bits(size), max(1, (size // RANGE_BYTES)).bit_length()
-    shift = bits - spans
+    spans = max(1, size // BUCKET_BYTES).bit_length()
     dealt = table(chunks(docs, doc_id, text), "chunks")
     kind = docs.schema[doc_id].dataType.simpleString()
-
-    def explode(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for chunk, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                value, count = _distinct(_texts(sizes, packed.as_py()), bits)
-                edges = np.searchsorted(value, np.arange((1 << spans) + 1, dtype=np.uint64) << np.uint64(shift))
-                rows = []
-                for k in np.flatnonzero(np.diff(edges)):
-                    v, c = value[edges[k] : edges[k + 1]], count[edges[k] : edges[k + 1]]
-                    rows.append((int(k), chunk, len(v), _pack(np.diff(v, prepend=np.uint64(0)), 8), _pack(c, 4)))
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["span", "chunk", "n", "grams", "counts"])
-
-    def count(pdf):
-        import pandas as pd
-
-        values = [np.cumsum(_unpack(g, n, 8), dtype=np.uint64) for g, n in zip(pdf["grams"], pdf["n"], strict=True)]
-        _, at = np.unique(np.concatenate(values), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unpack(c, n, 4) for c, n in zip(pdf["counts"], pdf["n"], strict=True)]))[at]
-        ends = np.cumsum(pdf["n"].to_numpy())
-        sums = [_pack(total[e - n : e].astype(np.uint64), 8) for e, n in zip(ends, pdf["n"], strict=True)]
-        return pd.DataFrame({"span": pdf["span"], "chunk": pdf["chunk"], "n": pdf["n"], "sums": sums})
-
-    blocks = dealt.select("chunk", "sizes", "texts").mapInArrow(explode, "span long, chunk long, n long, grams binary, counts binary")
-    counted = table(blocks.groupBy("span").applyInPandas(count, "span long, chunk long, n long, sums binary"), "counts")
+    before = spark.conf.get(_CO_PARTITION)
+    spark.conf.set(_CO_PARTITION, "false")
+    try:
+        counted = table(_packed(shared_counts(exploded(dealt, spans))), "counts")
+    finally:
+        spark.conf.set(_CO_PARTITION, before)
     tokens = counted_tokens(dealt)
-    back = counted.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("span", "n", "sums"))).alias("parts"))
+    back = counted.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "places", "totals")).alias("parts"))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for ids, sizes, packed, parts in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                known, _ = _distinct(_texts(sizes, packed.as_py()), bits)
-                corpus, at = np.empty(len(known), np.int64), 0
-                for p in parts.values if parts.is_valid else ():
-                    m = p["n"].as_py()
-                    corpus[at : at + m] = _unpack(p["sums"].as_py(), m, 8)
-                    at += m
-                said, n = [], []
-                for t in _texts(sizes, packed.as_py()):
-                    d = [np.unique(g, return_inverse=True, return_counts=True) for g in _ngrams(t, bits)]
-                    rest = [(corpus[np.searchsorted(known, g)] - own)[inverse] for g, inverse, own in d]
-                    said.append(_score(rest, tokens))
-                    n.append(len(rest[0]))
+                n, grams = _ngrams(texts_of(sizes, packed.as_py()))
+                known, place, corpus = np.unique(np.concatenate([h for h, _ in grams]), return_inverse=True, return_counts=True)
+                first = {k: a for k, a, _ in by_span(known, 64, spans)}
+                for p in parts.as_py() or ():
+                    at = first[p["bucket"]] + np.cumsum(unpack(p["places"], p["n"], 4)).astype(np.int64)
+                    corpus[at] = unpack(p["totals"], p["n"], 8)
+                said = _scores(n, [at for _, at in grams], place, corpus, tokens).tolist()
+                n = n.tolist()
                 mean = [s / k if k else None for s, k in zip(said, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(n, pa.int64()), pa.array(said, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
 
@@ -187,21 +139,31 @@ def counted_tokens(dealt: DataFrame) -> int:
         import pyarrow as pa
 
         for batch in batches:
-            n = [sum(len(words_of(t)) for t in _texts(s, p.as_py())) for s, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            n = [sum(len(words_of(t)) for t in texts_of(s, p.as_py())) for s, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
     return dealt.select("sizes", "texts").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _score(rest: list[np.ndarray], tokens: int) -> float:
-    """Sum of the log scores of one document; ``rest``: for each order the other documents' counts of its runs."""
-    n = len(rest[0])
-    if not n:
-        return 0.0
-    value = np.where(rest[0] > 0, rest[0], 0.5) / max(tokens - n, 1)
-    for k in range(1, len(rest)):
-        # the history of the run that ends at token i is the shorter run that ends at token i - 1
-        longer, history = rest[k], rest[k - 1][: len(rest[k])]
-        lower = value[k:] * DISCOUNT
-        value = np.concatenate([value[:k], np.where(longer > 0, longer / np.maximum(history, 1), lower)])
-    return float(np.log(value).sum())
+def _scores(n: np.ndarray, starts: list[np.ndarray], place: np.ndarray, corpus: np.ndarray, tokens: int) -> np.ndarray:
+    """Sums of the log scores of texts of ``n`` words.
+
+    ``starts``: for each order the word that each run starts at; ``place``: of all runs, order by order, the n-gram;
+    ``corpus``: the count of each n-gram in all texts.
+    """
+    text = np.repeat(np.arange(len(n)), n)
+    value, history, done = np.empty(len(text)), np.zeros(len(text)), 0
+    for k, start in enumerate(starts, 1):
+        grams, of = place[done : done + len(start)], text[start]
+        done += len(start)
+        _, at, own = np.unique(of * len(corpus) + grams, return_inverse=True, return_counts=True)
+        rest = corpus[grams] - own[at]
+        if k == 1:
+            value = np.where(rest > 0, rest, 0.5) / np.maximum(tokens - n[of], 1)
+        else:
+            # the run that starts at a word ends k - 1 words on; its history is the shorter run that starts there
+            end = start + k - 1
+            value[end] = np.where(rest > 0, rest / np.maximum(history[start], 1), value[end] * DISCOUNT)
+        history = np.zeros(len(text))
+        history[start] = rest
+    return np.bincount(text, np.log(value), len(n)) if len(text) else np.zeros(len(n))

@@ -56,16 +56,24 @@ def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
 
 def runs(words: list[bytes], orders: tuple[int, ...]) -> list[np.ndarray]:
     """For each order, the hashes of all runs of so many words; none for an order beyond the words."""
+    return [h for h, _ in runs_of_many([words], orders)]
+
+
+def runs_of_many(texts: list[list[bytes]], orders: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the hashes of all runs of so many words of one text, and where they start among all words."""
+    words = [w for text in texts for w in text]
     if not words:
-        return [np.empty(0, np.uint64) for _ in orders]
+        return [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in orders]
     joined = np.frombuffer(b" ".join(words), np.uint8)
     power, inverse = _grown(len(joined) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[joined] * power[: len(joined)], dtype=np.uint64)])
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
     ends = starts + lengths
+    text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
     out = []
     for k in orders:
-        first = starts[: max(0, len(words) - k + 1)]
-        out.append(mixed((sums[ends[k - 1 :]] - sums[first]) * inverse[first]) if len(first) else np.empty(0, np.uint64))
+        count = max(0, len(words) - k + 1)
+        at = np.flatnonzero(text[:count] == text[len(words) - count :])
+        out.append((mixed((sums[ends[at + k - 1]] - sums[starts[at]]) * inverse[starts[at]]), at))
     return out

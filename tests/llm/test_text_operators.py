@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff_scores, decontamination, language_id, line_templates, pii, quality
+from folioscope.llm import backoff_scores, blocks, decontamination, language_id, line_templates, pii, quality
 
 SCHEMA = "doc_id long, text string"
 
@@ -206,7 +206,8 @@ def test_windows_cover_texts():
 
 
 def test_backoff_scores(spark, monkeypatch):
-    monkeypatch.setattr(backoff_scores, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(blocks, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(backoff_scores, "BUCKET_BYTES", 2000)
     rng = random.Random(5)
     texts = [prose(rng, n, 12) for n in (60, 80, 1, 2, 3, 40)] * 2 + [None, "", "   ", "only words of mine", prose(rng, 3000, 50)]
     rows = backoff_scores.backoff_scores(docs(spark, texts, extra=True)).collect()
@@ -255,14 +256,64 @@ def test_quality_limits_rest_on_half(spark, monkeypatch, trained):
     assert len(limits) == 2 and len({x for _, x in limits}) == 2  # each language has its own
 
 
-def test_kneser_ney_sums_to_one(spark):
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over strings: the natural log probability of a text."""
+    split = [["<s>", "<s>", *t.split()] for t in texts]
+    three = Counter(tuple(w[i - 2 : i + 1]) for w in split for i in range(2, len(w)))
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1:] for g in two)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts.values()) for k in range(5)]
+        if not (n[1] and n[2] and n[3]):
+            return [0, 0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *[min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3)]]
+
+    def level(counts, below):
+        d, total, off = discounts(counts), Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            off[g[:-1]] += d[min(c, 3)]
+
+        def p(g):
+            if not total[g[:-1]]:
+                return below(g[1:])
+            c = counts[g]
+            return (c - d[min(c, 3)]) / total[g[:-1]] + off[g[:-1]] / total[g[:-1]] * below(g[1:])
+
+        return p
+
+    whole, d = sum(one.values()), discounts(one)
+    uniform = sum(d[min(c, 3)] for c in one.values()) / whole / (len(one) + 1)
+    word = lambda g: (one[g] - d[min(one[g], 3)]) / whole + uniform if g in one else uniform
+    p = level(three, level(two, word))
+    return lambda t: sum(np.log(p(tuple(w[i - 2 : i + 1]))) for w in [["<s>", "<s>", *t.split()]] for i in range(2, len(w)))
+
+
+@pytest.mark.parametrize("shard_rows", [10**6, 300])
+def test_kneser_ney(spark, shard_rows):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(20)]
     texts = [" ".join(rng.choice(words[: 3 + i % 17]) for _ in range(30)) for i in range(40)]
-    net = quality.train(docs(spark, texts))
+    asked = [*texts[:9], "w0 w1", "never seen", "w5 w19 w5 w19 new w3", "w1", "", None, "w2 " * 3000, "w1"]
     seen = sorted({w for t in texts for w in t.split()})
-    for before in ("w0 w1", "w5 w19", "never seen"):
-        n0, base = net.log_probability(before)
-        total = sum(np.exp(net.log_probability(f"{before} {w}")[1] - base) for w in [*seen, "unseen"])
-        assert n0 == 2 and abs(total - 1) < 1e-4
-    assert hashlib.sha256(b"").hexdigest()  # the empty digest stands for no spans
+    asked += [f"w0 w1 {w}" for w in [*seen, "unseen"]]
+    want = brute_kneser_ney(texts)
+    df = docs(spark, asked).repartition(3)
+    got = {r["doc_id"]: r for r in quality.score(df, quality.train(docs(spark, texts)), shard_rows=shard_rows).collect()}
+    assert sorted(got) == list(range(len(asked)))
+    for i, t in enumerate(asked):
+        assert got[i]["n_words"] == len((t or "").split()) and abs(got[i]["log_p"] - want(t or "")) < 1e-6 * max(1, abs(want(t or "")))
+    base = want("w0 w1")
+    assert abs(sum(np.exp(got[i]["log_p"] - base) for i in range(17, len(asked))) - 1) < 1e-6
+
+
+def test_quality_columns_and_empty_tables(spark):
+    rows = [(1, "a b c d", "en"), (1, "a b c d", "en"), (None, "a b", None), (2, None, "en"), (3, "x " * 20000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clash = df.withColumns({c: F.lit("x") for c in ("row", "n", "v", "w", "uv", "uvw", "k", "x", "trusted", "kept", "limit", "of", "cut")})
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for labelled in (labels, labels.limit(0)):
+        out = quality.classify(clash, labelled).collect()
+        assert len(out) == len(rows) and sorted(r["n_words"] for r in out) == [0, 2, 4, 4, 20000] and len(quality.classify(df.limit(0), labelled).collect()) == 0
