@@ -1,29 +1,30 @@
 """LM scoring by stupid backoff over the n-gram counts of the whole corpus.
 
 Documents are dealt into chunks. Each chunk's distinct n-grams are exploded into rows, dealt by hash to the partitions
-of the count tables, counted there over all chunks and joined with the counts; n-grams that no other chunk has need no
-row back. The scores of each document's tokens are summed from the counts of its chunk. A document's own occurrences
+of the count tables, and joined there with their counts over all chunks (a window over each n-gram's rows counts and
+joins in one sort); n-grams that no other chunk has need no row back. The scores of each document's tokens are summed from the counts of its chunk. A document's own occurrences
 are taken off the counts, so that it is scored by the rest of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.blocks import by_span, chunks, pack, texts_of, unpack
-from folioscope.llm.shared import discard, table
+from folioscope.llm.shared import table
 from folioscope.llm.shingles import runs_of_many, words_of
 
 ORDER = 3
 DISCOUNT = 0.4
 #: Text whose n-grams make up one bucket of the count tables, in bytes.
 BUCKET_BYTES = 4_000_000
-#: Lets tables dealt by bucket alone be joined on n-gram and bucket without dealing them anew.
-_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Parts of the count tables that are made one after the other, so that only one part's rows are on disk at a time.
+PARTS = 2
 
 
 def _ngrams(texts: Iterator[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -32,8 +33,11 @@ def _ngrams(texts: Iterator[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np
     return np.fromiter(map(len, words), np.int64, len(words)), runs_of_many(words, tuple(range(1, ORDER + 1)))
 
 
-def exploded(dealt: DataFrame, spans: int) -> DataFrame:
-    """(bucket, chunk, grams, own): each chunk's distinct n-grams and their counts in it, by range of hash."""
+def exploded(dealt: DataFrame, spans: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(bucket, chunk, grams, own): each chunk's distinct n-grams and their counts in it, by range of hash.
+
+    Only the buckets that leave ``part`` modulo ``parts``.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -41,13 +45,14 @@ def exploded(dealt: DataFrame, spans: int) -> DataFrame:
         for batch in batches:
             for chunk, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 value, count = np.unique(np.concatenate([h for h, _ in _ngrams(texts_of(sizes, packed.as_py()))[1]]), return_counts=True)
-                slices = by_span(value, 64, spans)
-                ends = pa.array([a for _, a, _ in slices] + [len(value)], pa.int32())
+                slices = [x for x in by_span(value, 64, spans) if x[0] % parts == part]
+                here = np.concatenate([np.empty(0, np.int64), *[np.arange(a, b) for _, a, b in slices]])
+                ends = pa.array(np.cumsum([0, *[b - a for _, a, b in slices]]), pa.int32())
                 columns = [
                     pa.array([k for k, _, _ in slices], pa.int64()),
                     pa.array([chunk] * len(slices), pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(value[here].view(np.int64))),
+                    pa.ListArray.from_arrays(ends, pa.array(count[here].astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "grams", "own"])
 
@@ -60,12 +65,10 @@ def shared_counts(rows: DataFrame) -> DataFrame:
     ``rows`` as of ``exploded``. Every chunk has a row for an n-gram at most, so no n-gram weighs more than there are
     chunks.
     """
-    # both sides read all columns, so that one exchange serves the counting and the join
     grams = rows.repartition("bucket").select("bucket", "chunk", F.posexplode(F.arrays_zip("grams", "own")).alias("at", "x"))
     grams = grams.select("bucket", "chunk", "at", F.col("x.grams").alias("gram"), F.col("x.own").alias("own"))
-    counts = grams.groupBy("gram", "bucket").agg(F.sum("own").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    counts = counts.where("low < high").select("gram", "bucket", "total")
-    met = grams.join(counts.hint("shuffle_hash"), ["gram", "bucket"]).where("total > own")
+    total = F.sum("own").over(Window.partitionBy("gram", "bucket"))  # dealt by bucket already: no exchange
+    met = grams.withColumn("total", total).where("total > own")
     return met.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("at", "total")).alias("found"))
 
 
@@ -98,17 +101,12 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text longer than a chunk is a chunk of its own); repeated rows are documents of their own; an empty table gives no
     rows; other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     spans = max(1, size // BUCKET_BYTES).bit_length()
     dealt = table(chunks(docs, doc_id, text), "chunks")
     kind = docs.schema[doc_id].dataType.simpleString()
-    before = spark.conf.get(_CO_PARTITION)
-    spark.conf.set(_CO_PARTITION, "false")
-    try:
-        counted = table(_packed(shared_counts(exploded(dealt, spans))), "counts")
-    finally:
-        spark.conf.set(_CO_PARTITION, before)
+    parts = [table(_packed(shared_counts(exploded(dealt, spans, i, PARTS))), "counts") for i in range(PARTS)]
+    counted = reduce(DataFrame.unionByName, parts)
     tokens = counted_tokens(dealt)
     back = counted.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "places", "totals")).alias("parts"))
 
