@@ -7,7 +7,6 @@ here, in numpy, on windows of a bounded sample of labelled documents, and applie
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +18,13 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 24
 EMBEDDING = 8
-#: Bounds of the training sample: documents of a label (about), windows of a document, labels.
+#: Bounds of the training sample: documents of a label (about) and of all labels, windows of a document. All labels are
+#: learned; with over ALL_DOCUMENTS / DOCUMENTS of them, fewer documents of each.
 DOCUMENTS = 400
+ALL_DOCUMENTS = 40_000
 WINDOWS = 4
-LABELS = 64
 EPOCHS = 10
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _WIDEST = max(WIDTHS)
 
 
@@ -65,7 +64,7 @@ class ByteConvNet:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text) or not self.labels:
+        if not text or not self.labels or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         windows = to_windows(text)
         weight = (windows > 0x60).sum(axis=1) + 1e-3
@@ -140,13 +139,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", documents: int = DOCUMENTS) -> ByteConvNet:
-    """Fit on about ``documents`` documents of each of the LABELS most frequent labels, chosen by a hash of the id.
+    """Fit on about ``documents`` documents of each label (ALL_DOCUMENTS in all at most), chosen by a hash of the id.
 
     Rows with a null label, null or empty text, or held out, are not used. Without any usable row the net has no
     labels and says UNKNOWN.
     """
     usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+    counts = usable.groupBy(F.col(lang).alias("lang")).count().collect()
+    documents = max(1, min(documents, ALL_DOCUMENTS // max(1, len(counts))))
     labels = sorted(r["lang"] for r in counts)
     if not labels:
         return ByteConvNet([], np.empty(0), np.empty(0), np.empty(0), np.empty(0), np.empty(0))
