@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff_scores, blocks, decontamination, language_id, line_templates, pii, quality
+from folioscope.llm import backoff_scores, decontamination, language_id, line_templates, pii, quality
 
 SCHEMA = "doc_id long, text string"
 
@@ -54,6 +54,18 @@ def test_decontamination(spark, pass_bytes):
         assert (r["n_words"], sum(h["end"] - h["start"] for h in r["hits"]), list(r["items"]), r["contaminated"]) == (n, hit, named, hit > 0), r["doc_id"]
 
 
+def test_items_without_an_id_and_memory(spark):
+    rng = random.Random(3)
+    long = prose(rng, 30000, 9000)
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (1, None), (2, "delta"), (2, "delta")], "item_id long, text string")
+    rows = docs(spark, ["x alpha beta gamma y", "delta delta", None, "alpha beta", long + " delta"]).unionAll(docs(spark, ["delta delta"]))
+    got = {(r["doc_id"], r["n_words"]): r for r in decontamination.find_contamination(rows, items).collect()}
+    assert got[0, 5]["contaminated"] and got[0, 5]["items"] == [None] and got[1, 2]["items"] == ["2"] and got[0, 2]["items"] == ["2"]
+    assert not got[3, 2]["contaminated"] and got[4, 30001]["contaminated"] and got[4, 30001]["hits"][0]["start"] == 30000
+    search = decontamination.WuManber([(str(i), prose(rng, 300, 9000)) for i in range(200)])
+    assert search.size() < 60 * 200 * 291
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontamination.find_contamination(docs(spark, ["a b"]), empty).collect()] == [False]
@@ -202,11 +214,26 @@ def test_windows_cover_texts():
         assert (w[:, :step] > 0).sum() + (w[-1, step:] > 0).sum() >= n and w.shape[1] == language_id.WINDOW
 
 
+def test_letters_are_letters():
+    net = language_id.fit(np.concatenate([language_id.to_windows(t) for t in ("abc" * 30, "xyz" * 30)]), np.array([0, 1]), ["a", "x"], epochs=1)
+    for text in ("²", "½ ①", "Ⅷ", "12 ٣", "_", "", None):
+        assert net.predict(text) == ("und", 0.0)
+    assert net.predict("é")[0] in ("a", "x")
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(12)
+    rows = [(i, f"{chr(0x4E00 + i % 70) * 5} " * rng.randint(20, 30), f"l{i % 70}") for i in range(70 * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(df)
+    assert len(net.labels) == 70 and language_id.identify(df.limit(0), net).count() == 0
+
+
 # -- scores
 
 
 def test_backoff_scores(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(backoff_scores, "CHUNK_BYTES", 900)
     monkeypatch.setattr(backoff_scores, "BUCKET_BYTES", 2000)
     rng = random.Random(5)
     texts = [prose(rng, n, 12) for n in (60, 80, 1, 2, 3, 40)] * 2 + [None, "", "   ", "only words of mine", prose(rng, 3000, 50)]
