@@ -21,6 +21,8 @@ from folioscope.llm.shingles import runs_of_many, words_of
 
 ORDER = 3
 DISCOUNT = 0.4
+#: Text in a chunk, in bytes: a task holds its words and n-grams at once.
+CHUNK_BYTES = 2_000_000
 #: Text whose n-grams make up one bucket of the count tables, in bytes.
 BUCKET_BYTES = 4_000_000
 #: Parts of the count tables that are made one after the other, so that only one part's rows are on disk at a time.
@@ -44,15 +46,15 @@ def exploded(dealt: DataFrame, spans: int, part: int = 0, parts: int = 1) -> Dat
 
         for batch in batches:
             for chunk, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                value, count = np.unique(np.concatenate([h for h, _ in _ngrams(texts_of(sizes, packed.as_py()))[1]]), return_counts=True)
-                slices = [x for x in by_span(value, 64, spans) if x[0] % parts == part]
-                here = np.concatenate([np.empty(0, np.int64), *[np.arange(a, b) for _, a, b in slices]])
-                ends = pa.array(np.cumsum([0, *[b - a for _, a, b in slices]]), pa.int32())
+                grams = [h[(h >> np.uint64(64 - spans)) % np.uint64(parts) == part] for h, _ in _ngrams(texts_of(sizes, packed.as_py()))[1]]
+                value, count = np.unique(np.concatenate(grams), return_counts=True)
+                slices = by_span(value, 64, spans)
+                ends = pa.array([0, *[b for _, _, b in slices]], pa.int32())
                 columns = [
                     pa.array([k for k, _, _ in slices], pa.int64()),
                     pa.array([chunk] * len(slices), pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array(value[here].view(np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(count[here].astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
+                    pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "grams", "own"])
 
@@ -103,7 +105,7 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     spans = max(1, size // BUCKET_BYTES).bit_length()
-    dealt = table(chunks(docs, doc_id, text), "chunks")
+    dealt = table(chunks(docs, doc_id, text, CHUNK_BYTES), "chunks")
     kind = docs.schema[doc_id].dataType.simpleString()
     parts = [table(_packed(shared_counts(exploded(dealt, spans, i, PARTS))), "counts") for i in range(PARTS)]
     counted = reduce(DataFrame.unionByName, parts)

@@ -32,8 +32,9 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(chunk, ids, sizes, texts): consecutive documents of a task, their UTF-8 texts compressed together."""
+def chunks(docs: DataFrame, doc_id: str, text: str, size: int | None = None) -> DataFrame:
+    """(chunk, ids, sizes, texts): consecutive documents of a task, about ``size`` bytes, their UTF-8 texts compressed."""
+    size = size or CHUNK_BYTES
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -51,7 +52,7 @@ def chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             id_type = batch.schema.types[0]
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (x.as_py() or "").encode()
-                if ids and (total + len(data) > CHUNK_BYTES or len(ids) == CHUNK_ROWS):
+                if ids and (total + len(data) > size or len(ids) == CHUNK_ROWS):
                     yield whole()
                     no, total, ids, sizes, parts = no + 1, 0, [], [], []
                 total += len(data)
