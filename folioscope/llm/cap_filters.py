@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import components, table
+from folioscope.llm.shared import components, spanning, table
 
 COSINE = 0.98
 BLOCKS = 2
@@ -143,16 +143,9 @@ def cap_components(
             close &= member @ member.T == 0
             node.append(cls[at])
             links.append(close @ copies[at])
-            left = set(range(len(at)))
-            while left:
-                reached = [left.pop()]
-                while reached:
-                    i = reached.pop()
-                    for j in [j for j in np.flatnonzero(close[i]) if j in left]:
-                        left.discard(j)
-                        reached.append(j)
-                        ends_a.append(cls[at[i]])
-                        ends_b.append(cls[at[j]])
+            for i, j in spanning(close):
+                ends_a.append(cls[at[i]])
+                ends_b.append(cls[at[j]])
         counts = pd.DataFrame({"node": np.concatenate([np.empty(0, np.int64), *node]), "links": np.concatenate([np.empty(0, np.int64), *links])})
         counts = counts.groupby("node", as_index=False)["links"].sum()
         tree = pd.DataFrame({"node": np.array(ends_a, np.int64), "other": np.array(ends_b, np.int64)})

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.blocks import PLACE_BITS, by_span, chunks, pack, texts_of, unpack
-from folioscope.llm.shared import components, discard, small, table
+from folioscope.llm.shared import components, discard, small, spanning, table
 from folioscope.llm.shingles import WORDS, shingle_set
 
 PERCENT = 75
@@ -173,22 +173,6 @@ def _by_key(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return others.unionByName(pivots), sizes
 
 
-def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A tree of links for each component of a symmetric boolean matrix."""
-    left, out = np.ones(len(linked), bool), []
-    for start in range(len(linked)):
-        if not left[start]:
-            continue
-        left[start], reached = False, [start]
-        while reached:
-            i = reached.pop()
-            new = np.flatnonzero(linked[i] & left)
-            left[new] = False
-            reached += new.tolist()
-            out += [(i, int(j)) for j in new]
-    return out
-
-
 def open_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Spanning links (a, b) of the classes in each block; ``rows``: bucket, block, role, cls, tokens."""
 

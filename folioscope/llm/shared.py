@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,22 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A tree of links for each component of a symmetric boolean matrix."""
+    left, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not left[start]:
+            continue
+        left[start], reached = False, [start]
+        while reached:
+            i = reached.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            reached += new.tolist()
+            out += [(i, int(j)) for j in new]
+    return out
+
+
 def _stars(pairs: DataFrame) -> bool:
     """Whether every u of the distinct ``pairs`` (u > v) has one v, which is no u itself: then each v is a root."""
     ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
