@@ -1,7 +1,9 @@
 """The training-data pipeline: languages, recurring lines, near duplicates, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is written as
-Parquet and read again for the next. All but the last return the columns of documents.
+Parquet and read again for the next. All but the last return the columns of documents: extra columns pass through,
+whatever their names. Null and empty texts have no language and go in the first stage; repeated rows and ties are near
+duplicates, of which one row stays; texts of any length are read whole; an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, jaccard_join, language_id, line_templates, packing
-from folioscope.llm.shared import small, table
+from folioscope.llm.shared import discard, small, table
 
 #: Documents whose language scores below this are rejected: hardly above a guess among the learned languages.
 LEAST_SCORE = 0.3
@@ -24,16 +26,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines of recurring templates out of the texts, whatever their share; n_chars follows the text."""
+    """Take lines of recurring templates out of the texts, whatever their share; n_chars, if there, follows the text."""
     cleaned = line_templates.drop_recurring_lines(docs, whole=True)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id in each group of similar ones; rows that share an id stay together."""
-    found = jaccard_join.jaccard_components(docs)
-    dropped = table(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
-    return docs.join(small(dropped, dropped.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of similar texts: that of the smallest doc_id (nulls last), then of the smallest hash
+    of the text. Rows are told apart by their own numbers, so rows that share an id, or have none, fall one by one."""
+    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = table(jaccard_join.jaccard_components(numbered, doc_id="__row").where("n_shingles > 0"), "found")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "__row")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1").select("component_id")
+    members = table(found.join(groups, "component_id").select(F.col("doc_id").alias("__row"), "component_id"), "members")
+    ranked = numbered.select("__row", rank.alias("rank")).join(small(members, members.count(), BROADCAST_ROWS), "__row")
+    first = table(ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.__row").alias("__row")), "first")
+    dropped = table(members.join(first, "__row", "left_anti").select("__row"), "dropped")
+    discard(found, members, first)
+    return numbered.join(small(dropped, dropped.count(), BROADCAST_ROWS), "__row", "left_anti").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +67,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Language identification and packing have no SQL; tests compare the stages with brute force instead.
+#: Language identification and packing have no SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
