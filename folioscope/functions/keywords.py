@@ -22,18 +22,18 @@ SNIPPET = 40
 def normalise_keywords(keywords: str | Iterable[str] | None) -> list[str]:
     """Strip the keywords and drop repeats (case matters), keeping the first of each."""
     if keywords is None:
-        raise ValidationError("keywords are required")
+        raise ValidationError("no keywords given")
     if isinstance(keywords, str):
         keywords = [keywords]
     try:
         given = list(keywords)
     except TypeError:
-        raise ValidationError(f"keywords must be strings: {keywords!r}") from None
+        raise ValidationError(f"cannot read keywords from {keywords!r}") from None
     if not given:
-        raise ValidationError("at least one keyword is required")
+        raise ValidationError("the list of keywords is empty")
     stripped = ["" if k is None else str(k).strip() for k in given]
     if not all(stripped):
-        raise ValidationError("keyword must not be empty")
+        raise ValidationError("a keyword consists of white space only")
     return list(dict.fromkeys(stripped))
 
 
@@ -51,8 +51,11 @@ def _text(text: Column | str) -> Column:
 
 
 def count(text: Column | str, keyword: str, case_sensitive: bool = False, whole_words: bool = True) -> Column:
-    """Non-overlapping matches (long); a null text counts as empty."""
-    return F.regexp_count(_text(text), F.lit(pattern(keyword, case_sensitive, whole_words))).cast("long")
+    """Non-overlapping matches (long); a null text counts as empty. Texts without the bare keyword are told at once."""
+    t = _text(text)
+    there = t.contains(keyword) if case_sensitive else t.rlike("(?iu)" + re.escape(keyword))
+    found = F.regexp_count(t, F.lit(pattern(keyword, case_sensitive, whole_words))).cast("long")
+    return F.when(there, found).otherwise(F.lit(0).cast("long"))
 
 
 def contains(text: Column | str, keyword: str, case_sensitive: bool = False, whole_words: bool = True) -> Column:
