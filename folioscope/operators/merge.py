@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import naming
 from folioscope.plans.ranking import ranked
 
+#: Positions that are numbered in one task.
+PLACES = 100_000
+
 
 def natural_inputs(documents: DataFrame, name: str = "filename") -> DataFrame:
     """``documents`` with src_ord (from 1) in the natural order of their names."""
@@ -36,5 +39,5 @@ def distinct_paths(documents: DataFrame, path: str = "path", pos: str = "pos") -
     """(path_key, doc_id, path): paths that differ in case only are one document, named by the first."""
     keyed = documents.select(F.lower(path).alias("path_key"), F.struct(pos, path).alias("first"))
     least = keyed.groupBy("path_key").agg(F.min("first").alias("first"))
-    number = F.row_number().over(Window.orderBy("first.pos"))
-    return least.select("path_key", F.concat(F.lit("doc-"), number).alias("doc_id"), F.col(f"first.{path}").alias("path"))
+    numbered = ranked(least, [F.col("first").getField(pos)], F.floor(F.col("first").getField(pos) / PLACES), "number")
+    return numbered.select("path_key", F.concat(F.lit("doc-"), F.col("number")).alias("doc_id"), F.col(f"first.{path}").alias("path"))
