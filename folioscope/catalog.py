@@ -31,14 +31,14 @@ class Entry:
 def absolute(path: Any, must_exist: bool = True, kind: str = "any") -> str:
     """An absolute path of the kind asked for."""
     if path is None or not str(path).strip():
-        raise ValidationError("path is required")
+        raise ValidationError("no path given")
     found = os.path.realpath(os.path.expanduser(str(path).strip()))
     if must_exist and not os.path.exists(found):
-        raise ValidationError(f"path does not exist: {found}", {"path": found})
+        raise ValidationError(f"nothing at {found}", {"path": found})
     if must_exist and kind == "file" and not os.path.isfile(found):
-        raise ValidationError(f"path is not a file: {found}", {"path": found})
+        raise ValidationError(f"a file is needed, not {found}", {"path": found})
     if must_exist and kind == "dir" and not os.path.isdir(found):
-        raise ValidationError(f"path is not a directory: {found}", {"path": found})
+        raise ValidationError(f"a folder is needed, not {found}", {"path": found})
     return found
 
 
@@ -67,12 +67,12 @@ class Catalog:
         """By id, or by path, which registers the document."""
         said = "" if reference is None else str(reference).strip()
         if not said:
-            raise ValidationError("document reference is required")
+            raise ValidationError("no document named")
         with self._lock:
             if said in self._by_id:
                 return self._by_id[said]
         if re.fullmatch(r"doc-\d+", said) or not os.path.isfile(os.path.expanduser(said)):
-            raise DocumentNotFoundError(f"document not found: {said}", {"reference": said})
+            raise DocumentNotFoundError(f"no document is known as {said}", {"reference": said})
         return self.register(said)
 
     def list(self) -> list[Entry]:

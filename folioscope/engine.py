@@ -89,7 +89,7 @@ class Engine:
     def _write(target: str, sources: Iterable[str], parts: list[tuple[str, list[int] | None]]) -> list[int]:
         """Assemble a document from files' pages (from 1); nothing is written if anything fails."""
         if any(target.lower() == s.lower() for s in sources):
-            raise OutputConflictError("output would overwrite an input", {"output": target})
+            raise OutputConflictError("the target is one of the inputs", {"output": target})
         loaded = []
         for path, pages in parts:
             with open(path, "rb") as file:
@@ -104,9 +104,9 @@ class Engine:
         target = absolute(output, must_exist=False)
         distinct = list(dict.fromkeys(pages))
         if target.lower() == entry.path.lower():
-            raise OutputConflictError("output would overwrite the source", {"output": target})
+            raise OutputConflictError("the target is the source itself", {"output": target})
         if not distinct:
-            raise PageRangeError("no pages selected")
+            raise PageRangeError("the choice of pages is empty")
         self._write(target, [entry.path], [(entry.path, distinct)])
         return {"output": target, "pages": distinct}
 
@@ -177,7 +177,7 @@ class Engine:
         def work():
             words = kw.normalise_keywords(keywords)
             if sort not in search.SORTS:
-                raise ValidationError(f"sort must be one of {search.SORTS}, got {sort!r}", {"sort": sort})
+                raise ValidationError(f"cannot sort by {sort!r}, only by {search.SORTS}", {"sort": sort})
             entries, skipped = (self.catalog.list(), []) if directory is None else self._registered(self._found(directory, recursive))
             found = self._searched(list({e.id: e for e in entries}.values()), words, pages, case_sensitive, whole_words) if entries else {}
             documents = []
@@ -254,16 +254,16 @@ class Engine:
         entry = self.catalog.resolve(reference)
         total = self._live_pages(entry)
         if isinstance(anchor, bool):
-            raise PageRangeError(f"invalid anchor: {anchor!r}")
+            raise PageRangeError(f"neither a page nor a keyword: {anchor!r}")
         if isinstance(anchor, int):
             at = anchor
         else:
             word = str(anchor).strip()
             if not word:
-                raise PageRangeError("anchor keyword must not be empty")
+                raise PageRangeError("the keyword to start from is empty")
             first = search.first_pages(self._pages([entry]), word).collect()
             if not first:
-                raise ContentNotFoundError(f"keyword not found in document: {word}", {"keyword": word})
+                raise ContentNotFoundError(f"the document does not say {word}", {"keyword": word})
             at = first[0]["anchor"]
         return entry, total, at, pg.window(at, total, before, after)
 
@@ -292,7 +292,7 @@ class Engine:
             found = search.matching_pages(self._pages([entry]).where(F.col("page").isin(scope)), words, case_sensitive, whole_words)
             matched = sorted(r["page"] for r in found.collect())
             if not matched:
-                raise ContentNotFoundError("no page in scope contains any of the keywords", {"keywords": words, "pages_scanned": len(scope)})
+                raise ContentNotFoundError("none of the pages asked for has a keyword", {"keywords": words, "pages_scanned": len(scope)})
             wanted = pg.padded(matched, total, padding)
             done = self._select(entry, wanted, output)
             return {
@@ -314,7 +314,7 @@ class Engine:
     def merge(self, inputs: Sequence[Any], output: Any) -> dict[str, Any]:
         def work():
             if inputs is None or len(inputs) < 2:
-                raise ValidationError("merge requires at least 2 input documents", {"provided": len(inputs or [])})
+                raise ValidationError("two documents at least are needed to merge", {"provided": len(inputs or [])})
             paths = [absolute(p, kind="file") for p in inputs]
             target = absolute(output, must_exist=False)
             counts = self._write(target, paths, [(p, None) for p in paths])
@@ -341,7 +341,7 @@ class Engine:
                 except UnreadableError as e:
                     skipped.append({"path": p, "reason": e.code})
             if len(counts) < 2:
-                raise ValidationError(f"merge_folder requires at least 2 readable documents, found {len(counts)} in {root}", {"directory": root, "found": len(counts)})
+                raise ValidationError(f"two readable documents at least are needed to merge, {root} has {len(counts)}", {"directory": root, "found": len(counts)})
             pages = self._write(target, counts, [(p, None) for p in counts])
             return {
                 "directory": root,

@@ -74,7 +74,7 @@ def search_corpus(
     ``rank``: most matches first, ties in the natural order of paths, each with a rank of its own.
     """
     if sort not in SORTS:
-        raise ValidationError(f"sort must be one of {SORTS}, got {sort!r}", {"sort": sort})
+        raise ValidationError(f"cannot sort by {sort!r}, only by {SORTS}", {"sort": sort})
     summary = document_summary(page_counts(pages, keywords, case_sensitive, whole_words))
     none = F.expr("cast(array() as array<int>)")
     out = documents.join(summary, "doc_id", "left").select(

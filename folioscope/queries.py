@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.decode import tables as decoded
-from folioscope.functions import naming
+from folioscope.functions import naming, payloads
 from folioscope.functions.pages import in_pages
 from folioscope.operators import content, merge, page_ops, search
 from folioscope.plans import page_plan
+from folioscope.sources import files
 from folioscope.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,6 +292,66 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@_query("SELECT s_suppkey, to_base64(encode(s_name)) AS payload, 'data:image/png;base64,' || to_base64(encode(s_name)) AS uri FROM supplier")
+def payload_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode("s_name", "UTF-8")
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", payloads.base64_line(data).alias("payload"), payloads.data_uri(data).alias("uri"))
+
+
+@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_name || 'é' END AS text FROM supplier")
+def text_strict_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third file ends within a character, so it is no UTF-8 text."""
+    data = F.encode(F.concat("s_name", F.lit("é")), "UTF-8")
+    cut = F.when(F.col("s_suppkey") % 3 > 0, data).otherwise(F.substring(data, 1, F.octet_length("s_name") + 1))
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", cut.alias("data")).select("s_suppkey", payloads.strict_utf8("data").alias("text"))
+
+
+@_query("SELECT p_partkey, 'ffi' || p_name || 'st ' || p_name AS text FROM part")
+def ligatures_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("\ufb03"), "p_name", F.lit("\ufb06 "), "p_name")
+    return _read(spark, sf_dir, "part").select("p_partkey", payloads.expand_ligatures(text).alias("text"))
+
+
+def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a document of two pages and two links for each part; every tenth is broken."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        from folioscope.decode.document import from_texts
+
+        for pdf in batches:
+            made = []
+            for key, name in zip(pdf["p_partkey"], pdf["p_name"], strict=True):
+                links = {0: [(f"https://example.org/{key}", [1.0, 2.0, 3.0, 4.0])], 1: [(f"https://example.org/{key}/a", [0.0, 0.0, 9.0, 9.0])]}
+                made.append(b"%PDF-1.4 nothing" if key % 10 == 0 else from_texts([name, f"{name} ({key})\nfrom {key % 7} from"], links))
+            yield pd.DataFrame({"path": pdf["p_partkey"].astype(str), "content": made})
+
+    return _read(spark, sf_dir, "part").select("p_partkey", "p_name").mapInPandas(run, "path string, content binary")
+
+
+_BINARY = """SELECT CAST(p_partkey AS VARCHAR) AS path, page, CASE page WHEN 1 THEN p_name ELSE p_name || ' (' || p_partkey || ')' || chr(10) || 'from ' || (p_partkey % 7) || ' from' END AS text
+    FROM part, (VALUES (1), (2)) v(page) WHERE p_partkey % 10 > 0"""
+
+
+@_query(f"SELECT path, page, text, CAST(NULL AS VARCHAR) AS reason FROM ({_BINARY}) UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, 'unreadable_pdf' FROM part WHERE p_partkey % 10 = 0")
+def binary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.document_pages(_binary(spark, sf_dir))
+
+
+@_query(f"SELECT path AS doc_id, page, 'from' AS keyword, CAST(2 AS BIGINT) AS n FROM ({_BINARY}) WHERE page = 2")
+def binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = files.document_pages(_binary(spark, sf_dir)).where("reason is null").withColumnRenamed("path", "doc_id")
+    return search.hits(pages, ["from", "fro"]).select("doc_id", "page", "keyword", "n")
+
+
+@_query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(page AS INTEGER) AS page, CAST(0 AS INTEGER) AS link_ord, 'https://example.org/' || p_partkey || tail AS uri, wide AS x1
+    FROM part, (VALUES (1, '', 3.0::DOUBLE), (2, '/a', 9.0::DOUBLE)) v(page, tail, wide) WHERE p_partkey % 10 > 0""")
+def binary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.document_links(_binary(spark, sf_dir))
+    return found.select("path", "page", "link_ord", "uri", F.get("rect", F.lit(2)).alias("x1"))
+
+
 _queries.update(decoded.QUERIES)
 _sql.update(decoded.ORACLES)
 
