@@ -18,7 +18,7 @@ class Document:
     """A document's objects, resolved as they are asked for. Encrypted, pageless or broken data is unreadable."""
 
     def __init__(self, data: bytes):
-        self.data, self.cache, self.members = data, {}, {}
+        self.data, self.cache, self.members, self.maps = data, {}, {}, {}
         if b"%PDF-" not in data[:1024]:
             raise UnreadableError("not a document")
         self.xref = read_xref(data)
@@ -102,6 +102,12 @@ class Document:
         streams = [self.get(x) for x in found] if isinstance(found, list) else [found]
         return b"\n".join(decoded(s, self.get) for s in streams if isinstance(s, Stream))
 
+    def cmap(self, payload: bytes) -> CMap:
+        """The character map of a payload, parsed once for all fonts and pages that have it."""
+        if payload not in self.maps:
+            self.maps[payload] = parse_cmap(payload)
+        return self.maps[payload]
+
     def fonts(self, page: int) -> dict[str, tuple[CMap | None, dict[int, float], float, int]]:
         """By resource name: map to Unicode, widths, default width, bytes of a code."""
         resources = self.dict_of(self.pages[page].get("Resources"))
@@ -109,7 +115,7 @@ class Document:
         for name, ref in self.dict_of(resources.get("Font")).items():
             font = self.dict_of(ref)
             to = self.get(font.get("ToUnicode"))
-            cmap = parse_cmap(decoded(to, self.get)) if isinstance(to, Stream) else None
+            cmap = self.cmap(decoded(to, self.get)) if isinstance(to, Stream) else None
             wide = self.get(font.get("Subtype")) == "Type0"
             first = int(self.number(font.get("FirstChar"), 0))
             widths = {first + i: self.number(w, 0) for i, w in enumerate(self.list_of(font.get("Widths")))}

@@ -45,6 +45,11 @@ class TextState:
 
 #: Operators that set one number of the text state.
 _SETTERS = {b"Tc": "char_spacing", b"Tw": "word_spacing", b"Tz": "scale", b"TL": "leading", b"Ts": "rise"}
+#: What an interpreter counts, all from zero.
+COUNTERS = (
+    "ops_dispatched", "ops_unknown", "ops_outside_text", "operand_overflows", "strings_shown", "glyphs_emitted", "tj_arrays_replayed", "tj_number_adjustments",
+    "unterminated_code_tail", "gstate_overflow", "gstate_underflow", "stray_array_ends", "stray_dict_ends", "stray_stream_tokens",
+)
 _IN_TEXT = {b"Tj", b"TJ", b"Td", b"TD", b"Tm", b"T*", b"'", b'"'}
 
 

@@ -123,3 +123,9 @@ def test_sql_table_functions(spark):
     spark.createDataFrame([(1, b"/A 5"), (2, None)], "k int, d binary").createOrReplaceTempView("bytes_of")
     rows = spark.sql("SELECT k, t.type, t.int_val FROM bytes_of, LATERAL lex(d) t ORDER BY k, t.tok").collect()
     assert [tuple(r) for r in rows] == [(1, "Name", 0), (1, "Integer", 5)]
+
+
+def test_a_map_is_parsed_once():
+    doc = document.Document(document.from_texts(["one", "two"]))
+    assert doc.cmap(b"1 beginbfchar <41> <0061> endbfchar") is doc.cmap(b"1 beginbfchar <41> <0061> endbfchar")
+    assert doc.cmap(b"").map == {}
