@@ -48,13 +48,19 @@ class Catalog:
     def __init__(self) -> None:
         self._lock, self._by_id, self._by_path, self._next = threading.RLock(), {}, {}, 0
 
-    def register(self, path: Any) -> Entry:
+    def knows(self, path: Any) -> bool:
+        """Whether a path is registered already."""
+        return absolute(path, must_exist=False).lower() in self._by_path
+
+    def register(self, path: Any, pages: int | None = None) -> Entry:
+        """The entry of a path; the file is opened only if its pages have not been counted elsewhere."""
         found = absolute(path, kind="file")
         with self._lock:
             if (known := self._by_path.get(found.lower())) is not None:
                 return self._by_id[known]
-        with open(found, "rb") as file:
-            pages = Document(file.read()).page_count
+        if pages is None:
+            with open(found, "rb") as file:
+                pages = Document(file.read()).page_count
         with self._lock:
             if (known := self._by_path.get(found.lower())) is None:
                 self._next += 1

@@ -67,8 +67,7 @@ class Engine:
     def _files(self, entries: Sequence[Entry]) -> DataFrame:
         """(doc_id, path, content) of registered documents, read by Spark."""
         paths = self.spark.createDataFrame([(e.id, e.path) for e in entries], "doc_id string, path string")
-        read = self.spark.read.format("binaryFile").load([e.path for e in entries])
-        return read.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content").join(F.broadcast(paths), "path")
+        return fs.read_paths(self.spark, [e.path for e in entries]).join(F.broadcast(paths), "path")
 
     def _pages(self, entries: Sequence[Entry]) -> DataFrame:
         """(doc_id, page, text) of registered documents."""
@@ -211,12 +210,15 @@ class Engine:
         return sorted((p for p in paths if p.lower() not in hidden), key=lambda p: (natural_key(os.path.basename(p)), p))
 
     def _registered(self, paths: list[str]) -> tuple[list[Entry], list[dict[str, str]]]:
+        """Entries in the order of the paths; files that are not known yet are opened and counted by executors."""
+        new = [p for p in paths if not self.catalog.knows(p)]
+        counted = {r["path"]: r["page_count"] for r in fs.page_counts(fs.read_paths(self.spark, new)).toLocalIterator()} if new else {}
         entries, skipped = [], []
         for p in paths:
-            try:
-                entries.append(self.catalog.register(p))
-            except UnreadableError as e:
-                skipped.append({"path": p, "reason": e.code})
+            if p in counted and counted[p] is None:
+                skipped.append({"path": p, "reason": UnreadableError.code})
+            else:
+                entries.append(self.catalog.register(p, counted.get(p)))
         return entries, skipped
 
     # -- content

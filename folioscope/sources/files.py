@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,33 @@ def find_documents(spark: SparkSession, directory: str, exclude: Iterable[str] =
     return found.where(~F.lower("path").isin(dropped)) if dropped else found
 
 
+def read_paths(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """(path, content) of the files with these very names: brackets and stars in them are no patterns."""
+    read = spark.read.format("binaryFile").load([re.sub(r"([][{}*?\\])", r"\\\1", p) for p in paths])
+    return read.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+
+
+def page_counts(files: DataFrame) -> DataFrame:
+    """(path, page_count) of binary documents; null for a file that is unreadable."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        from folioscope.decode.document import Document
+        from folioscope.errors import UnreadableError
+
+        for pdf in batches:
+            counts = []
+            for content in pdf["content"]:
+                try:
+                    counts.append(Document(bytes(content)).page_count)
+                except UnreadableError:
+                    counts.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "page_count": pd.array(counts, dtype="Int32")})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_count int")
+
+
 def document_pages(files: DataFrame) -> DataFrame:
     """(path, page, text, reason): the pages of binary documents; one row with a reason for a file that is unreadable."""
 
