@@ -35,20 +35,15 @@ def natural_column(name: Column | str) -> Column:
     return F.transform(chunks, chunk)
 
 
-def coarse(key: Column, characters: int = 8, figures: int = 3) -> Column:
-    """A few values that order as their natural keys do: the first chunk cut short, then the second one's number."""
-    first, second = F.get(key, F.lit(0)), F.get(key, F.lit(1))
-    longer = (F.length(first["text"]) > characters) | (F.length(first["number"]) > figures)
-    return F.struct(
-        first["is_text"].alias("a"),
-        first["digits"].alias("b"),
-        F.substring(first["number"], 1, figures).alias("c"),
-        F.substring(first["text"], 1, characters).alias("d"),
-        longer.cast("int").alias("e"),
-        F.when(~longer, F.coalesce(second["is_text"], F.lit(-1))).alias("f"),
-        F.when(~longer, second["digits"]).alias("g"),
-        F.when(~longer, F.substring(second["number"], 1, figures)).alias("h"),
-    )
+def sortable(key: Column) -> Column:
+    """A string that orders, byte by byte, as its natural key does."""
+
+    def chunk(c: Column) -> Column:
+        number = F.concat(F.lit("0"), F.lpad(c["digits"].cast("string"), 10, "0"), c["number"])
+        text = F.concat(F.lit("1"), F.replace(c["text"], F.lit("\0"), F.lit("\0\1")), F.lit("\0\0"))
+        return F.when(c["is_text"] == 1, text).otherwise(number)
+
+    return F.array_join(F.transform(key, chunk), "")
 
 
 def stem(filename: str) -> str:

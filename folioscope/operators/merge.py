@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import naming
-from folioscope.plans.ranking import ranked
+from folioscope.plans.ranking import bounds, bucket_of, ranked
 
 #: Positions that are numbered in one task.
 PLACES = 100_000
@@ -16,7 +16,8 @@ def natural_inputs(documents: DataFrame, name: str = "filename") -> DataFrame:
     """``documents`` with src_ord (from 1) in the natural order of their names."""
     keyed = documents.withColumn("__key", naming.natural_column(name))
     order = [F.col("__key"), F.col(name), F.col("doc_id")]
-    return ranked(keyed, order, naming.coarse(F.col("__key")), "src_ord").drop("__key")
+    key = naming.sortable(F.col("__key"))
+    return ranked(keyed, order, bucket_of(key, bounds(keyed, key)), "src_ord").drop("__key")
 
 
 def numbered_inputs(documents: DataFrame, name: str = "filename") -> DataFrame:
@@ -25,8 +26,8 @@ def numbered_inputs(documents: DataFrame, name: str = "filename") -> DataFrame:
     keyed = documents.withColumns({"number": number, "rest": rest}).where("number <> ''").withColumn("__key", naming.natural_column("rest"))
     figures = F.length("number")
     order = [figures, F.col("number"), F.col("__key"), F.col(name), F.col("doc_id")]
-    bucket = F.struct(figures.alias("l"), F.substring("number", 1, 4).alias("n"))
-    return ranked(keyed, order, bucket, "src_ord").drop("__key")
+    key = F.concat(F.lpad(figures.cast("string"), 10, "0"), "number", naming.sortable(F.col("__key")))
+    return ranked(keyed, order, bucket_of(key, bounds(keyed, key)), "src_ord").drop("__key")
 
 
 def ignored_inputs(documents: DataFrame, name: str = "filename") -> DataFrame:

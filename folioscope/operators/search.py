@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.errors import ValidationError
 from folioscope.functions import keywords as kw
 from folioscope.functions import naming
-from folioscope.plans.ranking import ranked
+from folioscope.plans.ranking import bounds, bucket_of, ranked, steps
 
 SORTS = ("path", "rank")
 
@@ -89,7 +89,8 @@ def search_corpus(
     key = naming.natural_column("path")
     out = out.withColumn("__key", key)
     order = [F.desc("total_matches"), F.col("__key"), F.col("path"), F.col("doc_id")]
-    bucket = F.struct((-F.col("total_matches")).alias("t"), naming.coarse(F.col("__key")).alias("k"))
+    cuts = bounds(documents, naming.sortable(key))
+    bucket = F.struct((-steps(F.col("total_matches"))).alias("t"), F.when(F.col("total_matches") <= 256, bucket_of(naming.sortable(F.col("__key")), cuts)).alias("k"))
     return ranked(out, order, bucket).drop("__key")
 
 

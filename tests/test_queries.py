@@ -5,9 +5,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from folioscope import queries as engine
+from folioscope.functions import naming
 from folioscope.operators import merge, search
-from folioscope.plans import page_plan
+from folioscope.plans import page_plan, ranking
 from folioscope.sources import tables
 from folioscope.streaming import ingest
 
@@ -79,3 +82,27 @@ def test_streaming_totals_equal_batch(spark, tmp_path):
     batch = search.document_totals(search.page_counts(tables.line_pages(docs), ["alpha", "beta"]))
     want = {r["keyword"]: r["s"] for r in batch.groupBy("keyword").agg({"total": "sum"}).toDF("keyword", "s").collect()}
     assert {r["keyword"]: r["total"] for r in spark.table("totals").collect()} == want == {"alpha": 3, "beta": 1}
+
+
+def test_ranks_of_names_with_one_beginning(spark):
+    paths = [f"/data/corpus/part-{i}.pdf" for i in range(1500)] + ["/data/corpus/part-7.PDF", "a\0!b", "a1", "a"]
+    docs = spark.createDataFrame([(str(i), p) for i, p in enumerate(paths)], "doc_id string, filename string")
+    key = naming.sortable(naming.natural_column("filename"))
+    cuts = ranking.bounds(docs, key)
+    sizes = [r["count"] for r in docs.groupBy(ranking.bucket_of(key, cuts)).count().collect()]
+    assert len(cuts) == ranking.BOUNDS == len(sizes) - 1 and max(sizes) < 20
+    want = [i for _, _, i in sorted((naming.natural_key(p), p, str(i)) for i, p in enumerate(paths))]
+    got = merge.natural_inputs(docs).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["src_ord"])] == want and sorted(r["src_ord"] for r in got) == list(range(1, len(paths) + 1))
+    assert merge.natural_inputs(docs.limit(0)).count() == 0 and merge.natural_inputs(docs.selectExpr("doc_id", "cast(null as string) filename").limit(2)).count() == 2
+
+
+def test_steps_ascend(spark):
+    counts = [*range(600), 10**4, 10**4 + 1, 10**6, 10**9, 10**15]
+    rows = spark.createDataFrame([(n,) for n in counts], "n long").withColumn("s", ranking.steps(F.col("n"))).orderBy("n").collect()
+    steps = [r["s"] for r in rows]
+    assert steps == sorted(steps) and steps[:257] == list(range(257)) and steps[257] == 257 and steps[-1] < 1000
+    pages = spark.createDataFrame([(str(n), 1, "x " * n) for n in (0, 0, 256, 257, 258, 400, 1)], "doc_id string, page int, text string").distinct()
+    docs = spark.createDataFrame([(str(n), f"p{n}") for n in (0, 256, 257, 258, 400, 1)] + [("none", "p")], "doc_id string, path string")
+    ranks = {r["doc_id"]: r["rank"] for r in search.search_corpus(pages, docs, ["x"], sort="rank").collect()}
+    assert sorted(ranks, key=ranks.get) == ["400", "258", "257", "256", "1", "none", "0"]
