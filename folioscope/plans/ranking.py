@@ -21,8 +21,9 @@ def bounds(df: DataFrame, key: Column) -> list[str]:
 
 
 def bucket_of(key: Column, cuts: list[str]) -> Column:
-    """How many of the bounds are not above ``key``; 0 for null."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= key)) if cuts else F.lit(0)
+    """How many of the bounds are not above ``key``; 0 for null. The key is made once, not for each bound."""
+    above = lambda k: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= k))
+    return F.get(F.transform(F.array(key), above), F.lit(0)) if cuts else F.lit(0)
 
 
 def steps(n: Column) -> Column:
