@@ -46,6 +46,12 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(docs)
 
 
+def op5_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the cuts that OP5 fixes: any share of a text, lines of any length, texts needed by length."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs, whole=True)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_contamination(docs, _read(spark, sf_dir, "benchmark"))
@@ -85,7 +91,7 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op6_decontamination, op7_jaccard_join, op8_sharding, op9_quality, op10_backoff_scores)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op5_whole_lines, op6_decontamination, op7_jaccard_join, op8_sharding, op9_quality, op10_backoff_scores)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

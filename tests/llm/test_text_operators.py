@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff_scores, decontamination, language_id, line_templates, pii, quality
+from folioscope.llm import backoff_scores, decontamination, language_id, line_templates, pii, quality, queries
 
 SCHEMA = "doc_id long, text string"
 
@@ -173,6 +173,15 @@ def test_lines_whatever_their_share(spark):
     assert {said[16], said[17]} == {f"{family}\nlast"} and len(rows) == len(texts)
 
 
+def test_lines_registered_whole(spark, tmp_path):
+    rng = random.Random(14)
+    own, passage = lambda n: prose(rng, n, 10**6), prose(rng, 60)
+    texts = [f"{own(30)}\n{passage}" for _ in range(2)] + [f"{own(30)}\nNext page" for _ in range(50)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.queries()["op5_whole_lines"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in rows} == {i: (t.split("\n")[0], 2, 1) for i, t in enumerate(texts)}
+
+
 def test_lines_of_every_length(spark):
     rng = random.Random(10)
     own = lambda: prose(rng, 80, 10**6)
