@@ -86,7 +86,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
     wanted = table(ends, "wanted")
     sets = texts.join(small(wanted, wanted.count(), BROADCAST_PAIRS), "tkey", "left_semi").select("tkey", F.array_distinct(_shingles(F.col("text"))).alias("set"))
     sets = table(sets, "sets")
-    both = pairs.join(sets, "tkey").join(sets.toDF("least", "other"), "least")
+    both = sets.join(small(pairs, pairs.count(), BROADCAST_PAIRS), "tkey").join(sets.toDF("least", "other"), "least")
     common = F.size(F.array_intersect("set", "other"))
     found = components(both.where(common >= ALIKE * (F.size("set") + F.size("other") - common)).select("tkey", "least"), "tkey", "least")
     discard(bands, pairs, wanted, sets)
@@ -102,19 +102,24 @@ def recurring_lines(docs: DataFrame, text: str = "text", whole: bool = False) ->
     lines = _lines(texts, whole)
     leaves = lines.select("leaf", "n", "tkey").distinct().groupBy("leaf", "n").agg(F.count("*").alias("texts"))
     leaves = table(leaves.where(F.col("texts") >= needed).select("leaf"), "leaves")
-    # a row for each leaf of a text, with the tokens of each line at their places as marks
+    # a row for each leaf of a text, with each line's tokens as marks of leaf, place and token; wildcards' marks are odd
     inside = lines.join(small(leaves, leaves.count(), BROADCAST_LEAVES), "leaf").groupBy("tkey", "leaf", "n").agg(F.collect_list(F.struct("no", "line")).alias("lines"))
-    marks = lambda line: F.transform(F.split(line, " ", -1), lambda x, at: F.xxhash64(at, x))
-    inside = table(inside.select("tkey", "leaf", "n", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), marks(x["line"]).alias("marks"))).alias("lines")), "inside")
+    mark = lambda x, at: F.xxhash64("leaf", at, x).bitwiseAND(F.lit(-2)).bitwiseOR((x == WILDCARD).cast("long"))
+    marks = lambda line: F.transform(F.split(line, " ", -1), mark)
+    inside = inside.select("tkey", "leaf", "n", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), marks(x["line"]).alias("marks"))).alias("lines"))
+    inside = table(inside.withColumn("id", F.monotonically_increasing_id()), "inside")
     # a text counts once for a token at its place, however often its lines have it
-    fixed = inside.select("leaf", "n", F.explode(F.array_distinct(F.flatten("lines.marks"))).alias("mark")).groupBy("leaf", "n", "mark").agg(F.count("*").alias("texts"))
-    fixed = table(fixed.where(F.col("texts") >= needed).select("leaf", "mark"), "fixed")
-    each = inside.select("tkey", "leaf", "n", F.explode("lines").alias("x")).select("tkey", "x.no", "leaf", "n", F.posexplode("x.marks").alias("at", "mark"))
-    kept = each.join(small(fixed, fixed.count(), BROADCAST_LEAVES), ["leaf", "mark"])
-    shape = kept.groupBy("tkey", "no", "leaf", "n").agg(F.count_if(F.col("mark") != F.xxhash64("at", F.lit(WILDCARD))).alias("constant"), F.bit_xor("mark").alias("shape"))
-    shape = shape.where(F.col("constant") >= CONSTANT * F.col("n"))
-    shape = table(shape.select("tkey", "no", F.col("n").cast("long").alias("n"), F.xxhash64("leaf", "shape").alias("template")), "shapes")
-    discard(leaves, inside, fixed)
+    fixed = inside.select("n", F.explode(F.array_distinct(F.flatten("lines.marks"))).alias("mark")).groupBy("n", "mark").agg(F.count("*").alias("texts"))
+    fixed = table(fixed.where(F.col("texts") >= needed).select("mark"), "fixed")
+    # a token travels as its mark and the number of its line, which is looked up for the few lines that are left
+    each = inside.select("id", "n", F.posexplode("lines.marks").alias("line", "marks")).select("id", "line", "n", F.explode("marks").alias("mark"))
+    kept = each.join(small(fixed, fixed.count(), BROADCAST_LEAVES), "mark")
+    shape = kept.groupBy("id", "line", "n").agg(F.count_if(F.col("mark").bitwiseAND(F.lit(1)) == 0).alias("constant"), F.bit_xor("mark").alias("shape"))
+    shaped = table(shape.where(F.col("constant") >= CONSTANT * F.col("n")).select("id", "line", "shape"), "shaped")
+    named = inside.select("id", "tkey", "leaf", F.col("n").cast("long").alias("n"), F.posexplode("lines.no").alias("line", "no"))
+    shape = named.join(small(shaped, shaped.count(), BROADCAST_LEAVES), ["id", "line"])
+    shape = table(shape.select("tkey", "no", "n", F.xxhash64("leaf", "shape").alias("template")), "shapes")
+    discard(leaves, inside, fixed, shaped)
     often = shape.select("template", "n", "tkey").distinct().groupBy("template", "n").agg(F.count("*").alias("texts"))
     often = table(often.where(F.col("texts") >= needed).select("template"), "often")
     found = table(shape.join(small(often, often.count(), BROADCAST_LEAVES), "template"), "found")

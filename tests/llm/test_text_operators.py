@@ -182,6 +182,25 @@ def test_lines_registered_whole(spark, tmp_path):
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in rows} == {i: (t.split("\n")[0], 2, 1) for i, t in enumerate(texts)}
 
 
+def test_lines_travel_as_marks(spark, monkeypatch):
+    rng = random.Random(15)
+    lines = [prose(rng, 40, 30) for _ in range(60)]
+    df = docs(spark, ["\n".join(rng.sample(lines, 20)) + f"\nlast {i}" for i in range(300)]).cache()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    said, cost = [], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (10**6, -1):  # with broadcasts, and with every join shuffled
+            monkeypatch.setattr(line_templates, "BROADCAST_LEAVES", rows)
+            before = written()
+            said.append(Counter((bytes(r["tkey"]), r["no"]) for r in line_templates.recurring_lines(df).collect()))
+            cost.append(written() - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert said[0] == said[1] and len(said[0]) == 300 * 20
+    assert cost[1] - cost[0] < 13 * 300 * 20 * 40  # bytes for a token
+
+
 def test_lines_of_every_length(spark):
     rng = random.Random(10)
     own = lambda: prose(rng, 80, 10**6)
