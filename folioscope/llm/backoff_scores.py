@@ -1,9 +1,10 @@
 """LM scoring by stupid backoff over the n-gram counts of the whole corpus.
 
-Documents are dealt into chunks. Each chunk's distinct n-grams are exploded into rows, dealt by hash to the partitions
-of the count tables, and joined there with their counts over all chunks (a window over each n-gram's rows counts and
-joins in one sort); n-grams that no other chunk has need no row back. The scores of each document's tokens are summed from the counts of its chunk. A document's own occurrences
-are taken off the counts, so that it is scored by the rest of the corpus.
+Documents are dealt into chunks. Each chunk's distinct n-grams are dealt by hash to the partitions of the count tables,
+as sorted arrays. There the n-grams of a range are counted over all chunks in one sorted table (gram, total), with which
+each chunk's n-grams are joined; n-grams that no other chunk has need no row back. The scores of each document's tokens
+are summed from the counts of its chunk. A document's own occurrences are taken off the counts, so that it is scored by
+the rest of the corpus.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.blocks import by_span, chunks, pack, texts_of, unpack
@@ -36,7 +37,7 @@ def _ngrams(texts: Iterator[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np
 
 
 def exploded(dealt: DataFrame, spans: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """(bucket, chunk, grams, own): each chunk's distinct n-grams and their counts in it, by range of hash.
+    """(bucket, chunk, n, grams, own): each chunk's distinct n-grams, sorted, and their counts in it, by range of hash, as blocks.
 
     Only the buckets that leave ``part`` modulo ``parts``.
     """
@@ -49,49 +50,49 @@ def exploded(dealt: DataFrame, spans: int, part: int = 0, parts: int = 1) -> Dat
                 grams = [h[(h >> np.uint64(64 - spans)) % np.uint64(parts) == part] for h, _ in _ngrams(texts_of(sizes, packed.as_py()))[1]]
                 value, count = np.unique(np.concatenate(grams), return_counts=True)
                 slices = by_span(value, 64, spans)
-                ends = pa.array([0, *[b for _, _, b in slices]], pa.int32())
                 columns = [
                     pa.array([k for k, _, _ in slices], pa.int64()),
                     pa.array([chunk] * len(slices), pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
+                    pa.array([b - a for _, a, b in slices], pa.int64()),
+                    pa.array([pack(np.diff(value[a:b], prepend=np.uint64(0)), 8) for _, a, b in slices], pa.binary()),
+                    pa.array([pack(count[a:b], 4) for _, a, b in slices], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "grams", "own"])
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "n", "grams", "own"])
 
-    return dealt.select("chunk", "sizes", "texts").mapInArrow(run, "bucket long, chunk long, grams array<long>, own array<int>")
+    return dealt.select("chunk", "sizes", "texts").mapInArrow(run, "bucket long, chunk long, n long, grams binary, own binary")
 
 
 def shared_counts(rows: DataFrame) -> DataFrame:
-    """(bucket, chunk, found): of n-grams that several chunks have, their place in the chunk's bucket and their count.
+    """(bucket, chunk, n, places, totals): of n-grams that several chunks have, their place in the chunk's bucket and
+    their count, as blocks; n of them.
 
-    ``rows`` as of ``exploded``. Every chunk has a row for an n-gram at most, so no n-gram weighs more than there are
-    chunks.
+    ``rows`` as of ``exploded``. Every chunk has an n-gram once at most, so no n-gram weighs more than there are chunks.
     """
-    grams = rows.repartition("bucket").select("bucket", "chunk", F.posexplode(F.arrays_zip("grams", "own")).alias("at", "x"))
-    grams = grams.select("bucket", "chunk", "at", F.col("x.grams").alias("gram"), F.col("x.own").alias("own"))
-    total = F.sum("own").over(Window.partitionBy("gram", "bucket"))  # dealt by bucket already: no exchange
-    met = grams.withColumn("total", total).where("total > own")
-    return met.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("at", "total")).alias("found"))
 
-
-def _packed(found: DataFrame) -> DataFrame:
-    """(bucket, chunk, n, places, totals): the lists of ``shared_counts`` as blocks."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            n, places, totals = [], [], []
-            for x in batch.column(2):
-                at, total = x.values.field(0).to_numpy(), x.values.field(1).to_numpy()
-                order = np.argsort(at)
-                n.append(len(at))
-                places.append(pack(np.diff(at[order], prepend=0), 4))
-                totals.append(pack(total[order], 8))
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(places, pa.binary()), pa.array(totals, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "n", "places", "totals"])
-
-    return found.mapInArrow(run, "bucket long, chunk long, n long, places binary, totals binary")
+    def run(pdf):
+        import pandas as pd
+
+        grams = [np.cumsum(unpack(g, n, 8), dtype=np.uint64) for g, n in zip(pdf["grams"], pdf["n"], strict=True)]
+        own = [unpack(c, n, 4).astype(np.int64) for c, n in zip(pdf["own"], pdf["n"], strict=True)]
+        # the count table of the bucket: each n-gram with its total, where several chunks have it
+        every = np.concatenate(grams)
+        order = np.argsort(every)
+        every = every[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        total = np.add.reduceat(np.concatenate(own)[order], first)
+        several = np.diff(first, append=len(every)) > 1
+        table, total = every[first][several], total[several]
+        n, places, totals = [], [], []
+        for g in grams:
+            to = np.minimum(np.searchsorted(table, g), max(len(table) - 1, 0))
+            at = np.flatnonzero(table[to] == g) if len(table) else np.empty(0, np.int64)
+            n.append(len(at))
+            places.append(pack(np.diff(at, prepend=0), 4))
+            totals.append(pack(total[to[at]], 8))
+        out = pd.DataFrame({"bucket": pdf["bucket"], "chunk": pdf["chunk"], "n": n, "places": places, "totals": totals})
+        return out[out["n"] > 0]
+
+    return rows.groupBy("bucket").applyInPandas(run, "bucket long, chunk long, n long, places binary, totals binary")
 
 
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,7 +108,7 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spans = max(1, size // BUCKET_BYTES).bit_length()
     dealt = table(chunks(docs, doc_id, text, CHUNK_BYTES), "chunks")
     kind = docs.schema[doc_id].dataType.simpleString()
-    parts = [table(_packed(shared_counts(exploded(dealt, spans, i, PARTS))), "counts") for i in range(PARTS)]
+    parts = [table(shared_counts(exploded(dealt, spans, i, PARTS)), "counts") for i in range(PARTS)]
     counted = reduce(DataFrame.unionByName, parts)
     tokens = counted_tokens(dealt)
     back = counted.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "places", "totals")).alias("parts"))

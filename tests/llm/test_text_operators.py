@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff_scores, decontamination, language_id, line_templates, pii, quality, queries
+from folioscope.llm import backoff_scores, blocks, decontamination, language_id, line_templates, pii, quality, queries
 
 SCHEMA = "doc_id long, text string"
 
@@ -287,6 +287,20 @@ def test_backoff_scores(spark, monkeypatch):
     assert backoff_scores.backoff_scores(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_backoff_count_tables(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, 50, 15) for _ in range(8)]
+    dealt = blocks.chunks(docs(spark, texts).repartition(3), "doc_id", "text", 200).cache()
+    held = [np.unique(np.concatenate([h for h, _ in backoff_scores._ngrams(blocks.texts_of(r["sizes"], r["texts"]))[1]]), return_counts=True) for r in dealt.orderBy("chunk").collect()]
+    corpus, chunks = Counter(), Counter()
+    for grams, own in held:
+        corpus.update(dict(zip(grams.tolist(), own.tolist(), strict=True)))
+        chunks.update(grams.tolist())
+    want = sorted(corpus[g] for grams, _ in held for g in grams.tolist() if chunks[g] > 1)
+    found = [r for i in range(2) for r in backoff_scores.shared_counts(backoff_scores.exploded(dealt, 2, i, 2)).collect()]
+    assert len(held) > 3 and want and sorted(t for r in found for t in blocks.unpack(r["totals"], r["n"], 8).tolist()) == want
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = [" ".join(f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(80)) for _ in range(300)]
