@@ -1,34 +1,39 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trigrams of a bounded sample of trusted documents are counted in tables partitioned by hash; continuation counts,
-context totals and discounts are group-bys and joins of those tables. Documents are scored by sharded joins: every word
-of every document is a row with the hashes of its n-grams, a shard holds the n-grams whose middle word falls in it, the
-rows of a shard are joined with its count tables, and log probabilities are summed per document within the task that
-read it. A document is kept if its perplexity is at most the quantile of its language among trusted documents that the
-model was not trained on.
+Trigrams of half of the trusted documents are counted in tables partitioned by hash; continuation counts, context totals
+and discounts are group-bys and joins of those tables. Documents are scored by sharded joins: the distinct n-grams of a
+chunk of documents are dealt by hash to the shards of the count tables and joined with them there, and log probabilities
+are summed per document from what the chunk gets back. A document is kept if its perplexity is at most the quantile of
+its language among the other half of the trusted documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.blocks import by_span, chunks, pack, texts_of, unpack
 from folioscope.llm.shared import discard, small, table
 from folioscope.llm.shingles import mixed, runs_of_many
 
-#: Trusted documents trained on (about, and half of them at most), the quantile kept of a language, and its least number of trusted documents.
-TRAINED = 2000
+#: The quantile kept of a language, and its least number of trusted documents.
 QUANTILE = 0.995
 LEAST = 50
 #: A text's mean is drawn to the trusted mean as by so many words, so that a few odd words do not condemn a short text.
 PRIOR = 20
 BROADCAST_ROWS = 100_000
-#: Rows of all count tables in a shard: what one pass over the documents joins with.
-SHARD_ROWS = 2_000_000
+#: Rows of all count tables and bytes of text whose n-grams meet in a shard, at most about.
+SHARD_ROWS = 500_000
+SHARD_BYTES = 4_000_000
+#: Parts of the shards that are joined one after the other, so that only one part's n-grams are on disk at a time.
+PARTS = 4
+#: Text in a chunk, in bytes: a task holds its words and n-grams at once.
+CHUNK_BYTES = 2_000_000
 #: Characters of texts whose words are hashed at once.
 TOGETHER = 500_000
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -65,8 +70,8 @@ def _parts(texts) -> Iterator[list[str | None]]:
 
 @dataclass
 class KneserNey:
-    """Count tables (k, v, x): for trigrams uvw and bigrams vw their discounted share, for contexts uv and v the weight
-    of what is below, for words w their share; ``v`` is the hash of the middle word (null for w)."""
+    """Count tables (k, x): for trigrams uvw and bigrams vw their discounted share, for contexts uv and v the weight of
+    what is below, for words w their share."""
 
     tables: dict[str, DataFrame]
     rows: int
@@ -88,7 +93,7 @@ def _taken(d: tuple[float, float, float]) -> Column:
 
 
 def train(texts: DataFrame, text: str = "text") -> KneserNey:
-    """Fit on the texts given, which should be a bounded sample: the model has a few numbers for each trigram."""
+    """Fit on all texts given: the model has a few numbers for each trigram, in written tables."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -103,74 +108,116 @@ def train(texts: DataFrame, text: str = "text") -> KneserNey:
     one = table(two.groupBy("w").agg(F.count("*").alias("c")), "words")
     tables = {}
 
-    def keep(name: str, rows: DataFrame, v: Column) -> None:
-        tables[name] = table(rows.select(F.col(name).alias("k"), v.alias("v"), "x"), name)
+    def keep(name: str, rows: DataFrame) -> None:
+        tables[name] = table(rows.select(F.col(name).alias("k"), "x"), name)
 
     for counts, gram, context in ((three, "uvw", "uv"), (two, "vw", "v")):
         d = _taken(_discounts(counts))
-        totals = table(counts.groupBy(context).agg(F.sum("c").alias("all"), F.sum(d).alias("off"), F.first("v").alias("middle")), "totals")
-        keep(gram, counts.join(totals, context).withColumn("x", (F.col("c") - d) / F.col("all")), F.col("middle"))
-        keep(context, totals.withColumn("x", F.col("off") / F.col("all")), F.col("middle"))
+        totals = table(counts.groupBy(context).agg(F.sum("c").alias("all"), F.sum(d).alias("off")), "totals")
+        keep(gram, counts.join(totals, context).withColumn("x", (F.col("c") - d) / F.col("all")))
+        keep(context, totals.withColumn("x", F.col("off") / F.col("all")))
         discard(totals)
     d = _taken(_discounts(one))
     whole = one.agg(F.coalesce(F.sum("c"), F.lit(1)).alias("all"), F.coalesce(F.sum(d), F.lit(1.0)).alias("off"), F.count("*").alias("n")).first()
-    keep("w", one.withColumn("x", (F.col("c") - d) / whole["all"]), F.lit(None).cast("long"))
+    keep("w", one.withColumn("x", (F.col("c") - d) / whole["all"]))
     discard(three, two, one)
     return KneserNey(tables, sum(t.count() for t in tables.values()), whole["off"] / whole["all"] / (whole["n"] + 1))
 
 
+def _grams(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; the distinct n-grams of all; for uvw, uv, vw, v and w (rows) the place among them, by word."""
+    n, *h = _hashes(list(texts))
+    known, place = np.unique(np.concatenate(h), return_inverse=True)
+    return n, known, place.reshape(len(h), -1)
+
+
+def _asked(dealt: DataFrame, spans: int, part: int) -> DataFrame:
+    """(shard, chunk, n, grams): each chunk's distinct n-grams, sorted, by range of hash; shards that leave ``part`` modulo PARTS."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for chunk, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.concatenate(_hashes(list(texts_of(sizes, packed.as_py())))[1:])
+                value = np.unique(h[(h >> np.uint64(64 - spans)) % np.uint64(PARTS) == part])
+                slices = by_span(value, 64, spans)
+                columns = [
+                    pa.array([k for k, _, _ in slices], pa.int64()),
+                    pa.array([chunk] * len(slices), pa.int64()),
+                    pa.array([b - a for _, a, b in slices], pa.int64()),
+                    pa.array([pack(np.diff(value[a:b], prepend=np.uint64(0)), 8) for _, a, b in slices], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "n", "grams"])
+
+    return dealt.select("chunk", "sizes", "texts").mapInArrow(run, "shard long, chunk long, n long, grams binary")
+
+
+def _answered(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(shard, chunk, weight, n, places, m, said, codes): of the n-grams that the count tables have, the place in the
+    chunk's shard and the number, as the code of one of m different ones. ``known``: shard, weight, k, x."""
+
+    def run(chunks, rows):
+        import pandas as pd
+
+        tables = []
+        for weight in (False, True):
+            of = rows[rows["weight"] == weight]
+            k, x = of["k"].to_numpy().view(np.uint64), of["x"].to_numpy()
+            order = np.argsort(k)
+            tables.append((weight, k[order], x[order]))
+        out = []
+        for shard, chunk, n, packed in zip(chunks["shard"], chunks["chunk"], chunks["n"], chunks["grams"], strict=True):
+            grams = np.cumsum(unpack(packed, n, 8), dtype=np.uint64)
+            for weight, k, x in tables:
+                to = np.minimum(np.searchsorted(k, grams), max(len(k) - 1, 0))
+                at = np.flatnonzero(k[to] == grams) if len(k) else np.empty(0, np.int64)
+                if len(at):
+                    said, codes = np.unique(x[to[at]], return_inverse=True)
+                    out.append((shard, chunk, weight, len(at), pack(np.diff(at, prepend=0), 4), len(said), pack(said.view(np.uint64), 8), pack(codes, 4)))
+        return pd.DataFrame(out, columns=["shard", "chunk", "weight", "n", "places", "m", "said", "codes"])
+
+    schema = "shard long, chunk long, weight boolean, n long, places binary, m long, said binary, codes binary"
+    return asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(run, schema)
+
+
 def score(docs: DataFrame, model: KneserNey, text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``docs`` (without ``text``) with n_words and log_p, the sum of the natural log probabilities of its words.
 
-    The documents are read once for each shard of about ``shard_rows`` rows of the count tables, so what a pass
-    broadcasts is bounded by it and by the words of the model.
+    A shard holds about ``shard_rows`` rows of the count tables at most; no n-gram weighs more in it than there are chunks.
     """
-    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    shards = max(1, -(-model.rows // shard_rows))
-
-    def tokens(shard: int):
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                done = 0
-                for texts in _parts(batch.column(1)):
-                    n, *h = _hashes(texts)
-                    here = np.flatnonzero(h[3] % np.uint64(shards) == shard)
-                    row = np.repeat(batch.column(0).slice(done, len(texts)).to_numpy(), n)
-                    done += len(texts)
-                    columns = [row, np.repeat(n, n), *[c.view(np.int64) for c in h]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[here]) for c in columns], ["row", "n", "uvw", "uv", "vw", "v", "w"])
-
-        return run
-
-    sums = []
-    for shard in range(shards):
-        rows = numbered.select("__row", text).mapInArrow(tokens(shard), "row long, n long, uvw long, uv long, vw long, v long, w long")
-        for name, known in model.tables.items():
-            if name != "w":
-                known = known.where(_unsigned_remainder(F.col("v"), shards) == shard)
-            of = known.select(F.col("k").alias(f"__{name}"), F.col("x").alias(f"x_{name}"))
-            # bounded: a shard's share of the model, itself that of a sample
-            rows = rows.join(F.broadcast(of), F.col(name) == F.col(f"__{name}"), "left").drop(f"__{name}")
-        x = lambda name, default: F.coalesce(F.col(f"x_{name}"), F.lit(default))
-        p = x("w", 0.0) + model.floor
-        p = x("vw", 0.0) + x("v", 1.0) * p
-        p = x("uvw", 0.0) + x("uv", 1.0) * p
-        sums.append(table(rows.groupBy("row").agg(F.max("n").alias("n"), F.sum(F.log(p)).alias("s")), "sums"))
-    total = sums[0]
-    for other in sums[1:]:
-        total = total.unionByName(other)
-    total = total.groupBy("row").agg(F.max("n").alias("n_words"), F.sum("s").alias("log_p"))
-    out = numbered.drop(text).join(total, F.col("__row") == F.col("row"), "left").drop("__row", "row")
-    out = table(out.withColumns({"n_words": F.coalesce("n_words", F.lit(0).cast("long")), "log_p": F.coalesce("log_p", F.lit(0.0))}), "scored")
-    discard(numbered, *sums)
-    return out
+    whole = table(docs.withColumn("__row", F.monotonically_increasing_id()), "whole")
+    size = whole.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    spans = max(PARTS - 1, size // SHARD_BYTES, model.rows // shard_rows).bit_length()
+    dealt, numbered = table(chunks(whole, "__row", text, CHUNK_BYTES), "chunks"), table(whole.drop(text), "numbered")
+    discard(whole)
+    of = lambda name: model.tables[name].select(F.lit(name in ("uv", "v")).alias("weight"), "k", "x")
+    known = reduce(DataFrame.unionByName, map(of, model.tables)).withColumn("shard", F.shiftrightunsigned("k", 64 - spans))
+    parts = [table(_answered(_asked(dealt, spans, i), known.where(F.pmod("shard", F.lit(PARTS)) == i)), "answers") for i in range(PARTS)]
+    back = reduce(DataFrame.unionByName, parts).groupBy("chunk").agg(F.collect_list(F.struct("shard", "weight", "n", "places", "m", "said", "codes")).alias("parts"))
+    floor = model.floor
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _unsigned_remainder(h: Column, by: int) -> Column:
-    """h modulo ``by``, with the 64 bits of h read as an unsigned number."""
-    return F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(by)) * 2 + h.bitwiseAND(1), F.lit(by))
+        for batch in batches:
+            for ids, sizes, packed, parts in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                n, grams, (uvw, uv, vw, v, w) = _grams(texts_of(sizes, packed.as_py()))
+                first = {k: a for k, a, _ in by_span(grams, 64, spans)}
+                share, weight = np.zeros(len(grams)), np.ones(len(grams))
+                for p in parts.as_py() or ():
+                    at = first[p["shard"]] + np.cumsum(unpack(p["places"], p["n"], 4)).astype(np.int64)
+                    (weight if p["weight"] else share)[at] = unpack(p["said"], p["m"], 8).view(np.float64)[unpack(p["codes"], p["n"], 4)]
+                log_p = np.log(share[uvw] + weight[uv] * (share[vw] + weight[v] * (share[w] + floor)))
+                sums = np.bincount(np.repeat(np.arange(len(n)), n), log_p, len(n)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(n), pa.array(sums)], ["row", "n_words", "log_p"])
+
+    rows = dealt.join(back, "chunk", "left").select("ids", "sizes", "texts", "parts")
+    total = table(rows.mapInArrow(run, "row long, n_words long, log_p double"), "sums")
+    discard(dealt, *parts)
+    out = table(numbered.join(total, F.col("__row") == F.col("row")).drop("__row", "row"), "scored")
+    discard(numbered, total)
+    return out
 
 
 def classify(
@@ -179,19 +226,21 @@ def classify(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    trained: int = TRAINED,
+    trained: int | None = None,
     quantile: float = QUANTILE,
 ) -> DataFrame:
     """One row per document: doc_id, lang, n_words, perplexity, limit and kept.
 
-    Trusted are the ids that ``labels`` gives quality 1 (repeated labels count once). Perplexity is null without words;
+    Trusted are the ids that ``labels`` gives quality 1 (repeated labels count once). Half of them are trained on, or
+    about ``trained`` if that is given and less; all others set the limits. Perplexity is null without words;
     a null or empty text is not kept, nor is any text above its language's limit. A null language is one of its own;
     a language of fewer than LEAST trusted documents takes the limit of all. Without trusted documents the limit is
     null and every document with words is kept. Repeated rows give a row each; texts of any length are read whole; other
     columns, whatever their names, are not read; an empty table gives no rows.
     """
     trusted = table(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted")).distinct(), "trusted")
-    share = min(0.5, trained / max(trusted.count(), 1))  # at least half set the limits, at every size
+    # at least half set the limits, at every size
+    share = 0.5 if trained is None else min(0.5, trained / max(trusted.count(), 1))
     chance = F.pmod(F.xxhash64("trusted", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
     sample = trusted.where(chance < share)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))

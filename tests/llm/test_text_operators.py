@@ -325,6 +325,15 @@ def test_quality_limits_rest_on_half(spark, monkeypatch, trained):
     assert len(limits) == 2 and len({x for _, x in limits}) == 2  # each language has its own
 
 
+def test_quality_trains_on_half_of_all(spark, monkeypatch):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.format_string("a b c w%d", F.col("id") % 7).alias("text"), F.lit("en").alias("lang"))
+    labels = df.select("doc_id", F.lit(1).alias("quality"))
+    fitted, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda texts: fitted.append(texts.count()) or train(texts))
+    rows = quality.classify(df, labels).collect()
+    assert 2350 < fitted[0] < 2650 and len(rows) == 5000 and all(r["kept"] and r["n_words"] == 4 for r in rows)
+
+
 def brute_kneser_ney(texts):
     """Interpolated modified Kneser-Ney over strings: the natural log probability of a text."""
     split = [["<s>", "<s>", *t.split()] for t in texts]
