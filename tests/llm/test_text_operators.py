@@ -1,6 +1,7 @@
 """Text operators against brute force, and the edge cases that their docstrings define."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -387,6 +388,39 @@ def test_kneser_ney(spark, shard_rows):
     assert abs(sum(np.exp(got[i]["log_p"] - base) for i in range(17, len(asked))) - 1) < 1e-6
 
 
+def test_quality_by_groups_and_parts_takes_little_disk(spark, monkeypatch, tmp_path):
+    rng = random.Random(12)
+    texts = [prose(rng, 300, 2000) for _ in range(1200)] + [None, "", "w1"]
+    df = docs(spark, texts).repartition(2)
+    trained = df.where("doc_id % 6 = 0")
+    df.write.option("compression", "zstd").parquet(str(tmp_path / "docs"))
+    bytes_of = lambda path: sum(f.stat().st_size for f in pathlib.Path(path).rglob("*.parquet"))
+    alive, peak, table, discard = {}, [], quality.table, quality.discard
+
+    def written(rows, name):
+        out = table(rows, name)
+        alive[out._folioscope_path] = bytes_of(out._folioscope_path.removeprefix("file:"))
+        peak.append(sum(alive.values()))
+        return out
+
+    def gone(*tables):
+        for t in tables:
+            alive.pop(t._folioscope_path)
+        discard(*tables)
+
+    monkeypatch.setattr(quality, "table", written)
+    monkeypatch.setattr(quality, "discard", gone)
+    scored = []
+    for size in (10**9, 200_000):
+        monkeypatch.setattr(quality, "GROUP_BYTES", size, raising=False)
+        peak.clear(), alive.clear()
+        scored.append({r["doc_id"]: (r["n_words"], round(r["log_p"], 6)) for r in quality.score(df, quality.train(trained)).collect()})
+    assert scored[0] == scored[1] and len(scored[0]) == len(texts)
+    want = brute_kneser_ney(texts[:1200:6])
+    assert all(abs(scored[1][i][1] - want(texts[i])) < 1e-4 for i in (0, 1, 600, 601, 1202))
+    assert max(peak) < 2.5 * bytes_of(tmp_path / "docs")
+
+
 def test_quality_columns_and_empty_tables(spark):
     rows = [(1, "a b c d", "en"), (1, "a b c d", "en"), (None, "a b", None), (2, None, "en"), (3, "x " * 20000, "de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
