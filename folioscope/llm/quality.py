@@ -340,7 +340,8 @@ def _log_p(first: np.ndarray, place: np.ndarray, counts: np.ndarray, model: tupl
     p = np.maximum(counts[0, w] - _off(counts[0, w], discounts[2]), 0) / whole + floor
     for gram, context, d in ((vw, _before(w, first, place[-1]), discounts[1]), (uvw, _before(vw, first, place[-2]), discounts[0])):
         own, total = counts[0, gram], counts[1, context]
-        weight = np.where(total > 0, np.tensordot(d, counts[2:], 1)[context], 1) / np.maximum(total, 1)
+        # not a dot product, for which numpy starts threads
+        weight = np.where(total > 0, (d[0] * counts[2] + d[1] * counts[3] + d[2] * counts[4])[context], 1) / np.maximum(total, 1)
         p = np.maximum(own - _off(own, d), 0) / np.maximum(total, 1) + weight * p
     return np.log(p)
 
