@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff_scores, cap_filters, decontamination, jaccard_join, language_id, line_templates, packing, pii, quality, sharding
+from folioscope.llm import backoff_scores, bit_planes, cap_filters, decontamination, fill_in_middle, jaccard_join, language_id, line_templates, packing, pii, quality, sharding, spelling
+from folioscope.llm.shared import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +92,26 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = fill_in_middle.fill_in_middle(_read(spark, sf_dir, "documents"))
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    digests = sha(F.col("output")).alias("output_sha256"), sha(fill_in_middle.restored("output", "form")).alias("restored_sha256")
+    return said.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(_read(spark, sf_dir, "documents"), slip_every=199)
+    return spelling.spelling_variants(words)
+
+
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/folioscope-ids-{uuid.uuid4().hex}"
+    bit_planes.write_documents(_read(spark, sf_dir, "documents"), path)
+    return bit_planes.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op5_whole_lines, op6_decontamination, op7_jaccard_join, op8_sharding, op9_quality, op10_backoff_scores)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_language_id, op4_pii, op5_line_templates, op5_whole_lines, op6_decontamination, op7_jaccard_join, op8_sharding, op9_quality, op10_backoff_scores, op11_fill_in_middle, op12_spelling, op13_bit_planes)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,6 +174,34 @@ OP10 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_
     FROM d LEFT JOIN l ON l.r = d.r"""
 
 
+_H = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+
+OP11 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    c AS (SELECT doc_id, t, n, {_H.format(1)} % (n + 1) AS x, {_H.format(9)} % (n + 1) AS y, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_H.format(17)} % 100 >= 90 THEN 'plain'
+        WHEN {_H.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM c),
+    s AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM p)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM s"""
+
+#: The crc32 of a string of characters below U+0100, bit by bit: a byte and seven zeros for each byte.
+_CRC = """xor(list_reduce(flatten(list_transform(flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)), lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))::BIGINT[],
+        lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::BIGINT), 4294967295)"""
+
+OP12 = rf"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+    l AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS k FROM r WHERE length(w) >= 6 GROUP BY 1, 2),
+    h AS (SELECT w, k, {_CRC.format("(CAST(doc_id AS VARCHAR) || ':' || w)")} AS h FROM l),
+    c AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+    v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n, length(word) AS m FROM c WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+    g AS (SELECT word, m, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, m, unnest(range(1, m + 1)) AS i FROM v)),
+    p AS (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.m = b.m AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT g.word, v.word FROM g JOIN v ON v.word = g.rest UNION SELECT v.word, g.word FROM g JOIN v ON v.word = g.rest),
+    q AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS n FROM p JOIN v ON word = b GROUP BY a),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN q.n >= 5 * v.n THEN b END AS form, CASE WHEN q.n >= 5 * v.n THEN q.n END AS form_n FROM v LEFT JOIN q ON a = word),
+    t AS (WITH RECURSIVE t(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.tip WHERE f.form IS NOT NULL) SELECT t.word, tip FROM t JOIN f ON f.word = tip WHERE form IS NULL)
+    SELECT f.word, form, tip AS root, n, n_near, form_n FROM f JOIN t ON t.word = f.word"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that plain SQL can express; the others are tested against brute force."""
-    return {"op2_cap_filters": OP2, "op5_line_templates": OP5, "op6_decontamination": OP6, "op7_jaccard_join": OP7, "op10_backoff_scores": OP10}
+    return {"op2_cap_filters": OP2, "op5_line_templates": OP5, "op6_decontamination": OP6, "op7_jaccard_join": OP7, "op10_backoff_scores": OP10, "op11_fill_in_middle": OP11, "op12_spelling": OP12}
