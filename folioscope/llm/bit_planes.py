@@ -33,7 +33,7 @@ KINDS = ("byte", "bit")
 BLOCK_IDS, FILE_IDS, BATCH_IDS = 65_536, 64_000_000, 1_000_000
 END_ID = 2
 #: Words whose ids a task remembers, twice (bytes: about 200 for each).
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 350_000
 
 #: What the quick path takes a tokenizer file to say (fixed by the public vocabulary's format); any other is used as it is.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -80,6 +80,7 @@ class WordEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.as_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.points = {bytes([c]): self.whole(chr(c)) for c in b".,;:!?"}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -89,11 +90,17 @@ class WordEncoder:
     def learn(self, chunk: bytes) -> bytes:
         """The ids of a chunk without white space, remembered."""
         if (found := self.older.get(chunk)) is None:
-            text = chunk.decode()
-            if max(text) < "Ā":
-                parts = self.split(text.lower())
-                tokenize, as_char = self.model.tokenize, self.as_char
-                ids = [t.id for part in parts for t in tokenize(part.encode().decode("latin-1").translate(as_char))]
+            end = self.points.get(chunk[-1:])
+            if end is not None and chunk[-2:-1].isalpha():  # a mark after a letter is a token of its own
+                core = chunk[:-1]
+                found = (self.known.get(core) or self.learn(core)) + end
+            elif max(text := chunk.decode()) < "Ā":
+                tokenize = self.model.tokenize
+                if chunk.isalpha():
+                    ids = [t.id for t in tokenize(text)]
+                else:
+                    parts = [text.lower()] if text.isalpha() else self.split(text.lower())
+                    ids = [t.id for part in parts for t in tokenize(part.encode().decode("latin-1").translate(self.as_char))]
                 found = array("I", ids).tobytes()
             else:
                 found = self.whole(text)
