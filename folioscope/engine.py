@@ -9,7 +9,7 @@ import os
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import envelope
@@ -27,7 +27,7 @@ from folioscope.errors import (
 from folioscope.functions import keywords as kw
 from folioscope.functions import pages as pg
 from folioscope.functions.naming import natural_key, stem
-from folioscope.operators import providers, search
+from folioscope.operators import keyword_table, providers, search
 from folioscope.sources import files as fs
 
 OPERATIONS = {
@@ -40,6 +40,8 @@ OPERATIONS = {
     "speech": ["synthesize_speech"],
 }
 MERGED = "merged.pdf"
+#: Keywords that are an expression each in a scan of the pages; more of them are a table.
+EXPRESSIONS = 32
 Pages = None | int | str | Iterable[int]
 
 
@@ -76,6 +78,12 @@ class Engine:
         ids = self.spark.createDataFrame([(e.id, e.path) for e in entries], "doc_id string, path string")
         return pages.join(F.broadcast(ids), "path").select("doc_id", "page", "text")
 
+    @staticmethod
+    def _on(chosen: Iterable[int]) -> Column:
+        """Whether a row's page is one of those chosen: a comparison for each run of them."""
+        spec = pg.format_pages(chosen)
+        return pg.in_pages(F.col("page"), spec) if spec else F.lit(False)
+
     @staticmethod
     def _data(entry: Entry) -> bytes:
         with open(entry.path, "rb") as file:
@@ -132,43 +140,64 @@ class Engine:
 
     # -- search
 
-    def _searched(self, entries: list[Entry], words: list[str], spec: Pages, case: bool, whole: bool) -> dict[str, dict[str, Any]]:
-        """Results by document; one job over all documents."""
+    def _hits(self, entries: list[Entry], words: list[str], spec: Pages, case: bool, whole: bool, snippets: bool = False) -> tuple[dict[str, int], DataFrame]:
+        """Pages looked at by document, and (doc_id, page, ord, keyword, n[, snippet]) on them; one job over all documents.
+
+        The specification is checked against each document, but it is the same for all of them, so it is one predicate.
+        """
         chosen = {e.id: pg.parse_pages(spec, e.page_count) for e in entries}
-        wanted = self.spark.createDataFrame([(d, p) for d, ps in chosen.items() for p in ps], "doc_id string, page int")
-        found = search.hits(self._pages(entries).join(F.broadcast(wanted), ["doc_id", "page"]), words, case, whole, snippets=True)
-        rows: dict[str, list] = {e.id: [] for e in entries}
-        for r in found.orderBy("doc_id", "page", "ord").toLocalIterator():
-            rows[r["doc_id"]].append(r)
+        pages = self._pages(entries)
+        if spec is not None:
+            pages = pages.where(self._on({p for ps in chosen.values() for p in ps}))
+        scanned = {d: len(ps) for d, ps in chosen.items()}
+        if snippets or len(words) <= EXPRESSIONS:
+            return scanned, search.hits(pages, words, case, whole, snippets=snippets)
+        asked = self.spark.createDataFrame(list(enumerate(words)), "ord int, keyword string")
+        return scanned, keyword_table.hits(pages, asked, case, whole)
+
+    def _summaries(self, entries: list[Entry], words: list[str], spec: Pages, case: bool, whole: bool) -> dict[str, dict[str, Any]]:
+        """Totals, matches and matched pages by document: executors add them up, one row a document reaches the driver."""
+        scanned, found = self._hits(entries, words, spec, case, whole)
+        by_word = found.groupBy("doc_id", "keyword").agg(F.sum("n").alias("total"), F.count("*").alias("matches"), F.collect_set("page").alias("pages"))
+        rows = by_word.groupBy("doc_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("keyword", "total"))).alias("totals"),
+            F.sum("matches").alias("matches"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("matched_pages"),
+        )
+        said = {r["doc_id"]: r for r in rows.collect()}
         out = {}
         for e in entries:
-            mine, pages = rows[e.id], chosen[e.id]
-            totals = dict.fromkeys(words, 0) if pages else {}
+            r = said.get(e.id)
+            totals = dict.fromkeys(words, 0) if scanned[e.id] else {}
+            totals |= r["totals"] if r else {}
+            out[e.id] = {"document": e.to_dict(), "totals": totals, "matches": r["matches"] if r else 0, "matched_pages": r["matched_pages"] if r else [], "total_matches": sum(totals.values())}
+        return out
+
+    def search(self, reference: Any, keywords: Any, pages: Pages = None, case_sensitive: bool = False, whole_words: bool = True) -> dict[str, Any]:
+        def work():
+            words = kw.normalise_keywords(keywords)
+            entry = self.catalog.resolve(reference)
+            scanned, found = self._hits([entry], words, pages, case_sensitive, whole_words, snippets=True)
+            mine = found.orderBy("page", "ord").collect()
+            totals = dict.fromkeys(words, 0) if scanned[entry.id] else {}
             matched: dict[int, dict[str, Any]] = {}
             for r in mine:
                 totals[r["keyword"]] += r["n"]
-                entry = matched.setdefault(r["page"], {"page": r["page"], "count": 0, "keywords_found": []})
-                entry["count"] += r["n"]
-                entry["keywords_found"].append(r["keyword"])
-            out[e.id] = {
-                "document": e.to_dict(),
+                on_page = matched.setdefault(r["page"], {"page": r["page"], "count": 0, "keywords_found": []})
+                on_page["count"] += r["n"]
+                on_page["keywords_found"].append(r["keyword"])
+            return {
+                "document": entry.to_dict(),
                 "keywords": words,
-                "case_sensitive": bool(case),
-                "whole_words": bool(whole),
-                "pages_scanned": len(pages),
+                "case_sensitive": bool(case_sensitive),
+                "whole_words": bool(whole_words),
+                "pages_scanned": scanned[entry.id],
                 "totals": totals,
                 "matches": len(mine),
                 "matched_pages": list(matched),
                 "page_matches": list(matched.values()),
                 "hits": [{"page": r["page"], "keyword": r["keyword"], "count": r["n"], "snippet": r["snippet"]} for r in mine],
             }
-        return out
-
-    def search(self, reference: Any, keywords: Any, pages: Pages = None, case_sensitive: bool = False, whole_words: bool = True) -> dict[str, Any]:
-        def work():
-            words = kw.normalise_keywords(keywords)
-            entry = self.catalog.resolve(reference)
-            return self._searched([entry], words, pages, case_sensitive, whole_words)[entry.id]
 
         return self._run("search", work)
 
@@ -178,11 +207,8 @@ class Engine:
             if sort not in search.SORTS:
                 raise ValidationError(f"cannot sort by {sort!r}, only by {search.SORTS}", {"sort": sort})
             entries, skipped = (self.catalog.list(), []) if directory is None else self._registered(self._found(directory, recursive))
-            found = self._searched(list({e.id: e for e in entries}.values()), words, pages, case_sensitive, whole_words) if entries else {}
-            documents = []
-            for e in entries:
-                r = found[e.id]
-                documents.append({k: r[k] for k in ("document", "totals", "matches", "matched_pages")} | {"total_matches": sum(r["totals"].values())})
+            found = self._summaries(list({e.id: e for e in entries}.values()), words, pages, case_sensitive, whole_words) if entries else {}
+            documents = [dict(found[e.id]) for e in entries]
             if sort == "rank":
                 documents.sort(key=lambda d: (-d["total_matches"], natural_key(d["document"]["path"])))
                 documents = [d | {"rank": i} for i, d in enumerate(documents, 1)]
@@ -227,7 +253,7 @@ class Engine:
         def work():
             entry = self.catalog.resolve(reference)
             chosen = pg.parse_pages(pages, self._live_pages(entry))
-            rows = self._pages([entry]).where(F.col("page").isin(chosen)).orderBy("page").collect()
+            rows = self._pages([entry]).where(self._on(chosen)).orderBy("page").collect()
             return {"document": entry.to_dict(), "pages_requested": len(chosen), "characters": sum(len(r["text"]) for r in rows), "pages": {str(r["page"]): r["text"] for r in rows}}
 
         return self._run("extract_text", work)
@@ -236,7 +262,7 @@ class Engine:
         def work():
             entry = self.catalog.resolve(reference)
             chosen = pg.parse_pages(pages, self._live_pages(entry))
-            found = fs.document_links(self._files([entry])).where(F.col("page").isin(chosen)).orderBy("page", "link_ord").collect()
+            found = fs.document_links(self._files([entry])).where(self._on(chosen)).orderBy("page", "link_ord").collect()
             links = [{"page": r["page"], "uri": r["uri"], "rect": list(r["rect"])} for r in found]
             return {"document": entry.to_dict(), "pages_requested": len(chosen), "count": len(links), "links": links}
 
@@ -272,7 +298,7 @@ class Engine:
     def context_pages(self, reference: Any, anchor: int | str, before: int = 1, after: int = 1) -> dict[str, Any]:
         def work():
             entry, total, at, pages = self._context(reference, anchor, before, after)
-            rows = self._pages([entry]).where(F.col("page").isin(pages)).orderBy("page").collect()
+            rows = self._pages([entry]).where(self._on(pages)).orderBy("page").collect()
             return {"document": entry.to_dict(), "anchor": anchor, "anchor_page": at, "before": before, "after": after, "pages": pages, "page_count": total, "texts": {str(r["page"]): r["text"] for r in rows}}
 
         return self._run("context_pages", work)
@@ -291,7 +317,7 @@ class Engine:
             absolute(output, must_exist=False)
             total = self._live_pages(entry)
             scope = pg.parse_pages(pages, total)
-            found = search.matching_pages(self._pages([entry]).where(F.col("page").isin(scope)), words, case_sensitive, whole_words)
+            found = search.matching_pages(self._pages([entry]).where(self._on(scope)), words, case_sensitive, whole_words)
             matched = sorted(r["page"] for r in found.collect())
             if not matched:
                 raise ContentNotFoundError("none of the pages asked for has a keyword", {"keywords": words, "pages_scanned": len(scope)})
@@ -335,13 +361,10 @@ class Engine:
                 fits = {p: s for p, s in split.items() if len(s) == 2 and s[0].isdecimal() and s[1]}
                 ignored = [{"path": p, "reason": "no_numeric_prefix"} for p in paths if p not in fits]
                 paths = sorted(fits, key=lambda p: (int(fits[p][0]), natural_key(fits[p][1])))
-            counts, skipped = {}, []
-            for p in paths:
-                try:
-                    with open(p, "rb") as file:
-                        counts[p] = Document(file.read()).page_count
-                except UnreadableError as e:
-                    skipped.append({"path": p, "reason": e.code})
+            # executors open the files and count their pages
+            said = {r["path"]: r["page_count"] for r in fs.page_counts(fs.read_paths(self.spark, paths)).toLocalIterator()} if paths else {}
+            counts = {p: said[p] for p in paths if said.get(p) is not None}
+            skipped = [{"path": p, "reason": UnreadableError.code} for p in paths if p not in counts]
             if len(counts) < 2:
                 raise ValidationError(f"two readable documents at least are needed to merge, {root} has {len(counts)}", {"directory": root, "found": len(counts)})
             pages = self._write(target, counts, [(p, None) for p in counts])

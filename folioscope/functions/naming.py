@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +12,20 @@ from pyspark.sql import functions as F
 from folioscope.errors import ValidationError
 
 _CHUNKS = "([0-9]+|[^0-9]+)"
-_PREFIX = r"^([0-9]+)_(.+)$"
+_PREFIX = r"^(\p{Nd}+)_(.+)$"
+
+
+@cache
+def _digits() -> tuple[str, str]:
+    """Decimal digits of all scripts, and their values as ASCII digits."""
+    found = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isdecimal()]
+    return "".join(found), "".join(str(int(c)) for c in found)
+
+
+def ascii_digits(text: Column | str) -> Column:
+    """The text with digits of other scripts written as 0-9."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.when(F.octet_length(column) == F.length(column), column).otherwise(F.translate(column, *_digits()))
 
 
 def natural_key(name: str) -> list[tuple]:
@@ -20,7 +35,7 @@ def natural_key(name: str) -> list[tuple]:
 
 def natural_column(name: Column | str) -> Column:
     """array<struct<is_text, digits, number, text>>, which orders as `natural_key` does (numbers of any length)."""
-    chunks = F.regexp_extract_all(F.lower(name), F.lit(_CHUNKS), F.lit(1))
+    chunks = F.regexp_extract_all(ascii_digits(F.lower(name)), F.lit(_CHUNKS), F.lit(1))
 
     def chunk(c: Column) -> Column:
         number = F.regexp_replace(c, "^0+(?=[0-9])", "")
@@ -60,7 +75,7 @@ def stem_column(filename: Column | str) -> Column:
 def numeric_prefix(filename: Column | str) -> tuple[Column, Column]:
     """(number as digits without leading zeros, rest) of a stem like 12_name; empty where it has none."""
     s = stem_column(filename)
-    number = F.regexp_extract(s, _PREFIX, 1)
+    number = ascii_digits(F.regexp_extract(s, _PREFIX, 1))
     return F.regexp_replace(number, "^0+(?=[0-9])", ""), F.regexp_extract(s, _PREFIX, 2)
 
 

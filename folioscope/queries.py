@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from folioscope.decode import tables as decoded
 from folioscope.functions import naming, payloads
 from folioscope.functions.pages import in_pages
-from folioscope.operators import content, merge, page_ops, search
-from folioscope.plans import page_plan
-from folioscope.sources import files
+from folioscope.operators import content, index, keyword_table, layout, merge, page_ops, search
+from folioscope.plans import deadline, page_plan
+from folioscope.sources import files, paged, registry, stored
 from folioscope.sources import tables as src
+from folioscope.streaming import register
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYWORDS = ["the", "de", "la", "zebra"]
@@ -178,6 +179,11 @@ def matches_padded_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ops.matches_with_padding(_lines(spark, sf_dir), ["que", "von"], padding=0)
 
 
+@_query(_MATCHED % (10_000, 10_000))
+def matches_padded_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_ops.matches_with_padding(_lines(spark, sf_dir), ["que", "von"], padding=10_000)
+
+
 @_query(f"""WITH p AS ({LINES}), m AS (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS run FROM p WHERE {_sql_count('the')} > 0),
     r AS (SELECT doc_id, min(page) AS a, max(page) AS b FROM m GROUP BY doc_id, run)
     SELECT doc_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS spec FROM r GROUP BY doc_id""")
@@ -352,6 +358,177 @@ def binary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "page", "link_ord", "uri", F.get("rect", F.lit(2)).alias("x1"))
 
 
+_POSTED = """SELECT term, doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM (%s)) %s GROUP BY term, doc_id"""
+LOOKED_UP = ["the", "orre", "que", "Éque", "zebra", "tion"]
+
+
+def _indexed(spark: SparkSession, pages: DataFrame) -> index.Index:
+    path = stored.fresh(spark, "index")
+    index.build(pages, path)
+    return index.Index(spark, path)
+
+
+@_query(_POSTED % (TURNS, ""))
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings of a stored index, decoded from its blocks."""
+    return _indexed(spark, _turns(spark, sf_dir)).postings()
+
+
+@_query(_POSTED % (LINES, f"WHERE term IN ({', '.join(repr(t.lower()) for t in LOOKED_UP)})"))
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, _lines(spark, sf_dir)).lookup(LOOKED_UP)
+
+
+@_query(f"""SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM
+    (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM ({LINES})) GROUP BY term""")
+def index_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, _lines(spark, sf_dir)).lexicon.select("term", "df", "cf")
+
+
+#: Queries of several terms, common and rare ones.
+TOP_QUERIES = ["avec from", "the of and", "de la que", "orre thatin", "und der mente", "éque éai les", "heit keit von", "that with this from", "zebra tion", "ado para los mente"]
+
+_TOP = """WITH p AS ({pages}), t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM p) GROUP BY doc_id, term),
+    l AS (SELECT doc_id, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))) AS length FROM p GROUP BY doc_id), w AS (SELECT count(*) AS docs, avg(length) AS mean FROM l),
+    q AS ({queries}), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+    s AS (SELECT query, doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))), 9) AS score
+        FROM q JOIN t USING (term) JOIN f USING (term) JOIN l USING (doc_id), w GROUP BY query, doc_id),
+    r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s)
+    SELECT query, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= {k}"""
+
+
+@_query(_TOP.format(pages=LINES, k=10, queries=" UNION ALL ".join(f"SELECT {i} AS query, unnest(string_split('{q}', ' ')) AS term" for i, q in enumerate(TOP_QUERIES))))
+def index_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of ten queries, by blocks whose bounds reach them."""
+    wanted = spark.createDataFrame([(i, t) for i, q in enumerate(TOP_QUERIES) for t in q.split()], "query int, term string")
+    return _indexed(spark, _lines(spark, sf_dir)).top(wanted, 10).withColumn("score", F.round("score", 6))
+
+
+@_query(_TOP.format(pages=TURNS, k=3, queries="SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark"))
+def index_top_for_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three conversations nearest to each benchmark text, all of its words being the query."""
+    wanted = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(index.terms_of("text")).alias("term"))
+    return _indexed(spark, _turns(spark, sf_dir)).top(wanted, 3).withColumn("score", F.round("score", 6))
+
+
+def _keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and runs of two and three words of the benchmark, and the names of parts, suppliers and customers."""
+    words = index.terms_of("text")
+    runs = F.array(*[F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> slice(w, i, {k}))") for k in (1, 2, 3)])
+    grams = _read(spark, sf_dir, "benchmark").select(words.alias("w")).where("size(w) >= 3").select(F.explode(F.flatten(runs)).alias("g"))
+    grams = grams.where("size(g) = 1 or g[0] <> element_at(g, -1)").select(F.array_join("g", " ").alias("keyword"))
+    named = [_read(spark, sf_dir, t).select(F.col(c).alias("keyword")) for t, c in (("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name"))]
+    for n in named:
+        grams = grams.unionByName(n)
+    return grams.select(F.length("keyword").alias("ord"), "keyword")
+
+
+_GRAMS = """SELECT unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k} - 1], ' '))) AS keyword, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: {k} > 1 AND w[i] = w[i + {k} - 1])) AS same
+    FROM (SELECT regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark) WHERE len(w) >= 3"""
+_KEYWORDS = "SELECT DISTINCT keyword FROM (" + " UNION ALL ".join(_GRAMS.format(k=k) for k in (1, 2, 3)) + ") WHERE NOT same UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer"
+_KEYWORD_HITS = f"""WITH k AS ({_KEYWORDS}), x AS (SELECT doc_id, page, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS x FROM ({LINES})),
+    i AS (SELECT doc_id, page, x, unnest(range(1, len(x) + 1)) AS i FROM x),
+    g AS (SELECT doc_id, page, array_to_string(x[i : i + size - 1], '') AS said FROM i, (VALUES (1), (3), (5)) v(size) WHERE i + size - 1 <= len(x) AND regexp_matches(x[i], '^[\\p{{L}}\\p{{N}}_]'))
+    SELECT doc_id, page, keyword, CAST(count(*) AS BIGINT) AS n FROM g JOIN k ON lower(keyword) = said GROUP BY doc_id, page, keyword"""
+
+
+@_query(_KEYWORD_HITS)
+def keyword_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_table.hits(_lines(spark, sf_dir), _keyword_table(spark, sf_dir)).drop("ord")
+
+
+@_query(f"""WITH h AS ({_KEYWORD_HITS}) SELECT keyword, CAST(count(n) AS BIGINT) AS pages, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM ({_KEYWORDS}) LEFT JOIN h USING (keyword) GROUP BY keyword""")
+def keyword_table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of keywords with the pages and matches of each, none of them left out."""
+    keywords = _keyword_table(spark, sf_dir)
+    return keyword_table.totals(keyword_table.hits(_lines(spark, sf_dir), keywords), keywords).drop("ord")
+
+
+@_query(f"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS keyword FROM benchmark), p AS ({TURNS})
+    SELECT doc_id, page, keyword, CAST((length(text) - length(replace(text, keyword, ''))) // length(keyword) AS BIGINT) AS n FROM p, k WHERE contains(text, keyword)""")
+def keyword_table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words within the words of conversations, in their own case."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(index.WORD + "+"), F.lit(0)))
+    keywords = _read(spark, sf_dir, "benchmark").select(F.lit(0).alias("ord"), words.alias("keyword"))
+    return keyword_table.hits(_turns(spark, sf_dir), keywords, case_sensitive=True, whole_words=False).drop("ord")
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> str:
+    path = stored.fresh(spark, "paged")
+    paged.write(_turns(spark, sf_dir), path)
+    return path
+
+
+@_query(TURNS)
+def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written to the paged text format and read back."""
+    return paged.read(spark, _paged(spark, sf_dir))
+
+
+@_query(f"SELECT * FROM ({TURNS}) WHERE (page BETWEEN 2 AND 4 OR page >= 7) AND page <= 9")
+def paged_source_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page specification and a filter, both decided by the source."""
+    return paged.read(spark, _paged(spark, sf_dir), "2-4,7-999999").where("page <= 9")
+
+
+@_query(f"""SELECT doc_id, CAST(min(page) AS INTEGER) AS first_page, CAST(count(*) FILTER (ord = 0) AS BIGINT) AS pages, CAST(sum(n) AS BIGINT) AS total FROM {_sql_counts(TURNS)} GROUP BY doc_id""")
+def stream_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages arrive in three drops, each taken in by a stream that starts anew from its checkpoint."""
+    folder = stored.fresh(spark, "stream")
+    for drop in range(3):
+        _turns(spark, sf_dir).where(F.col("page") % 3 == drop).write.mode("append").parquet(f"{folder}/arriving")
+        register.take_in(spark, f"{folder}/arriving", "doc_id string, page int, text string", folder, KEYWORDS)
+    return register.current(spark, folder)
+
+
+@_query("""WITH b AS (SELECT p_partkey % 2 AS batch, p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) || (p_partkey // 4) ELSE p_name || (p_partkey // 3) END AS path FROM part),
+    f AS (SELECT lower(path) AS k, min(batch) AS batch FROM b GROUP BY 1), g AS (SELECT k, f.batch, min(pos) AS pos, arg_min(path, pos) AS path FROM f JOIN b ON k = lower(path) AND b.batch = f.batch GROUP BY ALL)
+    SELECT 'doc-' || row_number() OVER (ORDER BY batch, pos) AS doc_id, path FROM g""")
+def registry_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of paths with overlaps, committed one after the other: known paths keep their first ids."""
+    key = F.col("p_partkey")
+    path = F.when(key % 2 == 0, F.concat(F.upper("p_name"), F.floor(key / 4))).otherwise(F.concat("p_name", F.floor(key / 3)))
+    paths = _read(spark, sf_dir, "part").select(key.alias("pos"), path.alias("path"))
+    known = registry.Registry(spark, stored.fresh(spark, "registry"))
+    for batch in range(2):
+        known.register(paths.where(F.col("pos") % 2 == batch))
+    return known.documents().select("doc_id", "path")
+
+
+_POSITIONS = f"""WITH l AS ({LINES}), t AS (SELECT doc_id, page, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS t FROM l),
+    u AS (SELECT doc_id, page, unnest(range(0, len(t))) AS nth, unnest(t) AS word FROM t),
+    w AS (SELECT *, CAST(list_sum(list_transform(string_split(word, ''), lambda c: 400 + ord(c) % 400)) AS BIGINT) AS wide FROM u),
+    x AS (SELECT *, coalesce(sum(wide) OVER (PARTITION BY doc_id, page ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM w),
+    y AS (SELECT doc_id, page, coalesce(sum(CASE WHEN trim(text) = '' THEN 1800 ELSE 1200 END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM l)
+    SELECT doc_id, page, CAST(nth AS INTEGER) AS nth, word, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, wide FROM x JOIN y USING (doc_id, page) WHERE regexp_matches(word, '^[\\p{{L}}\\p{{N}}_]')"""
+
+
+@_query(_POSITIONS)
+def word_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pen's place at each word of each text, by running sums over its lines and over the parts of each line."""
+    return layout.word_positions(_lines(spark, sf_dir))
+
+
+@_query(f"""WITH w AS ({_POSITIONS}), b AS (SELECT s_suppkey AS box, s_suppkey * 7919 % 90000 AS x0, s_suppkey * 104729 % 60000 AS y0, s_suppkey * 7919 % 90000 + 500 * (s_suppkey % 40) AS x1, s_suppkey * 104729 % 60000 + 1200 * (s_suppkey % 5) AS y1 FROM supplier)
+    SELECT box, doc_id, page, nth, word, w.x, w.y FROM b JOIN w ON w.x BETWEEN x0 AND x1 AND w.y BETWEEN y0 AND y1""")
+def words_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that begin within a box drawn from each supplier's number, over all texts."""
+    path = stored.fresh(spark, "layout")
+    layout.store(layout.word_positions(_lines(spark, sf_dir)), path)
+    k = F.col("s_suppkey")
+    boxes = _read(spark, sf_dir, "supplier").select(k.alias("box"), (k * 7919 % 90000).alias("x0"), (k * 104729 % 60000).alias("y0"))
+    boxes = boxes.withColumns({"x1": F.col("x0") + 500 * (F.col("box") % 40), "y1": F.col("y0") + 1200 * (F.col("box") % 5)})
+    return layout.words_in_boxes(spark, path, boxes)
+
+
+@_query(f"SELECT doc_id, page, ord, keyword, n FROM {_sql_counts(LINES)} WHERE n > 0")
+def search_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search part by part; without a deadline every part is answered."""
+    path = stored.fresh(spark, "parts")
+    deadline.store(_lines(spark, sf_dir), path, 6)
+    return deadline.answer(spark, path, lambda pages: search.hits(pages, KEYWORDS), stored.fresh(spark, "answer")).rows
+
+
 _queries.update(decoded.QUERIES)
 _sql.update(decoded.ORACLES)
 

@@ -12,6 +12,7 @@ from folioscope.errors import PageRangeError, ValidationError
 from folioscope.functions import keywords as kw
 from folioscope.functions import naming, payloads
 from folioscope.functions import pages as pg
+from folioscope.operators import merge
 
 EVERY = list(range(1, 6))
 
@@ -107,3 +108,12 @@ def test_payloads(spark):
     assert rows[0][3] == 0xCBF43926 and rows[2][2] is None and int(rows[0][4]) == 0x8CB841DB40E6AE83
     text = spark.createDataFrame([("é".encode(),), (b"\xff",)], "d binary").select(payloads.strict_utf8("d")).collect()
     assert [r[0] for r in text] == ["é", None]
+
+
+def test_digits_of_other_scripts_are_numbers_in_both_forms(spark):
+    names = ["١٢_b", "٣_a", "5_c", "５_d", "x२", "x10", "x1", "२०२_z.pdf", "²_no", "x²"]
+    df = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "doc_id string, filename string")
+    ranks = {r["filename"]: r["src_ord"] for r in merge.natural_inputs(df).collect()}
+    assert sorted(names, key=ranks.get) == sorted(names, key=lambda n: (naming.natural_key(n), n))
+    got = {r["filename"]: r["src_ord"] for r in merge.numbered_inputs(df).collect()}
+    assert sorted(got, key=got.get) == ["٣_a", "5_c", "５_d", "١٢_b", "२०२_z.pdf"]
