@@ -114,3 +114,19 @@ def test_run_and_empty_tables(spark, tables, tmp_path):
     empty = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, path).count() == 0, name
+
+
+def test_columns_of_any_name_pass_through(spark, tables):
+    """Names that operators use for their own columns, and names with dots, come out of every stage as they went in."""
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = ["score", "lang_pred", "n_lines", "n_words", "items", "contaminated", "__row", "__tkey", "__drop", "__tokens", "row", "a.b", "a", "component_id", "Row x"]
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i} "), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        pick = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+        before, after = Counter(docs.select(*pick).collect()), Counter(out.select(*pick).collect())
+        assert after and not after - before, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
