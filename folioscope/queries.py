@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.decode import tables as decoded
 from folioscope.functions import naming, payloads
 from folioscope.functions.pages import in_pages
-from folioscope.operators import content, index, keyword_table, layout, merge, page_ops, search
+from folioscope.operators import concatenate, content, index, keyword_table, layout, merge, page_ops, search
 from folioscope.plans import deadline, page_plan
 from folioscope.sources import files, paged, registry, stored
 from folioscope.sources import tables as src
@@ -521,6 +521,20 @@ def words_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.words_in_boxes(spark, path, boxes)
 
 
+@_query(f"""WITH p AS ({TURNS}), d AS (SELECT doc_id, CAST(doc_id AS BIGINT) % 10 AS output, row_number() OVER (PARTITION BY CAST(doc_id AS BIGINT) % 10 ORDER BY CAST(doc_id AS BIGINT) DESC) AS src_ord FROM p GROUP BY doc_id),
+    j AS (SELECT output, string_agg(text, chr(10) ORDER BY src_ord, page) AS said FROM p JOIN d USING (doc_id) GROUP BY output)
+    SELECT CAST(output AS VARCHAR) AS output, CAST(strlen(said) AS BIGINT) AS bytes, md5(said) AS md5 FROM j""")
+def concatenated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten files of conversations, the latest first, written by many tasks and read again."""
+    turns = _turns(spark, sf_dir)
+    number = F.col("doc_id").cast("long")
+    docs = src.documents_of(turns).select("doc_id", (number % 10).alias("output"))
+    sources = docs.select("output", (F.lit(1_000_000_000) - number).alias("src_ord"), "doc_id")
+    path = stored.fresh(spark, "joined")
+    concatenate.write(turns, sources, path)
+    return concatenate.digests(spark, path)
+
+
 @_query(f"SELECT doc_id, page, ord, keyword, n FROM {_sql_counts(LINES)} WHERE n > 0")
 def search_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search part by part; without a deadline every part is answered."""

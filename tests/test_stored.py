@@ -1,5 +1,6 @@
 """Paged text source, registry of paths, stream of pages, wide windows."""
 
+import hashlib
 import os
 import random
 import threading
@@ -8,8 +9,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.errors import PageRangeError
-from folioscope.operators import layout, page_ops, search
+from folioscope.errors import OutputConflictError, PageRangeError, ValidationError
+from folioscope.operators import concatenate, layout, page_ops, search
 from folioscope.plans import deadline, scan
 from folioscope.sources import paged, registry
 from folioscope.streaming import register
@@ -185,3 +186,26 @@ def test_an_answer_names_what_it_covers(spark, tmp_path):
     assert none.rows.count() == len(seen.where(F.col("part").isin(none.covered or [-1])).collect())
     with pytest.raises(Exception, match="(?i)divi"):
         deadline.answer(spark, path, lambda p: search.hits(p.withColumn("page", F.expr("page div 0")), ["x"]), str(tmp_path / "c"))
+
+
+def test_files_are_joined_by_many_writers(spark, tmp_path):
+    random.seed(11)
+    texts = {f"d{i}": [random.choice(["", "ü", "line\ntwo", None, "x" * 300]) for _ in range(random.choice([0, 1, 3, 40]))] for i in range(30)}
+    pages = spark.createDataFrame([(d, i + 1, t) for d, ts in texts.items() for i, t in enumerate(ts)] + [("d1", None, "nowhere")], "doc_id string, page int, text string").repartition(4)
+    order = {"all/of it": [*texts, "d1", "d1"], "one": ["d3"], "none": ["missing"], "twice": ["d5", "d5"]}
+    sources = spark.createDataFrame([(o, i + 1, d) for o, ds in order.items() for i, d in enumerate(ds)] + [(None, 1, "d1"), ("one", None, "d2")], "output string, src_ord int, doc_id string")
+    for separator in ("\n", "", "-é-"):
+        path = str(tmp_path / f"out{separator}")
+        want = {o: separator.join(t or "" for d in ds for t in texts.get(d, [])) for o, ds in order.items() if any(texts.get(d) for d in ds)}
+        total = concatenate.write(pages, sources, path, separator)
+        got = {r["output"]: (r["bytes"], r["md5"]) for r in concatenate.digests(spark, path).collect()}
+        assert got == {o: (len(t.encode()), hashlib.md5(t.encode()).hexdigest()) for o, t in want.items() if t}
+        assert total == sum(len(t.encode()) for t in want.values())
+    with pytest.raises(OutputConflictError):
+        concatenate.write(pages, sources, path)
+    bad = str(tmp_path / "bad")
+    with pytest.raises(Exception, match="(?i)divi"):
+        concatenate.write(pages.withColumn("text", F.expr("string(page div (page - 3))")), sources, bad)
+    assert [n for n in os.listdir(tmp_path) if n.startswith("bad")] == []
+    with pytest.raises(ValidationError):
+        concatenate.write(pages, sources, "hdfs://somewhere/out")
