@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.decode import tables as decoded
 from folioscope.functions import naming, payloads
-from folioscope.functions.pages import in_pages
+from folioscope.functions.pages import in_pages, spec_pages
 from folioscope.operators import concatenate, content, index, keyword_table, layout, merge, page_ops, search
 from folioscope.plans import deadline, page_plan
 from folioscope.sources import files, paged, registry, stored
@@ -521,6 +521,16 @@ def words_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.words_in_boxes(spark, path, boxes)
 
 
+@_query("""WITH s AS (SELECT p_partkey AS key, p_size AS total, p_partkey % 7 + 1 AS a, p_partkey % 7 + 1 + p_partkey % 4 AS b, p_partkey % 30 AS c FROM part)
+    SELECT key, CASE WHEN c = 0 THEN array_to_string(range(1, total + 1), ',') WHEN b <= total AND c <= total THEN array_to_string(list_sort(list_distinct(list_append(range(a, b + 1), c))), ',') END AS pages FROM s""")
+def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A specification and a number of pages in each row, and the pages it chooses; null where it is refused."""
+    k = F.col("p_partkey")
+    spec = F.when(k % 30 == 0, F.lit(" All")).otherwise(F.concat((k % 7 + 1), F.lit(" - "), (k % 7 + 1 + k % 4), F.lit(", "), (k % 30)))
+    rows = _read(spark, sf_dir, "part").select(k.alias("key"), F.col("p_size").alias("total"), spec.alias("spec"))
+    return rows.select("key", F.array_join(spec_pages("spec", "total").cast("array<string>"), ",").alias("pages"))
+
+
 @_query(f"""WITH p AS ({TURNS}), d AS (SELECT doc_id, CAST(doc_id AS BIGINT) % 10 AS output, row_number() OVER (PARTITION BY CAST(doc_id AS BIGINT) % 10 ORDER BY CAST(doc_id AS BIGINT) DESC) AS src_ord FROM p GROUP BY doc_id),
     j AS (SELECT output, string_agg(text, chr(10) ORDER BY src_ord, page) AS said FROM p JOIN d USING (doc_id) GROUP BY output)
     SELECT CAST(output AS VARCHAR) AS output, CAST(strlen(said) AS BIGINT) AS bytes, md5(said) AS md5 FROM j""")

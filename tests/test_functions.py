@@ -117,3 +117,17 @@ def test_digits_of_other_scripts_are_numbers_in_both_forms(spark):
     assert sorted(names, key=ranks.get) == sorted(names, key=lambda n: (naming.natural_key(n), n))
     got = {r["filename"]: r["src_ord"] for r in merge.numbered_inputs(df).collect()}
     assert sorted(got, key=got.get) == ["٣_a", "5_c", "５_d", "١٢_b", "२०२_z.pdf"]
+
+
+def test_page_specifications_as_columns_are_those_of_the_parser(spark):
+    specs = [None, "", "  ", "0", "ALL", " all ", "*", "none", "NONE", "3", "5,1, 2 - 3", "2-2,2", "6", "1-6", "3-1", "1,,2", "1,", ",1", "x", "1-", "-1", "1.5", "1-999999999", "1-99999999999999999999999", "²", "٣", "1-2-3", "0,1", "00002", "1 2", "\u20031\u2003", "1 -\t4"]
+    totals = [5, 1, 0, -1, None]
+    rows = [(i, s, t) for i, (s, t) in enumerate((s, t) for s in specs for t in totals)]
+    df = spark.createDataFrame(rows, "i int, spec string, total int")
+    got = {r["i"]: r["p"] for r in df.select("i", pg.spec_pages("spec", "total").alias("p")).collect()}
+    for i, s, t in rows:
+        try:
+            want = pg.parse_pages(s, t)
+        except PageRangeError:
+            want = None
+        assert got[i] == want, (s, t)
