@@ -3,8 +3,9 @@
 ``build`` writes three tables: ``blocks``, the postings of a term in blocks of at most 128 documents, partitioned by a
 bucket of the term's hash and sorted by term; ``lexicon``, one row a term; ``units``, the documents (or pages) with their
 numbers and lengths. A block holds its documents as distances from its first one, in Parquet's delta encoding, with how
-often the term occurs there and how long they are, the lanes (2**7 consecutive documents) they lie in, and the largest
-share of a BM25 score that any of them can have, so a search can tell from the small columns which blocks it need not read.
+often the term occurs there and how long they are, the lanes (2**4 consecutive documents) they lie in, and the largest
+share of a BM25 score that any of a lane can have, so a search can tell from the small columns which documents it need not
+score, and which blocks it need not read.
 
 Postings are gathered by term and segment (2**14 consecutive documents of a task), so a term that every document holds is
 many groups of bounded size.
@@ -18,18 +19,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.keywords import WORD
-from folioscope.sources.stored import kept
+from folioscope.sources.stored import drop, kept
 
 BLOCK = 128
 #: Documents of a segment and of a lane, the range that bounds are summed for, as powers of two.
-SEGMENT_BITS, LANE_BITS = 14, 7
+SEGMENT_BITS, LANE_BITS = 14, 4
 #: Terms in a bucket, about.
 BUCKET_TERMS = 20_000
-#: Lanes of the highest bounds that give a query its first threshold.
-SEEDS = 4
+#: Lanes of the highest bounds that give a query its first threshold, at least.
+SEEDS = 32
+#: A lane's largest share is kept as so many steps up to the most a share can be.
+STEPS = 255
 #: Query terms and numbers of documents that are broadcast; beyond, they are shuffled.
 BROADCAST_ROWS = 100_000
 K1, B = 1.2, 0.75
+LEXICON = "term string, df long, cf long, blocks long, bucket int"
+BLOCKS = "term string, segment long, block int, first long, n int, lanes array<long>, tops array<int>, docs array<int>, tfs array<int>, lengths array<int>, bucket int"
 #: What sums of a score's shares may differ by, whatever the order of summing.
 SLACK = 1e-9
 
@@ -78,6 +83,7 @@ def build(pages: DataFrame, path: str, units: Sequence[str] = ("doc_id",), bucke
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda i: F.slice("p", i * BLOCK + 1, BLOCK))
     blocks = lists.select("term", "segment", F.posexplode(cut).alias("block", "p"))
     first = F.get("p.nr", F.lit(0))
+    lanes = F.array_distinct(F.transform("p.nr", lambda x: F.shiftright(x, LANE_BITS)))
     blocks = kept(
         blocks.select(
             "term",
@@ -85,15 +91,15 @@ def build(pages: DataFrame, path: str, units: Sequence[str] = ("doc_id",), bucke
             "block",
             first.alias("first"),
             F.size("p").alias("n"),
-            F.array_distinct(F.transform("p.nr", lambda x: F.shiftright(x, LANE_BITS))).alias("lanes"),
-            F.array_max("p.share").alias("top"),
+            lanes.alias("lanes"),
+            F.transform(lanes, lambda lane: F.ceil(F.array_max(F.filter("p", lambda x: F.shiftright(x["nr"], LANE_BITS) == lane)["share"]) * (STEPS / (k1 + 1))).cast("int")).alias("tops"),
             F.transform("p.nr", lambda x: (x - first).cast("int")).alias("docs"),
             F.col("p.tf").alias("tfs"),
             F.col("p.length").alias("lengths"),
         ),
         "blocks",
     )
-    lexicon = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), F.count("*").alias("blocks"), F.max("top").alias("top"))
+    lexicon = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), F.count("*").alias("blocks"))
     if buckets is None:
         buckets = max(4, -(-blocks.select("term").distinct().count() // BUCKET_TERMS))
     for df, name, order in ((lexicon, "lexicon", ["bucket", "term"]), (blocks, "blocks", ["bucket", "term", "segment", "block"])):
@@ -101,6 +107,7 @@ def build(pages: DataFrame, path: str, units: Sequence[str] = ("doc_id",), bucke
         placed = df.withColumn("bucket", term_bucket("term", buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
         written = placed.write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "v2")
         written.option("parquet.enable.dictionary#docs.list.element", "false").parquet(f"{path}/{name}")
+    drop(blocks)
     spark.createDataFrame([(docs, float(mean), buckets, k1, b, units)], "docs long, mean double, buckets int, k1 double, b double, units array<string>").coalesce(1).write.parquet(f"{path}/about")
 
 
@@ -111,8 +118,8 @@ class Index:
         self.spark, self.path = spark, path
         self.about = spark.read.parquet(f"{path}/about").first()
         self.units = spark.read.parquet(f"{path}/units")
-        self.lexicon = spark.read.parquet(f"{path}/lexicon")
-        self.blocks = spark.read.parquet(f"{path}/blocks")
+        self.lexicon = spark.read.schema(LEXICON).parquet(f"{path}/lexicon")
+        self.blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
 
     def of_terms(self, table: DataFrame, terms: Sequence[str]) -> DataFrame:
         """The rows of ``table`` (blocks or lexicon) for these terms: a filter on buckets and terms that reaches the scan."""
@@ -150,8 +157,8 @@ def decoded(blocks: DataFrame, *keep: str) -> DataFrame:
 class Search:
     """Block-max search of several queries at once.
 
-    From the blocks' small columns each query gets a bound for every lane: the sum over its terms of the largest share of
-    a block that reaches into the lane. The lanes of the highest bounds are scored in full,
+    From the blocks' small columns each query gets a bound for every lane: the sum over its terms of the largest share
+    that a document of the lane has. The lanes of the highest bounds are scored in full,
     and the k-th best score there is a threshold; lanes whose bound lies below it hold no result and their blocks are
     not read. The others are scored in full. Every step is a join or a grouping by (query, lane).
     """
@@ -165,8 +172,10 @@ class Search:
         weighed = self._bucketed(index.lexicon).select("bucket", "term", "df").join(_near(wanted, asked), ["bucket", "term"])
         self.weights = kept(weighed.select("query", "bucket", "term", index.idf(F.col("df")).alias("idf")), "weights")
         self.asked = asked
-        heads = self._bucketed(index.blocks).select("bucket", "term", "segment", "block", "lanes", "top").join(_near(self.weights, asked), ["bucket", "term"])
-        heads = heads.select("query", "bucket", "term", "segment", "block", F.explode("lanes").alias("lane"), (F.col("idf") * F.col("top")).alias("bound"))
+        heads = self._bucketed(index.blocks).select("bucket", "term", "segment", "block", "lanes", "tops").join(_near(self.weights, asked), ["bucket", "term"])
+        heads = heads.select("query", "bucket", "term", "segment", "block", "idf", F.inline(F.arrays_zip("lanes", "tops")).alias("lane", "steps"))
+        bound = F.col("idf") * F.col("steps") * ((index.about["k1"] + 1) / STEPS)
+        heads = heads.select("query", "bucket", "term", "segment", "block", "lane", bound.alias("bound"))
         self.heads = kept(heads, "heads")
         by_term = self.heads.groupBy("query", "lane", "term").agg(F.max("bound").alias("bound"))
         self.bounds = kept(by_term.groupBy("query", "lane").agg(F.sum("bound").alias("bound")), "bounds")
@@ -194,7 +203,7 @@ class Search:
     def lanes_left(self) -> DataFrame:
         """(query, lane) that the threshold of the seeds leaves, all lanes of a query with fewer than k scored documents."""
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "lane"))
-        seeds = self.bounds.select("query", "lane", place.alias("place")).where(F.col("place") <= SEEDS)
+        seeds = self.bounds.select("query", "lane", place.alias("place")).where(F.col("place") <= max(SEEDS, self.k // 4))
         threshold = self.best(self.scores(seeds))
         left = self.bounds.join(threshold, "query", "left")
         return left.where(F.col("bound") >= F.coalesce(F.col("least"), F.lit(0.0)) - SLACK).select("query", "lane")
@@ -209,8 +218,11 @@ class Search:
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), *units))
         return named.select("query", place.alias("rank"), *units, "score").where(F.col("rank") <= self.k)
 
-    def blocks_read(self) -> DataFrame:
-        """(query, blocks, read): blocks of a query's terms, and those that the second phase reads; after ``top``."""
-        each = self.heads.join(self.left.withColumn("read", F.lit(1)), ["query", "lane"], "left")
-        each = each.groupBy("query", "term", "segment", "block").agg(F.max("read").alias("read"))
-        return each.groupBy("query").agg(F.count("*").alias("blocks"), F.count("read").alias("read"))
+    def work_done(self) -> DataFrame:
+        """(query, blocks, read, lanes, scored): blocks and lanes that have a query's terms, and how many of them the second
+        phase reads and scores; after ``top``."""
+        each = self.heads.join(self.left.withColumn("left", F.lit(1)), ["query", "lane"], "left")
+        blocks = each.groupBy("query", "term", "segment", "block").agg(F.max("left").alias("left"))
+        blocks = blocks.groupBy("query").agg(F.count("*").alias("blocks"), F.count("left").alias("read"))
+        lanes = each.groupBy("query", "lane").agg(F.max("left").alias("left"))
+        return blocks.join(lanes.groupBy("query").agg(F.count("*").alias("lanes"), F.count("left").alias("scored")), "query")

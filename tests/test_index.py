@@ -78,8 +78,9 @@ def test_blocks_below_the_threshold_are_not_read(spark, corpus):
     _, ix = corpus
     search = index.Search(ix, spark.createDataFrame([(1, "w0"), (1, "w1"), (2, "rare"), (2, "w0")], "query int, term string"), 5)
     search.top()
-    share = {r["query"]: r["read"] / r["blocks"] for r in search.blocks_read().collect()}
-    assert set(share) == {1, 2} and share[2] < 0.3 and share[1] <= 1, share
+    done = {r["query"]: r for r in search.work_done().collect()}
+    assert set(done) == {1, 2} and all(0 < r["scored"] <= r["lanes"] and 0 < r["read"] <= r["blocks"] for r in done.values())
+    assert done[1]["scored"] < 0.7 * done[1]["lanes"] and done[2]["scored"] < 0.1 * done[2]["lanes"] and done[2]["read"] < 0.3 * done[2]["blocks"], done
 
 
 def test_pages_as_units_and_nothing_at_all(spark, tmp_path):
