@@ -32,11 +32,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _as_ranks(said: dict) -> bool:
+    """Whether a tokenizer file says nothing but byte-level pairs merged in the order of the vocabulary."""
+    model, split = said["model"], said.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and said.get("normalizer") is None
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if not plain or model.get("type", "BPE") != "BPE" or any(model.get(x) for x in odd):
+        return False
+    made = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
+    return all(model["vocab"].get(token) == 256 + i for i, token in enumerate(made))
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer file, without special tokens being added.
 
-    The file's vocabulary is also its merge ranks, so texts of plain characters are encoded by the faster of the two
-    libraries; other texts, and those that hold a special token's own string, by the library the file belongs to.
+    Where the file splits as the named one does and its vocabulary is also its merge ranks, texts of plain characters are
+    encoded by the faster of the two libraries. Other texts, those that hold an added token's own string, and every text
+    with any other file are encoded by the library the file belongs to.
     """
 
     def __init__(self, path: str):
@@ -51,6 +63,9 @@ class Encoder:
             said = json.load(file)
         self.exact = Tokenizer.from_file(path)
         self.special = [x["content"] for x in said.get("added_tokens", [])]
+        self.fast = None
+        if not _as_ranks(said):
+            return
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -59,7 +74,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if text.encode().translate(None, PLAIN_BYTES) or any(x in text for x in self.special):
+        if self.fast is None or text.encode().translate(None, PLAIN_BYTES) or any(x in text for x in self.special):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -109,3 +109,30 @@ def test_query_equals_the_library(spark):
         want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(tuple(r) for r in llm.op13_bit_planes(spark, sf).collect()) == want
+
+
+def test_packing_encodes_as_its_file_says(tmp_path):
+    """The quick path is for files that it understands; any other file's own rules hold."""
+    import json
+
+    from folioscope.llm import packing
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        plain = json.load(file)
+    changes = {
+        "none": lambda x: None,
+        "space": lambda x: x["pre_tokenizer"].update(add_prefix_space=True),
+        "lower": lambda x: x.update(normalizer={"type": "Lowercase"}),
+        "split": lambda x: x.update(pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, x["pre_tokenizer"]]}),
+        "merges": lambda x: x["model"]["merges"].reverse(),
+    }
+    texts = ["plain words, and More 1234", " leading", "it's\n\n  two", "é 漢"]
+    for name, change in changes.items():
+        said = json.loads(json.dumps(plain))
+        change(said)
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(said, file)
+        coder = packing.Encoder(path)
+        assert (coder.fast is not None) == (name == "none")
+        assert [coder.ids(t) for t in texts] == [coder.exact.encode(t, add_special_tokens=False).ids for t in texts]
