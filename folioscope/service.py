@@ -66,10 +66,14 @@ def _said(result: dict[str, Any], status: int | None = None) -> Answer:
 
 
 class Service:
-    """Answers requests, whatever brings them."""
+    """Answers requests, whatever brings them. ``folder`` takes uploads, which executors have to reach: only a local master
+    may go without it."""
 
     def __init__(self, engine: Engine, folder: str | None = None, largest: int = LARGEST_UPLOAD):
         self.engine, self.largest = engine, largest
+        master = engine.spark.sparkContext.master
+        if folder is None and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise errors.ValidationError("name a folder for uploads that all executors can read")
         self.folder = os.path.realpath(folder or os.path.join(tempfile.gettempdir(), "folioscope-uploads"))
         os.makedirs(self.folder, exist_ok=True)
 

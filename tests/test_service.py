@@ -83,3 +83,13 @@ def test_over_a_socket(spark, tmp_path):
     finally:
         s.shutdown()
         s.server_close()
+
+
+def test_a_cluster_needs_a_folder_that_executors_reach():
+    from types import SimpleNamespace
+
+    from folioscope.errors import ValidationError
+
+    engine = SimpleNamespace(spark=SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077")))
+    with pytest.raises(ValidationError):
+        Service(engine)
