@@ -65,11 +65,16 @@ def chunks(docs: DataFrame, doc_id: str, text: str, size: int | None = None) ->
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<long>, texts binary")
 
 
-def texts_of(sizes: list[int], packed: bytes) -> Iterator[str]:
-    """The texts of a chunk, in order (empty for null ones)."""
+def data_of(sizes: list[int], packed: bytes) -> bytes:
+    """The UTF-8 bytes of a chunk's texts, one after the other."""
     import pyarrow as pa
 
-    data, at = pa.decompress(packed, sum(sizes), "zstd", asbytes=True) if sum(sizes) else b"", 0
+    return pa.decompress(packed, sum(sizes), "zstd", asbytes=True) if sum(sizes) else b""
+
+
+def texts_of(sizes: list[int], packed: bytes) -> Iterator[str]:
+    """The texts of a chunk, in order (empty for null ones)."""
+    data, at = data_of(sizes, packed), 0
     for n in sizes:
         yield data[at : at + n].decode()
         at += n

@@ -18,9 +18,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import by_span, chunks, pack, texts_of, unpack
+from folioscope.llm.blocks import by_span, chunks, data_of, pack, unpack
 from folioscope.llm.shared import discard, small, table
-from folioscope.llm.shingles import mixed, runs_of_many
+from folioscope.llm.shingles import mixed, word_hashes
 
 #: The quantile kept of a language, and its least number of trusted documents.
 QUANTILE = 0.995
@@ -40,20 +40,16 @@ TRAIN_PARTS = 4
 PARTS = 2
 #: Text in a chunk, in bytes: a task holds its words and n-grams at once.
 CHUNK_BYTES = 2_000_000
-#: Bytes of a count.
-WIDTH = 5
 _START = np.uint64(0x5851F42D4C957F2D)
 #: A trigram's hash begins with these bits of its context's, so that both are in one shard; no more bits choose a shard.
 _BITS = 20
 _HIGH = np.uint64((2**_BITS - 1) << (64 - _BITS))
 
 
-def _hashes(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Words of each text; for each word of all texts: whether it is the first of its text, and hashes of (u v w), (u v),
-    (v w), v and w, with start marks before the first of a text."""
-    words = [t.encode().split() if t else [] for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    (w, _), = runs_of_many(words, (1,))
+def _hashes(sizes: list[int], packed: bytes) -> tuple[np.ndarray, ...]:
+    """Words of each text of a chunk; for each word of all texts: whether it is the first of its text, and hashes of
+    (u v w), (u v), (v w), v and w, with start marks before the first of a text."""
+    w, n = word_hashes(data_of(sizes, packed), sizes)
     first = np.zeros(len(w), bool)
     first[(np.cumsum(n) - n)[n > 0]] = True
     v = _before(w, first, _START)
@@ -119,8 +115,14 @@ def _keys(packed: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(packed, n, 8), dtype=np.uint64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes as the largest takes, which the first byte says."""
+    width = max(1, -(-int(counts.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + pack(counts.ravel(), width)
+
+
 def _counts(packed: bytes, n: int) -> np.ndarray:
-    return unpack(packed, 5 * n, WIDTH).astype(np.int64).reshape(5, n)
+    return unpack(packed[1:], 5 * n, packed[0]).astype(np.int64).reshape(5, n)
 
 
 def _histogram(counts: np.ndarray) -> list[int]:
@@ -133,7 +135,7 @@ _MODEL = "shard long, n long, keys binary, counts binary"
 
 def _slices(keys: np.ndarray, counts: np.ndarray, spans: int) -> Iterator[tuple]:
     for k, a, b in by_span(keys, 64, spans):
-        yield k, b - a, _deltas(keys[a:b]), pack(counts[:, a:b].ravel(), WIDTH)
+        yield k, b - a, _deltas(keys[a:b]), _packed(counts[:, a:b])
 
 
 @dataclass
@@ -168,24 +170,27 @@ def _seen(dealt: DataFrame, spans: int, part: int, parts: int) -> DataFrame:
 
         def rows(kind: int, keys: np.ndarray, *more: tuple[np.ndarray, int]) -> Iterator[tuple]:
             for k, x, y in by_span(keys, 64, spans):
-                if k % parts == part:
-                    packed = [pack(values[x:y], width) for values, width in more]
-                    yield k, kind, y - x, _deltas(keys[x:y]), packed[0], packed[-1]
+                packed = [pack(values[x:y], width) for values, width in more]
+                yield k, kind, y - x, _deltas(keys[x:y]), packed[0], packed[-1]
+
+        def ordered(of: np.ndarray, by: np.ndarray) -> np.ndarray:
+            """The places whose ``by`` is in a shard of this part, in the order of ``of``."""
+            mine = np.flatnonzero((by >> np.uint64(64 - spans)) % np.uint64(parts) == part)
+            return mine[np.argsort(of[mine])]
 
         for batch in batches:
             for sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, uvw, uv, vw, v, w = _hashes(list(texts_of(sizes, packed.as_py())))
-                order = np.argsort(uvw)
+                _, _, uvw, uv, vw, v, w = _hashes(sizes, packed.as_py())
+                order = ordered(uvw, uvw)
                 starts = _starts(uvw[order])
-                three, at, count = uvw[order][starts], order[starts], np.diff(starts, append=len(uvw))
-                by_end = np.argsort(vw[at])
-                ends, of = vw[at][by_end], at[by_end]
+                at, count = order[starts], np.diff(starts, append=len(order))
+                out = [*rows(0, uvw[at], (uv[at] & ~_HIGH, 6), (count, 4))]
+                order = ordered(uvw, vw)
+                of = order[_starts(uvw[order])]
+                of = of[np.argsort(vw[of])]
+                ends = vw[of]
                 two = _starts(ends)
-                out = [
-                    *rows(0, three, (uv[at] & ~_HIGH, 6), (count, 4)),
-                    *rows(1, ends, (three[by_end], 8)),
-                    *rows(2, ends[two], (v[of[two]], 8), (w[of[two]], 8)),
-                ]
+                out += [*rows(1, ends, (uvw[of], 8)), *rows(2, ends[two], (v[of[two]], 8), (w[of[two]], 8))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)], ["shard", "kind", "n", "a", "b", "c"])
 
     return dealt.select("sizes", "texts").mapInArrow(run, "shard long, kind long, n long, a binary, b binary, c binary")
@@ -219,7 +224,7 @@ def _counted(seen: DataFrame, spans: int, word_spans: int) -> DataFrame:
         keys, counts = _merged(_own(three, count), _own(two, before), _below(context, count))
         words, added = _merged(_own(w, np.ones(len(w), np.int64)), _below(v, before))
         stats = _histogram(count) + _histogram(before)
-        out = [(int(pdf["shard"].iloc[0]), len(keys), _deltas(keys), pack(counts.ravel(), WIDTH), False, stats)]
+        out = [(int(pdf["shard"].iloc[0]), len(keys), _deltas(keys), _packed(counts), False, stats)]
         out += [(*x, True, [0] * 12) for x in _slices(words, added, word_spans)]
         return pd.DataFrame(out, columns=["shard", "n", "keys", "counts", "words", "stats"])
 
@@ -280,7 +285,7 @@ def _asked(dealt: DataFrame, spans: int, part: int, parts: int) -> DataFrame:
 
         for batch in batches:
             for chunk, sizes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                _, _, uvw, _, vw, _, w = _hashes(list(texts_of(sizes, packed.as_py())))
+                _, _, uvw, _, vw, _, w = _hashes(sizes, packed.as_py())
                 h = np.concatenate([uvw, vw, w, [_NOTHING, _START]])  # the contexts are among these
                 value = _distinct(h[(h >> np.uint64(64 - spans)) % np.uint64(parts) == part])
                 slices = by_span(value, 64, spans)
@@ -311,7 +316,7 @@ def _answered(asked: DataFrame, known: DataFrame) -> DataFrame:
                 to = np.minimum(np.searchsorted(k, grams), len(k) - 1)
                 at = np.flatnonzero(k[to] == grams)
                 if len(at):
-                    out.append((shard, chunk, len(at), pack(np.diff(at, prepend=0), 4), pack(counts[:, to[at]].ravel(), WIDTH)))
+                    out.append((shard, chunk, len(at), pack(np.diff(at, prepend=0), 4), _packed(counts[:, to[at]])))
         return pd.DataFrame(out, columns=["shard", "chunk", "n", "places", "counts"])
 
     return asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(run, "shard long, chunk long, n long, places binary, counts binary")
@@ -373,7 +378,7 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", shard_rows: int
 
         for batch in batches:
             for ids, sizes, packed, answers in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                n, first, uvw, _, vw, _, w = _hashes(list(texts_of(sizes, packed.as_py())))
+                n, first, uvw, _, vw, _, w = _hashes(sizes, packed.as_py())
                 h = np.concatenate([uvw, vw, w, [_NOTHING, _START]])
                 order = np.argsort(h)
                 starts = _starts(h[order])

@@ -77,3 +77,31 @@ def runs_of_many(texts: list[list[bytes]], orders: tuple[int, ...]) -> list[tupl
         at = np.flatnonzero(text[:count] == text[len(words) - count :])
         out.append((mixed((sums[ends[at + k - 1]] - sums[starts[at]]) * inverse[starts[at]]), at))
     return out
+
+
+#: Bytes that part words.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def word_hashes(data: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that ``runs_of_many`` gives the words of texts, for texts of so many bytes that follow each other in
+    ``data``, and how many words each has; words end at ASCII white space and at a text's end."""
+    raw, size = np.frombuffer(data, np.uint8), np.array(sizes, np.int64)
+    if not len(raw):
+        return np.empty(0, np.uint64), np.zeros(len(size), np.int64)
+    ends = np.cumsum(size)
+    inside = ~_SPACE[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edge = ends[ends < len(raw)]
+    begins[edge] = inside[edge]
+    starts = np.flatnonzero(begins)
+    # a word goes to the next byte that is white space or another text's
+    lasts = inside.copy()
+    lasts[:-1] &= ~inside[1:]
+    lasts[edge[edge > 0] - 1] = inside[edge[edge > 0] - 1]
+    stops = np.flatnonzero(lasts) + 1
+    power, inverse = _grown(len(raw) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64)])
+    n = np.diff(np.searchsorted(starts, ends, "left"), prepend=0)
+    return mixed((sums[stops] - sums[starts]) * inverse[starts]), n

@@ -429,3 +429,14 @@ def test_quality_columns_and_empty_tables(spark):
     for labelled in (labels, labels.limit(0)):
         out = quality.classify(clash, labelled).collect()
         assert len(out) == len(rows) and sorted(r["n_words"] for r in out) == [0, 2, 4, 4, 20000] and len(quality.classify(df.limit(0), labelled).collect()) == 0
+
+
+def test_words_are_hashed_alike_by_text_and_by_chunk():
+    from folioscope.llm.shingles import runs_of_many, word_hashes
+
+    random.seed(3)
+    for _ in range(60):
+        texts = ["".join(random.choice(["a", "bé", " ", "\n", "\t", "\x0b", "\x0c", "\r", "漢", " ", "x1"]) for _ in range(random.randint(0, 12))).encode() for _ in range(random.randint(1, 8))]
+        (want, _), = runs_of_many([t.split() for t in texts], (1,))
+        hashes, n = word_hashes(b"".join(texts), [len(t) for t in texts])
+        assert hashes.tolist() == want.tolist() and n.tolist() == [len(t.split()) for t in texts]
