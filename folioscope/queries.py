@@ -333,7 +333,7 @@ def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
                 made.append(b"%PDF-1.4 nothing" if key % 10 == 0 else from_texts([name, f"{name} ({key})\nfrom {key % 7} from"], links))
             yield pd.DataFrame({"path": pdf["p_partkey"].astype(str), "content": made})
 
-    return _read(spark, sf_dir, "part").select("p_partkey", "p_name").mapInPandas(run, "path string, content binary")
+    return src.spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").mapInPandas(run, "path string, content binary")
 
 
 _BINARY = """SELECT CAST(p_partkey AS VARCHAR) AS path, page, CASE page WHEN 1 THEN p_name ELSE p_name || ' (' || p_partkey || ')' || chr(10) || 'from ' || (p_partkey % 7) || ' from' END AS text
@@ -527,7 +527,8 @@ def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A specification and a number of pages in each row, and the pages it chooses; null where it is refused."""
     k = F.col("p_partkey")
     spec = F.when(k % 30 == 0, F.lit(" All")).otherwise(F.concat((k % 7 + 1), F.lit(" - "), (k % 7 + 1 + k % 4), F.lit(", "), (k % 30)))
-    rows = _read(spark, sf_dir, "part").select(k.alias("key"), F.col("p_size").alias("total"), spec.alias("spec"))
+    part = src.spread(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    rows = part.select(k.alias("key"), F.col("p_size").alias("total"), spec.alias("spec"))
     return rows.select("key", F.array_join(spec_pages("spec", "total").cast("array<string>"), ",").alias("pages"))
 
 

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a small table that a task makes files, pages or lists of, about.
+TASK_ROWS = 5000
+
+
+def spread(rows: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows of a small table, dealt by ``key`` (hardly ever repeated) to tasks of about ``task_rows``: a scan makes few
+    tasks of few bytes, however much work each row is."""
+    return rows.repartition(max(1, -(-rows.count() // task_rows)), key)
+
+
 def line_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each line of a text is a page; a null text has one empty page."""
     lines = F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("no", "text")
