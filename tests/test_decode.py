@@ -129,3 +129,33 @@ def test_a_map_is_parsed_once():
     doc = document.Document(document.from_texts(["one", "two"]))
     assert doc.cmap(b"1 beginbfchar <41> <0061> endbfchar") is doc.cmap(b"1 beginbfchar <41> <0061> endbfchar")
     assert doc.cmap(b"").map == {}
+
+
+def test_the_short_way_reads_what_tokens_say():
+    random.seed(6)
+    parts = [b"/A", b"/B#20c", b"12", b"-3", b"+4", b"1.5", b"-.5", b"3 0 R", b"(a b)", b"(a\\)b)", b"((n))", b"<41>", b"<<", b">>", b"[", b"]", b"true", b"null", b"nullR", b"%c\n", b"{", b"1 2 3 R", b"/", b">", b"endobj"]
+    for i in range(4000):
+        data = b"".join(random.choice(parts) + random.choice([b" ", b"\n", b""]) for _ in range(random.choice([1, 3, 8])))
+        data = data if i % 3 else b"<<" + data + b">>"
+        assert repr(objects.parse(data)) == repr(objects._value(objects._Tokens(objects.tokens(data)))), data
+    plain = b"<</Type /Page /Kids [3 0 R 4 0 R] /Box [0 0 6.5 -1] /A <</S (x y)>> /B true>>"
+    assert objects._plain(plain, 0) == (objects.parse(plain), len(plain))
+
+
+def test_small_tables_are_dealt_to_tasks(spark, tmp_path):
+    """One file of few bytes is one task of a scan, whatever is made of its rows."""
+    from folioscope import queries
+
+    n = 12_000
+    spark.range(1, n + 1).selectExpr("id as p_partkey", "'a b' as p_name", "5 as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 3001).selectExpr("id as s_suppkey", "'S' as s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    for name, tasks in (("binary_pages", 3), ("binary_search", 3), ("binary_links", 3), ("page_specs", 3), ("lex_tokens", 3)):
+        assert queries.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() == tasks, name
+
+
+def test_inflated_files_of_large_numbers(spark, tmp_path):
+    from folioscope import queries
+
+    spark.createDataFrame([(k, "S") for k in (1501, 60_001, 60_002, 60_003, 60_005)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = {tuple(r) for r in queries.queries()["inflate_guard"](spark, str(tmp_path)).collect()}
+    assert found == {(1501, "ok", 3004), (60_001, "ok", 120_004), (60_002, "ok", 120_006), (60_003, "limit_exceeded", 0), (60_005, "bad_data", 0)}
