@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import threading
 import time
 
@@ -209,3 +210,23 @@ def test_files_are_joined_by_many_writers(spark, tmp_path):
     assert [n for n in os.listdir(tmp_path) if n.startswith("bad")] == []
     with pytest.raises(ValidationError):
         concatenate.write(pages, sources, "hdfs://somewhere/out")
+
+
+def test_words_are_placed_without_a_shuffle_of_words(spark, tmp_path):
+    texts = ["", "  ", "a", " b", "c d ", "é𝄞x 𐐷", "x" * 3000 + " y", "\t1_2 ٣"]
+    lines = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(texts)] + [("e", 1, "z z z")], "doc_id string, page int, text string").repartition(3)
+    wide = lambda t: sum(400 + ord(c) % 400 for c in t)
+    want = set()
+    for d, some in (("d", texts), ("e", ["z z z"])):
+        y = 0
+        for page, t in enumerate(some, 1):
+            runs = re.findall(r"\w+|\W+", t)
+            want |= {(d, page, i, w, wide("".join(runs[:i])), y, wide(w)) for i, w in enumerate(runs) if re.match(r"\w", w)}
+            y += 1200 if t.strip(" ") else 1800
+    words = layout.word_positions(lines)
+    assert {tuple(r) for r in words.collect()} == want
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" not in plan and plan.index("MapInArrow") < plan.index("Window")
+    layout.store(words, str(tmp_path / "w"))
+    found = layout.words_in_boxes(spark, str(tmp_path / "w"), spark.createDataFrame([(1, 0, 0, 10**8, 10**6)], "box int, x0 long, y0 long, x1 long, y1 long"))
+    assert found.count() == len(want) and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
