@@ -13,8 +13,9 @@ many groups of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,35 +71,14 @@ def build(pages: DataFrame, path: str, units: Sequence[str] = ("doc_id",), bucke
     whole = whole.first()
     docs, mean = whole["docs"], whole["mean"] or 1.0
 
-    counted = pages.select(*units, F.explode(terms_of("text")).alias("term")).groupBy(*units, "term").agg(F.count("*").cast("int").alias("tf"))
-    same = [counted[u].eqNullSafe(numbered[u]) for u in units]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    found = counted.join(numbered, on).select("term", "nr", "tf", "length")
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    segment = F.shiftright("nr", SEGMENT_BITS)
-    posting = F.struct("nr", "tf", "length", share.alias("share"))
-    lists = found.groupBy("term", segment.alias("segment")).agg(F.sort_array(F.collect_list(posting)).alias("p"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda i: F.slice("p", i * BLOCK + 1, BLOCK))
-    blocks = lists.select("term", "segment", F.posexplode(cut).alias("block", "p"))
-    first = F.get("p.nr", F.lit(0))
-    lanes = F.array_distinct(F.transform("p.nr", lambda x: F.shiftright(x, LANE_BITS)))
-    blocks = kept(
-        blocks.select(
-            "term",
-            "segment",
-            "block",
-            first.alias("first"),
-            F.size("p").alias("n"),
-            lanes.alias("lanes"),
-            F.transform(lanes, lambda lane: F.ceil(F.array_max(F.filter("p", lambda x: F.shiftright(x["nr"], LANE_BITS) == lane)["share"]) * (STEPS / (k1 + 1))).cast("int")).alias("tops"),
-            F.transform("p.nr", lambda x: (x - first).cast("int")).alias("docs"),
-            F.col("p.tf").alias("tfs"),
-            F.col("p.length").alias("lengths"),
-        ),
-        "blocks",
-    )
+    # texts meet their documents' numbers, so postings, of which there are many more, are shuffled once, by term
+    key = F.xxhash64(*units)
+    named = [u for u in numbered.columns if u in units]
+    dealt = numbered.select(key.alias("key"), F.struct(*named).alias("unit"), "nr", "length")
+    texts = pages.select(key.alias("key"), F.struct(*named).alias("said"), "text")
+    met = texts.join(dealt, "key").where(F.col("said").eqNullSafe(F.col("unit"))).select("key", "nr", "length", F.explode(terms_of("text")).alias("term"))
+    found = met.groupBy("key", "nr", "length", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "nr", "tf", "length")
+    blocks = kept(_blocks(found, mean, k1, b), "blocks")
     lexicon = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), F.count("*").alias("blocks"))
     if buckets is None:
         buckets = max(4, -(-blocks.select("term").distinct().count() // BUCKET_TERMS))
@@ -111,6 +91,79 @@ def build(pages: DataFrame, path: str, units: Sequence[str] = ("doc_id",), bucke
     spark.createDataFrame([(docs, float(mean), buckets, k1, b, units)], "docs long, mean double, buckets int, k1 double, b double, units array<string>").coalesce(1).write.parquet(f"{path}/about")
 
 
+def _blocks(found: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
+    """The blocks of postings (term, nr, tf, length): sorted by term and number, they are cut batch by batch, a block
+    being at most BLOCK neighbours of one term and segment."""
+    segment = F.shiftright("nr", SEGMENT_BITS)
+    placed = found.withColumn("segment", segment).repartition("term", "segment").sortWithinPartitions("term", "segment", "nr")
+
+    def cut(term, nr: np.ndarray, tf: np.ndarray, length: np.ndarray, fresh: np.ndarray) -> Iterator:
+        """Blocks of whole runs of (term, segment); ``fresh``: whether a posting begins a run."""
+        import pyarrow as pa
+
+        starts = np.flatnonzero(fresh)
+        place = np.arange(len(nr)) - starts[np.cumsum(fresh) - 1]
+        begin = np.flatnonzero(place % BLOCK == 0)
+        ends = np.append(begin, len(nr)).astype(np.int32)
+        of = np.repeat(np.arange(len(begin)), np.diff(ends))
+        share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+        lane = nr >> LANE_BITS
+        lanes = np.flatnonzero(np.concatenate([[True], (lane[1:] != lane[:-1]) | (of[1:] != of[:-1])]))
+        tops = np.ceil(np.maximum.reduceat(share, lanes) * (STEPS / (k1 + 1))).astype(np.int32)
+        of_lanes = np.searchsorted(lanes, ends).astype(np.int32)
+
+        def lists(at: np.ndarray, values: np.ndarray, kind) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+
+        yield pa.RecordBatch.from_arrays(
+            [
+                term.take(pa.array(begin)),
+                pa.array(nr[begin] >> SEGMENT_BITS),
+                pa.array(place[begin] // BLOCK, pa.int32()),
+                pa.array(nr[begin]),
+                pa.array(np.diff(ends), pa.int32()),
+                lists(of_lanes, lane[lanes], pa.int64()),
+                lists(of_lanes, tops, pa.int32()),
+                lists(ends, nr - nr[begin][of], pa.int32()),
+                lists(ends, tf, pa.int32()),
+                lists(ends, length, pa.int32()),
+            ],
+            ["term", "segment", "block", "first", "n", "lanes", "tops", "docs", "tfs", "lengths"],
+        )
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rest = None
+        for batch in batches:
+            # what a batch's last run lacks may come with the next one
+            rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            rest, ready = split(rows, pc)
+            if ready is not None:
+                yield from cut(*ready)
+        if rest is not None:
+            yield from cut(*columns(rest, pc))
+
+    def columns(rows, pc) -> tuple:
+        term = rows.column("term")
+        term = term.combine_chunks() if hasattr(term, "combine_chunks") else term
+        nr, tf, length = (rows.column(c).to_numpy() if hasattr(rows.column(c), "chunks") else rows.column(c).to_numpy(zero_copy_only=False) for c in ("nr", "tf", "length"))
+        other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+        fresh = np.concatenate([[True], other | (nr[1:] >> SEGMENT_BITS != nr[:-1] >> SEGMENT_BITS)])
+        return term, nr, tf.astype(np.int64), length.astype(np.int64), fresh
+
+    def split(rows, pc) -> tuple:
+        fresh = columns(rows, pc)[-1]
+        last = int(np.flatnonzero(fresh)[-1])
+        rest = rows.slice(last).combine_chunks().to_batches()[0]
+        return rest, columns(rows.slice(0, last), pc) if last else None
+
+    return placed.select("term", "nr", "tf", "length").mapInArrow(run, ", ".join(BLOCKS.split(", ")[:-1]))
+
+
 class Index:
     """An index that ``build`` has written."""
 

@@ -95,3 +95,26 @@ def test_pages_as_units_and_nothing_at_all(spark, tmp_path):
     assert none.postings().count() == 0 and none.lookup(["x"]).count() == 0
     assert none.top(spark.createDataFrame([("q", "y")], "query string, term string")).count() == 0
     assert ix.top(spark.createDataFrame([], "query string, term string")).count() == 0
+
+
+def test_blocks_are_cut_across_batches(spark):
+    """Runs of one term that end within, at and far beyond an Arrow batch, two segments, lanes and their bounds."""
+    sizes = {"a": 1, "b": 6, "c": 7, "d": 300, "e": 1, "é": 129}
+    rows = [(t, i * 3, 1 + i % 4, 5 + i % 9) for t, n in sizes.items() for i in range(n)] + [("d", (1 << index.SEGMENT_BITS) + 1, 2, 6)]
+    found = spark.createDataFrame(rows, "term string, nr long, tf int, length int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks = index._blocks(found, 8.0, 1.2, 0.75).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = defaultdict(list)
+    for t, nr, tf, length in sorted(rows):
+        want[t, nr >> index.SEGMENT_BITS].append((nr, tf, length))
+    want = {(t, s, i // index.BLOCK): p[i : i + index.BLOCK] for (t, s), p in want.items() for i in range(0, len(p), index.BLOCK)}
+    assert {(r["term"], r["segment"], r["block"]): [(r["first"] + d, tf, n) for d, tf, n in zip(r["docs"], r["tfs"], r["lengths"])] for r in blocks} == want
+    for r in blocks:
+        tops = defaultdict(int)
+        for nr, tf, length in want[r["term"], r["segment"], r["block"]]:
+            lane, share = nr >> index.LANE_BITS, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 8.0))
+            tops[lane] = max(tops[lane], math.ceil(share * (index.STEPS / 2.2)))
+        assert r["lanes"] == sorted(tops) and r["tops"] == [tops[x] for x in r["lanes"]] and r["n"] == len(r["docs"])
