@@ -1,8 +1,11 @@
 """Keywords as a table: any number of them, counted in one look at the pages.
 
-Keywords that are one whole word are joined with the pages' words. All others (phrases, parts of words, punctuation) are
-found by an automaton over all of them at once, in batches of pages. Both count as ``functions.keywords`` does, keyword
-by keyword, without an expression for each.
+Keywords that are all one whole word are joined with the pages' words. If there are phrases or punctuation among them, a
+page is walked through word by word as long as a filter of bounded size knows what was said so far as a keyword's
+beginning, and what it takes for a keyword is joined with the table. Parts of words are found by an automaton over all of
+them at once, or, where they are too many for it, by the same walk character by character. All count as
+``functions.keywords`` does, keyword by keyword, without an expression for each, and no page is read once more because
+there are more keywords.
 """
 
 from __future__ import annotations
@@ -11,13 +14,20 @@ import sys
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.keywords import WORD, strip
 
-#: Keywords that are broadcast (to be joined, or as one automaton); more are shuffled, or looked for in several passes.
+#: Keywords that are broadcast (to be joined, or as one automaton); more are shuffled.
 BROADCAST_KEYWORDS = 200_000
+#: Bits of the filter: 32 a keyword, within these bounds (32 MB at most); it is put together in slices.
+FILTER_BITS, SLICE_BITS = (16, 28), 16
+#: Characters that a walk takes at once; longer texts are cut into overlapping pieces.
+STRETCH = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_WHOLE, _MORE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def _folded(c: str) -> str:
@@ -67,19 +77,18 @@ def _by_words(pages: DataFrame, keywords: DataFrame, few: bool, case_sensitive:
     return counted.join(keys, "key").select("doc_id", "page", "ord", "keyword", "n")
 
 
-def _by_automaton(pages: DataFrame, keywords: list[tuple[int, str]], case_sensitive: bool, whole_words: bool) -> DataFrame:
+def _by_automaton(pages: DataFrame, keywords: list[tuple[int, str]], case_sensitive: bool) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import ahocorasick
         import pyarrow as pa
 
         table = _Fold()
         fold = (lambda t: t) if case_sensitive else (lambda t: t.lower() if t.isascii() else t.translate(table))
-        is_word = lambda c: c.isalnum() or c == "_"
         automaton, same = ahocorasick.Automaton(), {}
         for no, (_, k) in enumerate(keywords):
             same.setdefault(fold(k), []).append(no)
         for key, numbers in same.items():
-            automaton.add_word(key, (len(key), is_word(key[0]), is_word(key[-1]), numbers))
+            automaton.add_word(key, (len(key), numbers))
         automaton.make_automaton()
         ords, names = pa.array([o for o, _ in keywords], pa.int64()), pa.array([k for _, k in keywords], pa.string())
 
@@ -90,15 +99,10 @@ def _by_automaton(pages: DataFrame, keywords: list[tuple[int, str]], case_sensit
                     continue
                 seen = fold(text)
                 n, free = {}, {}
-                for last, (size, first_word, last_word, numbers) in automaton.iter(seen):
+                for last, (size, numbers) in automaton.iter(seen):
                     start, mark = last - size + 1, numbers[0]
                     if start < free.get(mark, 0):
                         continue
-                    if whole_words:  # a boundary has a word character on exactly one side
-                        before = start > 0 and is_word(text[start - 1])
-                        after = last + 1 < len(text) and is_word(text[last + 1])
-                        if before == first_word or after == last_word:
-                            continue
                     free[mark] = last + 1
                     for no in numbers:
                         n[no] = n.get(no, 0) + 1
@@ -112,25 +116,231 @@ def _by_automaton(pages: DataFrame, keywords: list[tuple[int, str]], case_sensit
     return pages.select("doc_id", "page", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, ord long, keyword string, n long")
 
 
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code: what case-insensitive matching takes a character for; whether it is a word's; whether it is taken for
+    some that are a word's and for some that are not."""
+    fold = np.fromiter((ord(_folded(c)) if c.lower() != c or c.upper() != c else ord(c) for c in map(chr, range(sys.maxunicode + 1))), np.uint32)
+    word = np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(sys.maxunicode + 1))), bool)
+    mixed = np.zeros(len(fold), bool)
+    mixed[fold[word != word[fold]]] = True
+    return fold, word, mixed
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hashes' base, and of its inverse, modulo 2^64."""
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _places(hashes: np.ndarray, salt: np.uint64, bits: int) -> np.ndarray:
+    return ((hashes ^ hashes >> np.uint64(32)) * salt >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class _Said:
+    """Texts end to end, cut into units: runs of a kind if ``whole_words``, else characters."""
+
+    def __init__(self, texts: list[str], case_sensitive: bool, whole_words: bool):
+        fold, word, mixed = _characters()
+        own = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        #: Each text's first place and the one after its last; no text is empty.
+        self.upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        self.begins = np.r_[0, self.upto[:-1]]
+        codes = own if case_sensitive else fold[own]
+        self.folded = codes.tobytes().decode("utf-32-le")
+        #: Whether a character is a word's: as it stands, and as it is matched.
+        self.own, self.kind = word[own], word[codes]
+        if whole_words:
+            cut = np.r_[True, self.kind[1:] != self.kind[:-1]]
+            cut[self.begins] = True
+            if not case_sensitive and (alone := mixed[codes]).any():
+                cut |= alone
+                cut[1:] |= alone[:-1]
+            self.starts = np.flatnonzero(cut)
+        else:
+            self.starts = np.arange(len(codes))
+        self.ends = np.r_[self.starts[1:], len(codes)]
+        #: The number of the first unit that is the next text's, and the text of each unit.
+        self.over = np.searchsorted(self.starts, self.upto)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.over, prepend=0))
+        up, self.down = _powers(1 << (len(codes) - 1).bit_length())
+        self.sums = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.down[start]
+
+    def bounded(self, at: np.ndarray, inside: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Whether what is said has a boundary: ``at`` is the place beyond it, ``inside`` the one within, ``edge`` says that
+        the text has no more there."""
+        return (self.own[np.where(edge, 0, at)] & ~edge) != self.kind[inside]
+
+
+def _known(keywords: DataFrame, n: int, case_sensitive: bool, whole_words: bool) -> tuple[np.ndarray, int]:
+    """A filter over ``n`` keywords and their beginnings, unit by unit, and the bits of a place in it."""
+    bits = min(max((32 * n - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+    def places(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for pieces, _ in _stretches(batch.column(0).to_pylist(), None):
+                said = _Said([text for *_, text in pieces], case_sensitive, whole_words)
+                hashes = said.hashes(said.begins[said.text], said.ends)
+                whole = said.ends == said.upto[said.text]
+                at = np.unique(np.r_[_places(hashes[whole], _WHOLE, bits), _places(hashes[~whole], _MORE, bits)])
+                yield pa.RecordBatch.from_arrays([pa.array(at >> SLICE_BITS), pa.array(at & (1 << SLICE_BITS) - 1)], ["slice", "at"])
+
+    def slices(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            of, at = (c.to_numpy() for c in batch.columns)
+            for no in np.unique(of).tolist():
+                here = at[of == no]
+                np.bitwise_or.at(made.setdefault(no, np.zeros(1 << SLICE_BITS - 3, np.uint8)), here >> 3, np.left_shift(1, here & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([m.tobytes() for m in made.values()], pa.binary())], ["slice", "bits"])
+
+    known = np.zeros(1 << bits - 3, np.uint8)
+    for no, part in keywords.select("keyword").mapInArrow(places, "slice long, at long").repartition("slice").mapInArrow(slices, "slice long, bits binary").collect():
+        known[no << SLICE_BITS - 3 : (no + 1) << SLICE_BITS - 3] = np.frombuffer(part, np.uint8)
+    return known, bits
+
+
+def _stretches(texts: list[str | None], longest: int | None) -> Iterator[tuple[list[tuple[int, int, int, str]], bool]]:
+    """Pieces (row, place of its first character, place of the first that is its own, text), some STRETCH characters at
+    once, and whether the last row is done with. A piece has STRETCH characters of its own and reaches ``longest`` and
+    one beyond them; without ``longest`` texts are not cut."""
+    pieces, size = [], 0
+    for row, text in enumerate(texts):
+        n = len(text or "")
+        for at in range(0, n, STRETCH if longest is not None else n or 1):
+            first = max(at - 1, 0)
+            pieces.append((row, first, at, text if longest is None else text[first : at + STRETCH + longest + 1]))
+            size += len(pieces[-1][-1])
+            if size >= STRETCH:
+                yield pieces, longest is None or at + STRETCH >= n
+                pieces, size = [], 0
+    if pieces:
+        yield pieces, True
+
+
+def _by_walk(pages: DataFrame, keywords: DataFrame, n: int, longest: int, case_sensitive: bool, whole_words: bool) -> DataFrame:
+    """(doc_id, page, key, n): whatever the filter over ``keywords`` takes for one of them, folded, with its matches."""
+    known, bits = _known(keywords, n, case_sensitive, whole_words)
+    shared = pages.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def knows(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
+            at = _places(hashes, salt, bits)
+            return (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+        def walk(pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+            """Row, start and end of what may be keywords, and the text of each."""
+            said = _Said([text for *_, text in pieces], case_sensitive, whole_words)
+            row, first, own = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
+            shift = (first - said.begins)[said.text]
+            place = said.starts + shift
+            good = (place >= own[said.text]) & (place < own[said.text] + STRETCH)
+            if whole_words:
+                good &= said.bounded(said.starts - 1, said.starts, said.starts == said.begins[said.text])
+            begun = last = np.flatnonzero(good)
+            starts, ends = [], []
+            while len(begun):
+                start, end = said.starts[begun], said.ends[last]
+                hashes, of = said.hashes(start, end), said.text[begun]
+                there = knows(hashes, _WHOLE)
+                if whole_words:
+                    there &= said.bounded(end, end - 1, end == said.upto[of])
+                starts.append(start[there])
+                ends.append(end[there])
+                on = (last + 1 < said.over[of]) & knows(hashes, _MORE)
+                begun, last = begun[on], last[on] + 1
+            start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+            of = np.searchsorted(said.begins, start, "right") - 1
+            keys = [said.folded[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            return row[of], start + (first - said.begins)[of], end + (first - said.begins)[of], keys
+
+        def counted(batch, found: list):  # noqa: ANN202
+            row, start, end = (np.concatenate([f[i] for f in found]) for i in range(3))
+            keys = pa.array([k for f in found for k in f[3]], pa.string()).dictionary_encode()
+            key = keys.indices.to_numpy()
+            order = np.lexsort((start, key, row))
+            row, start, end, key = row[order], start[order], end[order], key[order]
+            new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])][: len(row)]
+            counts = np.ones(len(row), np.int64)
+            if (~new[1:] & (start[1:] < end[:-1])).any():  # matches of a keyword do not overlap: the first goes
+                free = 0
+                for i, (another, a, b) in enumerate(zip(new.tolist(), start.tolist(), end.tolist(), strict=True)):
+                    if another or a >= free:
+                        free = b
+                    else:
+                        counts[i] = 0
+            at = np.flatnonzero(new)
+            rows = pa.array(row[at])
+            said = keys.dictionary.take(pa.array(key[at]))
+            n = np.add.reduceat(counts, at) if len(at) else counts
+            return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), said, pa.array(n)], ["doc_id", "page", "key", "n"])
+
+        for batch in batches:
+            found = []
+            for pieces, done in _stretches(batch.column(2).to_pylist(), longest):
+                found.append(walk(pieces))
+                if done:
+                    yield counted(batch, found)
+                    found = []
+
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
+    return pages.select("doc_id", "page", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, key string, n long")
+
+
+def _keyed(keywords: DataFrame, case_sensitive: bool) -> DataFrame:
+    """(ord, keyword, key): each keyword and how a walk says it."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        table = _Fold()
+        for batch in batches:
+            key = [k if case_sensitive else k.translate(table) for k in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.string())], ["ord", "keyword", "key"])
+
+    return keywords.select(F.col("ord").cast("long").alias("ord"), "keyword").mapInArrow(run, "ord long, keyword string, key string")
+
+
 def hits(pages: DataFrame, keywords: DataFrame, case_sensitive: bool = False, whole_words: bool = True, at_once: int = BROADCAST_KEYWORDS) -> DataFrame:
     """(doc_id, page, ord, keyword, n): matches of each keyword of ``keywords`` (ord, keyword) on each page, where any.
 
     Keywords are stripped; null and empty ones count for nothing, of equal ones the first counts. A null text is empty.
-    Up to ``at_once`` keywords are broadcast; more words are joined by a shuffle, more of the others looked for in passes
-    of so many, each over all pages.
+    Of a table of more than ``at_once`` keywords, so many of the shortest, which are likely to match most, are broadcast and
+    the others joined by a shuffle, each of the two in one look at the pages.
     """
     wanted = distinct_keywords(keywords)
     is_word = F.col("keyword").rlike(f"^{WORD}+$") if whole_words else F.lit(False)
-    words, others = wanted.where(is_word), wanted.where(~is_word)
-    n_words, n_others = wanted.agg(F.count_if(is_word), F.count_if(~is_word)).first()
+    sizes = wanted.groupBy(F.length("keyword").alias("size")).agg(F.count_if(is_word), F.count_if(~is_word)).orderBy("size").collect()
+    n_words, n_others = (sum(r[i] for r in sizes) for i in (1, 2))
     parts = []
-    if n_words:
-        parts.append(_by_words(pages, words.withColumn("ord", F.col("ord").cast("long")), n_words <= at_once, case_sensitive))
-    passes = -(-n_others // at_once)
-    for i in range(passes):
-        some = others.where(F.pmod(F.xxhash64("keyword"), F.lit(passes)) == i).collect()
-        if some:
-            parts.append(_by_automaton(pages, sorted((r["ord"], r["keyword"]) for r in some), case_sensitive, whole_words))
+    if n_words and not n_others:
+        parts.append(_by_words(pages, wanted.withColumn("ord", F.col("ord").cast("long")), n_words <= at_once, case_sensitive))
+    elif not whole_words and 0 < n_others <= at_once:
+        parts.append(_by_automaton(pages, sorted((r["ord"], r["keyword"]) for r in wanted.collect()), case_sensitive))
+    elif n_others:
+        short = n_short = 0
+        for size, *both in sizes:
+            if n_short + sum(both) > at_once:
+                break
+            short, n_short = size, n_short + sum(both)
+        length = F.length("keyword")
+        for n, longest, which in ((n_short, short, length <= short), (n_words + n_others - n_short, sizes[-1][0], length > short)):
+            if n:
+                some = wanted.where(which)
+                keys = _keyed(some, case_sensitive)
+                found = _by_walk(pages, some, n, longest, case_sensitive, whole_words)
+                parts.append(found.join(F.broadcast(keys) if n <= at_once else keys, "key").select("doc_id", "page", "ord", "keyword", "n"))
     if not parts:
         return pages.select("doc_id", "page", F.lit(0).cast("long").alias("ord"), F.lit("").alias("keyword"), F.lit(0).cast("long").alias("n")).limit(0)
     out = parts[0]

@@ -43,3 +43,29 @@ def test_nothing_to_look_for(spark):
     none = spark.createDataFrame([(1, " "), (2, None)], "ord int, keyword string")
     assert keyword_table.hits(pages, none).count() == 0 and keyword_table.hits(pages.limit(0), spark.createDataFrame([(1, "x y")], "ord int, keyword string")).count() == 0
     assert keyword_table.totals(keyword_table.hits(pages, none), none).count() == 0
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_more_keywords_are_not_more_looks_at_the_pages(spark, whole):
+    pages = spark.createDataFrame([("a", i, f"no {i} no {i + 1} no {i}") for i in range(30)], "doc_id string, page int, text string")
+    looks = []
+    for n in (20, 200):
+        table = spark.createDataFrame([(i, f"no {i}") for i in range(n)], "ord int, keyword string")
+        found = keyword_table.hits(pages, table, whole_words=whole, at_once=8)
+        looks.append(found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        want = search.hits(pages, [f"no {i}" for i in range(20)], whole_words=whole).select("doc_id", "page", "keyword", "n")
+        assert sorted(map(tuple, want.collect())) == sorted(tuple(r)[:2] + tuple(r)[3:] for r in found.where("ord < 20").collect())
+    assert looks[0] == looks[1] <= 4
+
+
+@pytest.mark.parametrize("at_once", [1000, 1])
+def test_texts_longer_than_a_stretch(spark, at_once):
+    texts = ["ab cd " * 60_000 + "end. of", "x" * (keyword_table.STRETCH - 3) + " ab-cd ab-cd", "aͅb c aιb c ͅ", "short ab cd ab", None]
+    assert len(texts[0]) > keyword_table.STRETCH
+    words = ["ab cd ab", "cd ab", "end. of", "ab-cd", "d ab", "aιb c", "-", " "]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page int, text string").selectExpr("'a' as doc_id", "page", "text").coalesce(1)
+    table = spark.createDataFrame(list(enumerate(words)), "ord int, keyword string")
+    for whole in (False, True):
+        rows = sorted((r["page"], r["keyword"], r["n"]) for r in keyword_table.hits(pages, table, False, whole, at_once).collect())
+        assert rows == sorted((r["page"], r["keyword"], r["n"]) for r in search.hits(pages, normalise_keywords(words[:-1]), False, whole).collect())
+        assert (0, "ab cd ab", 30_000) in rows
