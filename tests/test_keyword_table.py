@@ -69,3 +69,15 @@ def test_texts_longer_than_a_stretch(spark, at_once):
         rows = sorted((r["page"], r["keyword"], r["n"]) for r in keyword_table.hits(pages, table, False, whole, at_once).collect())
         assert rows == sorted((r["page"], r["keyword"], r["n"]) for r in search.hits(pages, normalise_keywords(words[:-1]), False, whole).collect())
         assert (0, "ab cd ab", 30_000) in rows
+
+
+def test_totals_of_many_keywords(spark):
+    pages = spark.createDataFrame([("a", i, f"no {i} no {i + 1} no {i}") for i in range(30)], "doc_id string, page int, text string")
+    looks = []
+    for n in (20, 200):
+        table = spark.createDataFrame([(i, f"no {i}") for i in range(n)], "ord int, keyword string")
+        totals = keyword_table.totals(keyword_table.hits(pages, table, at_once=8), table)
+        looks.append(totals._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        want = [(i, f"no {i}", (i < 30) + (0 < i < 31), 2 * (i < 30) + (0 < i < 31)) for i in range(n)]
+        assert sorted(map(tuple, totals.collect())) == want
+    assert looks[0] == looks[1] <= 4
