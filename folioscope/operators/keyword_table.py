@@ -3,9 +3,9 @@
 Keywords that are all one whole word are joined with the pages' words. If there are phrases or punctuation among them, a
 page is walked through word by word as long as a filter of bounded size knows what was said so far as a keyword's
 beginning, and what it takes for a keyword is joined with the table. Parts of words are found by an automaton over all of
-them at once, or, where they are too many for it, by the same walk character by character. All count as
-``functions.keywords`` does, keyword by keyword, without an expression for each, and no page is read once more because
-there are more keywords.
+them at once, or, where they are too many for it, by the same walk character by character. Where only the sums over all
+pages are asked for, a walk sums up before it hands on, so one look at the pages does. All count as ``functions.keywords``
+does, keyword by keyword, without an expression for each, and no page is read once more because there are more keywords.
 """
 
 from __future__ import annotations
@@ -148,8 +148,7 @@ class _Said:
         #: Each text's first place and the one after its last; no text is empty.
         self.upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         self.begins = np.r_[0, self.upto[:-1]]
-        codes = own if case_sensitive else fold[own]
-        self.folded = codes.tobytes().decode("utf-32-le")
+        self.codes = codes = own if case_sensitive else fold[own]
         #: Whether a character is a word's: as it stands, and as it is matched.
         self.own, self.kind = word[own], word[codes]
         if whole_words:
@@ -171,6 +170,14 @@ class _Said:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
+    def between(self, start: np.ndarray, end: np.ndarray):  # noqa: ANN201
+        """What is said from start to end, as an Arrow array of UTF-32."""
+        import pyarrow as pa
+
+        upto = np.cumsum(end - start)
+        codes = self.codes[np.arange(upto[-1] if len(upto) else 0) + np.repeat(end - upto, end - start)]
+        return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[0, 4 * upto].astype(np.int64)), pa.py_buffer(codes)])
+
     def bounded(self, at: np.ndarray, inside: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Whether what is said has a boundary: ``at`` is the place beyond it, ``inside`` the one within, ``edge`` says that
         the text has no more there."""
@@ -227,8 +234,9 @@ def _stretches(texts: list[str | None], longest: int | None) -> Iterator[tuple[l
         yield pieces, True
 
 
-def _by_walk(pages: DataFrame, keywords: DataFrame, n: int, longest: int, case_sensitive: bool, whole_words: bool) -> DataFrame:
-    """(doc_id, page, key, n): whatever the filter over ``keywords`` takes for one of them, folded, with its matches."""
+def _by_walk(pages: DataFrame, keywords: DataFrame, n: int, longest: int, case_sensitive: bool, whole_words: bool, summed: bool = False) -> DataFrame:
+    """(doc_id, page, key, n): whatever the filter over ``keywords`` takes for one of them, folded, with its matches; if
+    ``summed`` (key, pages, n): the pages of a batch that have it, and its matches there."""
     known, bits = _known(keywords, n, case_sensitive, whole_words)
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
@@ -239,8 +247,8 @@ def _by_walk(pages: DataFrame, keywords: DataFrame, n: int, longest: int, case_s
             at = _places(hashes, salt, bits)
             return (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-        def walk(pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-            """Row, start and end of what may be keywords, and the text of each."""
+        def walk(pieces: list) -> tuple:
+            """Row, start and end of what may be keywords, whether it is one unit only, and the text of each."""
             said = _Said([text for *_, text in pieces], case_sensitive, whole_words)
             row, first, own = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
             shift = (first - said.begins)[said.text]
@@ -249,42 +257,45 @@ def _by_walk(pages: DataFrame, keywords: DataFrame, n: int, longest: int, case_s
             if whole_words:
                 good &= said.bounded(said.starts - 1, said.starts, said.starts == said.begins[said.text])
             begun = last = np.flatnonzero(good)
-            starts, ends = [], []
+            found = [(begun[:0], begun[:0])]
             while len(begun):
                 start, end = said.starts[begun], said.ends[last]
                 hashes, of = said.hashes(start, end), said.text[begun]
-                there = knows(hashes, _WHOLE)
+                there = np.flatnonzero(knows(hashes, _WHOLE))
                 if whole_words:
-                    there &= said.bounded(end, end - 1, end == said.upto[of])
-                starts.append(start[there])
-                ends.append(end[there])
+                    there = there[said.bounded(end[there], end[there] - 1, end[there] == said.upto[of[there]])]
+                found.append((begun[there], last[there]))
                 on = (last + 1 < said.over[of]) & knows(hashes, _MORE)
                 begun, last = begun[on], last[on] + 1
-            start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
-            of = np.searchsorted(said.begins, start, "right") - 1
-            keys = [said.folded[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            return row[of], start + (first - said.begins)[of], end + (first - said.begins)[of], keys
+            begun, last = (np.concatenate(x) for x in zip(*found, strict=True))
+            start, end, shift = said.starts[begun], said.ends[last], shift[begun]
+            return row[said.text[begun]], start + shift, end + shift, begun == last, said.between(start, end)
 
         def counted(batch, found: list):  # noqa: ANN202
-            row, start, end = (np.concatenate([f[i] for f in found]) for i in range(3))
-            keys = pa.array([k for f in found for k in f[3]], pa.string()).dictionary_encode()
-            key = keys.indices.to_numpy()
-            order = np.lexsort((start, key, row))
-            row, start, end, key = row[order], start[order], end[order], key[order]
-            new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])][: len(row)]
-            counts = np.ones(len(row), np.int64)
-            if (~new[1:] & (start[1:] < end[:-1])).any():  # matches of a keyword do not overlap: the first goes
-                free = 0
-                for i, (another, a, b) in enumerate(zip(new.tolist(), start.tolist(), end.tolist(), strict=True)):
-                    if another or a >= free:
-                        free = b
+            row, start, end, alone = (np.concatenate([f[i] for f in found]) for i in range(4))
+            keys = pa.concat_arrays([f[4] for f in found]).dictionary_encode()
+            key, said = keys.indices.to_numpy().astype(np.int64), [k.decode("utf-32-le") for k in keys.dictionary.to_pylist()]
+            at = row * max(len(said), 1) + key
+            several = np.flatnonzero(~alone)
+            several = several[np.lexsort((start[several], at[several]))]
+            a, b, of = start[several], end[several], at[several]
+            if ((of[1:] == of[:-1]) & (a[1:] < b[:-1])).any():  # matches of a keyword do not overlap: the first goes
+                before, free, over = -1, 0, []
+                for i, x, y, z in zip(several.tolist(), a.tolist(), b.tolist(), of.tolist(), strict=True):
+                    if z != before or x >= free:
+                        before, free = z, y
                     else:
-                        counts[i] = 0
-            at = np.flatnonzero(new)
-            rows = pa.array(row[at])
-            said = keys.dictionary.take(pa.array(key[at]))
-            n = np.add.reduceat(counts, at) if len(at) else counts
-            return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), said, pa.array(n)], ["doc_id", "page", "key", "n"])
+                        over.append(i)
+                at = np.delete(at, over)
+            at, n = np.unique(at, return_counts=True)
+            row, key = np.divmod(at, max(len(said), 1))
+            said = pa.array(said, pa.string())
+            if summed:
+                sums = np.zeros(len(said), np.int64)
+                np.add.at(sums, key, n)
+                return pa.RecordBatch.from_arrays([said, pa.array(np.bincount(key, minlength=len(said)), pa.int64()), pa.array(sums)], ["key", "pages", "n"])
+            row = pa.array(row)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), said.take(pa.array(key)), pa.array(n, pa.int64())], ["doc_id", "page", "key", "n"])
 
         for batch in batches:
             found = []
@@ -295,7 +306,7 @@ def _by_walk(pages: DataFrame, keywords: DataFrame, n: int, longest: int, case_s
                     found = []
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return pages.select("doc_id", "page", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, key string, n long")
+    return pages.select("doc_id", "page", "text").mapInArrow(run, "key string, pages long, n long" if summed else f"doc_id {kinds['doc_id']}, page {kinds['page']}, key string, n long")
 
 
 def _keyed(keywords: DataFrame, case_sensitive: bool) -> DataFrame:
@@ -312,6 +323,13 @@ def _keyed(keywords: DataFrame, case_sensitive: bool) -> DataFrame:
     return keywords.select(F.col("ord").cast("long").alias("ord"), "keyword").mapInArrow(run, "ord long, keyword string, key string")
 
 
+def _sizes(wanted: DataFrame, whole_words: bool) -> tuple[list, int, int]:
+    """The keywords' lengths with the number of those that are one word and of the others, and the sums of both."""
+    is_word = F.col("keyword").rlike(f"^{WORD}+$") if whole_words else F.lit(False)
+    sizes = wanted.groupBy(F.length("keyword").alias("size")).agg(F.count_if(is_word), F.count_if(~is_word)).orderBy("size").collect()
+    return sizes, *(sum(r[i] for r in sizes) for i in (1, 2))
+
+
 def hits(pages: DataFrame, keywords: DataFrame, case_sensitive: bool = False, whole_words: bool = True, at_once: int = BROADCAST_KEYWORDS) -> DataFrame:
     """(doc_id, page, ord, keyword, n): matches of each keyword of ``keywords`` (ord, keyword) on each page, where any.
 
@@ -320,9 +338,7 @@ def hits(pages: DataFrame, keywords: DataFrame, case_sensitive: bool = False, wh
     the others joined by a shuffle, each of the two in one look at the pages.
     """
     wanted = distinct_keywords(keywords)
-    is_word = F.col("keyword").rlike(f"^{WORD}+$") if whole_words else F.lit(False)
-    sizes = wanted.groupBy(F.length("keyword").alias("size")).agg(F.count_if(is_word), F.count_if(~is_word)).orderBy("size").collect()
-    n_words, n_others = (sum(r[i] for r in sizes) for i in (1, 2))
+    sizes, n_words, n_others = _sizes(wanted, whole_words)
     parts = []
     if n_words and not n_others:
         parts.append(_by_words(pages, wanted.withColumn("ord", F.col("ord").cast("long")), n_words <= at_once, case_sensitive))
@@ -356,6 +372,20 @@ def totals(found: DataFrame, keywords: DataFrame) -> DataFrame:
     return distinct_keywords(keywords).join(summed, "keyword", "left").select("ord", "keyword", F.coalesce("pages", none).alias("pages"), F.coalesce("total", none).alias("total"))
 
 
+def sums(pages: DataFrame, keywords: DataFrame, case_sensitive: bool = False, whole_words: bool = True, at_once: int = BROADCAST_KEYWORDS) -> DataFrame:
+    """``totals`` of ``hits``. Where pages are walked through this is one walk, whatever the number of keywords, and what
+    leaves it are a batch's sums by key."""
+    wanted = distinct_keywords(keywords)
+    sizes, n_words, n_others = _sizes(wanted, whole_words)
+    if not n_others or not whole_words and n_others <= at_once:
+        return totals(hits(pages, keywords, case_sensitive, whole_words, at_once), keywords)
+    found = _by_walk(pages, wanted, n_words + n_others, sizes[-1][0], case_sensitive, whole_words, summed=True)
+    summed = found.groupBy("key").agg(F.sum("pages").alias("pages"), F.sum("n").alias("total"))
+    none = F.lit(0).cast("long")
+    kept = _keyed(wanted, case_sensitive).join(summed, "key", "left")
+    return kept.select(F.col("ord").cast(wanted.schema["ord"].dataType).alias("ord"), "keyword", F.coalesce("pages", none).alias("pages"), F.coalesce("total", none).alias("total"))
+
+
 def pages_with_any(found: DataFrame) -> DataFrame:
     """(doc_id, page) of hits, each once."""
     return found.select("doc_id", "page").distinct()

@@ -441,7 +441,7 @@ def keyword_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thousands of keywords with the pages and matches of each, none of them left out."""
     keywords = _keyword_table(spark, sf_dir)
-    return keyword_table.totals(keyword_table.hits(_lines(spark, sf_dir), keywords), keywords).drop("ord")
+    return keyword_table.sums(_lines(spark, sf_dir), keywords).drop("ord")
 
 
 @_query(f"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS keyword FROM benchmark), p AS ({TURNS})

@@ -81,3 +81,29 @@ def test_totals_of_many_keywords(spark):
         want = [(i, f"no {i}", (i < 30) + (0 < i < 31), 2 * (i < 30) + (0 < i < 31)) for i in range(n)]
         assert sorted(map(tuple, totals.collect())) == want
     assert looks[0] == looks[1] <= 4
+
+
+@pytest.mark.parametrize("case", [False, True])
+@pytest.mark.parametrize("whole", [False, True])
+def test_sums_equal_the_totals_of_hits(spark, case, whole):
+    random.seed(int(case) * 2 + whole)
+    long = ["x" * (keyword_table.STRETCH - 3) + " ab-cd ab-cd", "ab ab " * 50_000]
+    texts = TEXTS + [" ".join(random.choices([t for t in TEXTS if t], k=6)) for _ in range(10)] + long
+    words = [*KEYWORDS, "ab cd ab", "cd ab", "end. of", "ab-cd", "ab ab ab"]
+    # a document and page that stand twice are two pages, as in hits
+    pages = spark.createDataFrame([(f"d{i // 3}", i % 2 + 1, t) for i, t in enumerate(texts)], "doc_id string, page int, text string").repartition(3)
+    table = spark.createDataFrame(list(enumerate(words)), "ord int, keyword string")
+    for at_once in (1000, 3):
+        for some in (table, table.where("keyword rlike '^[a-z]+$'")):
+            want = keyword_table.totals(keyword_table.hits(pages, some, case, whole, at_once), some)
+            found = keyword_table.sums(pages, some, case, whole, at_once)
+            assert found.dtypes == want.dtypes and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sums_look_at_the_pages_once(spark):
+    pages = spark.createDataFrame([("a", i, "no 1 no 2 no 1") for i in range(500)], "doc_id string, page int, text string").coalesce(1)
+    table = spark.createDataFrame([(i, f"no {i}") for i in range(200)], "ord int, keyword string")
+    found = keyword_table.sums(pages, table, at_once=8)
+    # one walk over the pages, one over the keywords
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert {(r["keyword"], r["pages"], r["total"]) for r in found.where("total > 0").collect()} == {("no 1", 500, 1000), ("no 2", 500, 500)}
