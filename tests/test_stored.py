@@ -230,3 +230,21 @@ def test_words_are_placed_without_a_shuffle_of_words(spark, tmp_path):
     layout.store(words, str(tmp_path / "w"))
     found = layout.words_in_boxes(spark, str(tmp_path / "w"), spark.createDataFrame([(1, 0, 0, 10**8, 10**6)], "box int, x0 long, y0 long, x1 long, y1 long"))
     assert found.count() == len(want) and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_boxes_of_all_sizes_meet_the_words_of_their_cells(spark, tmp_path, monkeypatch, broadcast):
+    """Boxes are in the grid of their size, in short lists, and the words of a row of cells in files for many tasks."""
+    for name, value in (("FILE_ROWS", 50), ("LIST_BOXES", 20), ("BROADCAST_CELLS", broadcast)):
+        monkeypatch.setattr(layout, name, value)
+    random.seed(12)
+    words = [("d", i, 0, f"w{i}", random.randrange(200_000), random.choice([0, 600, 1200, 1800, 40_000]), 1) for i in range(400)]
+    words += [("e", 1, 0, "edge", 2400, 600, 1), ("e", 2, 0, "far", 10**12, 1200, 1)]
+    stored = spark.createDataFrame(words, "doc_id string, page int, nth int, word string, x long, y long, wide long").coalesce(1)
+    layout.store(stored, str(tmp_path / "w"))
+    assert len([n for n in os.listdir(tmp_path / "w" / "cell_y=0") if n.endswith(".parquet")]) >= 6
+    sides = [(random.randrange(-5000, 200_000), random.choice([0, 500, 2399, 19_200, 19_201, 10**6]), random.choice([-1, 0, 600, 1200]), random.choice([0, 1, 4800, 10**5])) for _ in range(120)]
+    boxes = [(i, x, y, x + w, y + h) for i, (x, w, y, h) in enumerate(sides)] + [(900, 2400, 600, 2400, 600), (901, 0, 0, 10**13, 10**5), (902, 5, 5, 4, 9)]
+    found = layout.words_in_boxes(spark, str(tmp_path / "w"), spark.createDataFrame(boxes, "box int, x0 long, y0 long, x1 long, y1 long"))
+    want = sorted((b, d, p, n, t, x, y) for b, x0, y0, x1, y1 in boxes for d, p, n, t, x, y, _ in words if x0 <= x <= x1 and y0 <= y <= y1)
+    assert sorted(tuple(r) for r in found.collect()) == want
