@@ -7,13 +7,14 @@ often the term occurs there and how long they are, the lanes (2**4 consecutive d
 share of a BM25 score that any of a lane can have, so a search can tell from the small columns which documents it need not
 score, and which blocks it need not read.
 
-Postings are gathered by term and segment (2**14 consecutive documents of a task), so a term that every document holds is
-many groups of bounded size.
+Texts are shuffled once, by document, and a task numbers and inverts its own documents; what is shuffled by term is blocks
+and not postings. Blocks are of one term and segment (2**14 consecutive documents of a task), so a term that every document
+holds is many groups of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,8 +26,12 @@ from folioscope.sources.stored import drop, kept
 BLOCK = 128
 #: Documents of a segment and of a lane, the range that bounds are summed for, as powers of two.
 SEGMENT_BITS, LANE_BITS = 14, 4
-#: Terms in a bucket, about.
-BUCKET_TERMS = 20_000
+#: Words that a task inverts and that a bucket is made for, about; half as many where cores would be idle.
+TASK_WORDS = 1 << 22
+#: Postings that are gathered before blocks are cut.
+GATHERED = 1 << 22
+#: Bytes of blocks that are packed together.
+PACKED = 1 << 26
 #: Lanes of the highest bounds that give a query its first threshold, at least.
 SEEDS = 32
 #: A lane's largest share is kept as so many steps up to the most a share can be.
@@ -62,41 +67,40 @@ def build(pages: DataFrame, path: str, units: Sequence[str] = ("doc_id",), bucke
     units = list(units)
     spark = pages.sparkSession
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD + "+"))
-    lengths = pages.select(*units, words.alias("w")).groupBy(*units).agg(F.sum("w").cast("int").alias("length"))
+    lengths = kept(pages.select(*units, words.alias("w")).groupBy(*units).agg(F.sum("w").cast("int").alias("length")), "lengths")
+    whole = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+    docs, mean, words = whole["docs"], whole["mean"] or 1.0, whole["words"]
+    tasks = max(1, -(-words // TASK_WORDS), min(spark.sparkContext.defaultParallelism, -(-2 * words // TASK_WORDS)))
     # documents of one length lie together, so the bounds of blocks and lanes are close to what their documents reach
-    lengths = lengths.sortWithinPartitions(F.desc("length"))
-    lengths.select(F.monotonically_increasing_id().alias("nr"), *units, "length").write.parquet(f"{path}/units")
+    key = F.xxhash64(*units)
+    ordered = lengths.repartition(tasks, key).sortWithinPartitions(F.desc("length"))
+    ordered.select(F.monotonically_increasing_id().alias("nr"), *units, "length").write.parquet(f"{path}/units")
+    drop(lengths)
     numbered = spark.read.parquet(f"{path}/units")
-    whole = numbered.agg(F.count("*").alias("docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
-    whole = whole.first()
-    docs, mean = whole["docs"], whole["mean"] or 1.0
 
-    # texts meet their documents' numbers, so postings, of which there are many more, are shuffled once, by term
-    key = F.xxhash64(*units)
-    named = [u for u in numbered.columns if u in units]
-    dealt = numbered.select(key.alias("key"), F.struct(*named).alias("unit"), "nr", "length")
-    texts = pages.select(key.alias("key"), F.struct(*named).alias("said"), "text")
-    met = texts.join(dealt, "key").where(F.col("said").eqNullSafe(F.col("unit"))).select("key", "nr", "length", F.explode(terms_of("text")).alias("term"))
-    found = met.groupBy("key", "nr", "length", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "nr", "tf", "length")
-    blocks = kept(_blocks(found, mean, k1, b), "blocks")
-    lexicon = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), F.count("*").alias("blocks"))
-    if buckets is None:
-        buckets = max(4, -(-blocks.select("term").distinct().count() // BUCKET_TERMS))
-    for df, name, order in ((lexicon, "lexicon", ["bucket", "term"]), (blocks, "blocks", ["bucket", "term", "segment", "block"])):
-        # by range and not by bucket alone: the blocks of a frequent term are written by several tasks
-        placed = df.withColumn("bucket", term_bucket("term", buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
-        written = placed.write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "v2")
+    # a task gets the texts of the documents that were numbered together; a document's number comes before its texts
+    unit = F.struct(*units).alias("unit")
+    numbers = numbered.select(key.alias("key"), unit, "nr", "length", F.lit(None).cast("string").alias("text"))
+    texts = pages.select(key.alias("key"), unit, F.lit(None).cast("long").alias("nr"), F.lit(None).cast("int").alias("length"), "text")
+    said = Window.partitionBy("key", "unit").orderBy(F.col("nr").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = numbers.unionByName(texts).repartition(tasks, "key").withColumns({c: F.first(c, ignorenulls=True).over(said) for c in ("nr", "length")})
+    blocks = _inverted(dealt.where("text is not null").select("nr", "length", terms_of("text").alias("terms")), mean, k1, b)
+    buckets = buckets or max(4, tasks)
+
+    def write(df: DataFrame, name: str, *order: str) -> None:
+        written = df.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "v2")
         written.option("parquet.enable.dictionary#docs.list.element", "false").parquet(f"{path}/{name}")
-    drop(blocks)
-    spark.createDataFrame([(docs, float(mean), buckets, k1, b, units)], "docs long, mean double, buckets int, k1 double, b double, units array<string>").coalesce(1).write.parquet(f"{path}/about")
 
+    # evened out and not by bucket alone: the blocks of a frequent term are written by several tasks
+    bucket = term_bucket("term", buckets)
+    write(_unpacked(_packed(blocks.withColumn("bucket", bucket)).hint("rebalance", "bucket")), "blocks", "term", "segment", "block")
+    stored = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    lexicon = stored.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), F.count("*").alias("blocks"))
+    write(lexicon.withColumn("bucket", bucket).hint("rebalance", "bucket"), "lexicon", "term")
+    spark.createDataFrame([(docs, float(mean), buckets, k1, b, units)], "docs long, mean double, buckets int, k1 double, b double, units array<string>").coalesce(1).write.parquet(f"{path}/about")
 
-def _blocks(found: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
-    """The blocks of postings (term, nr, tf, length): sorted by term and number, they are cut batch by batch, a block
-    being at most BLOCK neighbours of one term and segment."""
-    segment = F.shiftright("nr", SEGMENT_BITS)
-    placed = found.withColumn("segment", segment).repartition("term", "segment").sortWithinPartitions("term", "segment", "nr")
 
+def _cutter(mean: float, k1: float, b: float) -> Callable[..., Iterator]:
     def cut(term, nr: np.ndarray, tf: np.ndarray, length: np.ndarray, fresh: np.ndarray) -> Iterator:
         """Blocks of whole runs of (term, segment); ``fresh``: whether a posting begins a run."""
         import pyarrow as pa
@@ -131,6 +135,126 @@ def _blocks(found: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
             ["term", "segment", "block", "first", "n", "lanes", "tops", "docs", "tfs", "lengths"],
         )
 
+    return cut
+
+
+def _inverted(said: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
+    """The blocks of texts (nr, length, terms), a document's rows being neighbours in one task.
+
+    Postings are gathered in a task and cut into blocks when there are many, all but the last document's, of which more may
+    come. So a term and segment may be cut more than once; a block's number is its first document's place in the segment.
+    """
+    cut = _cutter(mean, k1, b)
+
+    def merged(parts: list) -> tuple:
+        """(terms in order, term, nr, tf, length) of the postings of ``parts``, sorted by term and nr, each once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        rank = rank[coded.indices.to_numpy()]
+        begin = np.cumsum([0] + [len(p[0]) for p in parts])
+        term = np.concatenate([rank[begin[i] + p[1]] for i, p in enumerate(parts)])
+        nr, tf, length = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+        known, doc = np.unique(nr, return_inverse=True)
+        place = term * len(known) + doc
+        by = np.argsort(place, kind="stable")
+        starts = np.flatnonzero(np.diff(place[by], prepend=-1))
+        first = by[starts]
+        return coded.dictionary.take(pa.array(order)), term[first], nr[first], np.add.reduceat(tf[by], starts), length[first]
+
+    def blocks(terms, term: np.ndarray, nr: np.ndarray, tf: np.ndarray, length: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        if not len(term):
+            return
+        fresh = (np.diff(term, prepend=-1) != 0) | (np.diff(nr >> SEGMENT_BITS, prepend=-1) != 0)
+        for batch in cut(terms.take(pa.array(term)), nr, tf, length, fresh):
+            place = batch.column("first").to_numpy() & ((1 << SEGMENT_BITS) - 1)
+            batch = batch.set_column(batch.schema.get_field_index("block"), "block", pa.array(place.astype(np.int32)))
+            yield from (batch.slice(i, 10_000) for i in range(0, len(batch), 10_000))
+
+    def run(batches: Iterator) -> Iterator:
+        parts, gathered, rest = [], 0, 0
+        for batch in batches:
+            lists = batch.column("terms")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            row = np.repeat(np.arange(len(lists)), np.diff(ends))
+            nr = batch.column("nr").to_numpy()
+            doc = np.cumsum(np.diff(nr, prepend=nr[0]) != 0)
+            met, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(nr) + doc[row], return_counts=True)
+            at = np.searchsorted(doc, met % len(nr))
+            parts.append((words.dictionary, met // len(nr), nr[at], tf, batch.column("length").to_numpy()[at].astype(np.int64)))
+            gathered += len(met)
+            if gathered < max(GATHERED, 2 * rest):
+                continue
+            terms, *postings = merged(parts)
+            last = postings[1] == nr[-1]
+            yield from blocks(terms, *(x[~last] for x in postings))
+            parts = [(terms, *(x[last] for x in postings))]
+            gathered = rest = int(last.sum())
+        if parts:
+            yield from blocks(*merged(parts))
+
+    return said.mapInArrow(run, ", ".join(BLOCKS.split(", ")[:-1]))
+
+
+def _packed(blocks: DataFrame) -> DataFrame:
+    """(bucket, packed): the blocks of a task by bucket, compressed together; as rows they take three times the disk."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def pack(some: list) -> Iterator:
+            rows = pa.Table.from_batches(some)
+            rows = rows.take(pc.sort_indices(rows.column("bucket"))).combine_chunks()
+            of = rows.column("bucket").to_numpy()
+            ends = [*np.flatnonzero(np.diff(of)) + 1, len(of)]
+            for start, end in zip([0, *ends], ends):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows.slice(start, end - start))
+                yield pa.RecordBatch.from_arrays([pa.array(of[start : start + 1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "packed"])
+
+        some, size = [], 0
+        for batch in batches:
+            if len(batch):
+                some.append(batch)
+                size += batch.nbytes
+            if size >= PACKED:
+                yield from pack(some)
+                some, size = [], 0
+        if some:
+            yield from pack(some)
+
+    return blocks.mapInArrow(run, "bucket int, packed binary")
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for one in batch.column("packed"):
+                yield from (b.slice(i, 10_000) for b in pa.ipc.open_stream(one.as_buffer()) for i in range(0, len(b), 10_000))
+
+    return packed.mapInArrow(run, BLOCKS)
+
+
+def _blocks(found: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
+    """The blocks of postings (term, nr, tf, length) wherever they are: sorted by term and number, they are cut batch by batch, a block
+    being at most BLOCK neighbours of one term and segment."""
+    segment = F.shiftright("nr", SEGMENT_BITS)
+    placed = found.withColumn("segment", segment).repartition("term", "segment").sortWithinPartitions("term", "segment", "nr")
+    cut = _cutter(mean, k1, b)
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc

@@ -118,3 +118,25 @@ def test_blocks_are_cut_across_batches(spark):
             lane, share = nr >> index.LANE_BITS, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 8.0))
             tops[lane] = max(tops[lane], math.ceil(share * (index.STEPS / 2.2)))
         assert r["lanes"] == sorted(tops) and r["tops"] == [tops[x] for x in r["lanes"]] and r["n"] == len(r["docs"])
+
+
+def test_tasks_invert_their_documents_bit_by_bit(spark, tmp_path, monkeypatch):
+    """Documents of many pages, cut whenever some postings are gathered and packed in small parts; postings are not shuffled."""
+    for name, value in (("TASK_WORDS", 1500), ("GATHERED", 40), ("PACKED", 2000)):
+        monkeypatch.setattr(index, name, value)
+    random.seed(7)
+    texts = {(f"d{i % 300:03d}" if i % 7 else None, i // 300): " ".join(random.choices([f"É{j}" for j in range(300)], k=random.choice([0, 1, 9, 60]))) for i in range(600)}
+    rows = [(d, t) for (d, _), t in texts.items()] + [("d001", None), ("none", None), ("long", " ".join(f"v{j}" for j in range(500)))] + [("long", "v1 v2")] * 3
+    want = Counter((w, d) for d, t in rows for w in re.findall(r"\w+", (t or "").lower()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        index.build(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), str(tmp_path / "i"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ix = index.Index(spark, str(tmp_path / "i"))
+    postings = [(r["term"], r["doc_id"], r["n"]) for r in ix.postings().collect()]
+    assert len(postings) == len(want) and {(t, d): n for t, d, n in postings} == want
+    assert {(r["term"], r["df"], r["cf"]) for r in ix.lexicon.collect()} == {(w, sum(x == w for x, _ in want), sum(n for (x, _), n in want.items() if x == w)) for w, _ in want}
+    assert ix.blocks.select("term", "segment", "block").distinct().count() == ix.blocks.count() and ix.units.count() == len({d for d, _ in rows})
+    blocks = index._inverted(ix.units.select("nr", "length", F.array(F.lit("x")).alias("terms")), 3.0, 1.2, 0.75)
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
