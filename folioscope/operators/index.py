@@ -206,7 +206,7 @@ def _inverted(said: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
 
 
 def _packed(blocks: DataFrame) -> DataFrame:
-    """(bucket, packed): the blocks of a task by bucket, compressed together; as rows they take three times the disk."""
+    """(bucket, packed): the blocks of a task by bucket, compressed together; as rows they took 2.4 times the disk at 0.1 GB."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
